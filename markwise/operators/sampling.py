@@ -134,8 +134,9 @@ def sample_positions(
         )
     if preserve_first:
         kept = F.least(F.col(size), F.lit(preserve_first)).cast("int")
-        first = sizes.select(*by, F.explode(F.sequence(F.lit(0), kept - 1)).cast("long").alias("sample_no"))
-        first = first.withColumn("global_idx", F.col("sample_no"))
+        first = sizes.select(*by, F.explode(F.sequence(F.lit(0), kept - 1)).alias("_i"))
+        place = F.col("_i").cast("long")
+        first = first.select(*by, place.alias("sample_no"), place.alias("global_idx"))
         out = first if out is None else first.unionByName(out)
     return out
 

@@ -50,34 +50,36 @@ def tally(
     )
 
 
-def _percent(flag: Column) -> Column:
+def _count(flag: Column) -> Column:
     return F.sum(flag.cast("long"))
 
 
 def score(
-    tallies: DataFrame, strict_schema: bool = False, categories: Sequence[str] = ()
+    tallies: DataFrame,
+    by: Sequence[str] = (),
+    strict_schema: bool = False,
+    categories: Sequence[str] = (),
 ) -> DataFrame:
     """Strict / majority / any accuracy and chance levels, per category and micro.
 
     ``tallies`` has one row per question with ``category, truth, n_options,
-    correct, incorrect``. All rows are reduced to one row per (category, truth
-    label) in a single shuffle; every figure, the micro row included, comes from
-    that small table.
+    correct, incorrect`` and the ``by`` columns, such as a run id. All rows are
+    reduced to one row per (category, truth label) in a single shuffle; every
+    figure, the micro row included, comes from that small table.
     """
-    cells = tallies.groupBy("category", "truth").agg(
+    parts = ["n", "strict", "majority", "any", "chance"]
+    cells = tallies.groupBy(*by, "category", "truth").agg(
         F.count(F.lit(1)).alias("n"),
-        _percent(F.col("incorrect") == 0).alias("strict"),
-        _percent(F.col("correct") > F.col("incorrect")).alias("majority"),
-        _percent(F.col("correct") > 0).alias("any"),
+        _count(F.col("incorrect") == 0).alias("strict"),
+        _count(F.col("correct") > F.col("incorrect")).alias("majority"),
+        _count(F.col("correct") > 0).alias("any"),
         F.sum(F.lit(100.0) / F.col("n_options")).alias("chance"),
     )
-    sums = [F.sum(c).alias(c) for c in ("n", "strict", "majority", "any", "chance")]
-    micro = cells.groupBy("truth").agg(*sums).select(F.lit(MICRO).alias("category"), "truth",
-                                                       "n", "strict", "majority", "any", "chance")
+    micro = cells.groupBy(*by, "truth").agg(*[F.sum(c).alias(c) for c in parts])
     n = F.sum("n")
     out = (
-        cells.unionByName(micro)
-        .groupBy("category")
+        cells.unionByName(micro.withColumn("category", F.lit(MICRO)))
+        .groupBy(*by, "category")
         .agg(
             n.alias("n_questions"),
             *[(100.0 * F.sum(c) / n).alias(c) for c in ("strict", "majority", "any")],

@@ -218,10 +218,10 @@ BOUNDS_SQL = f"""WITH {FRAMES_SQL} SELECT user_id, round(arg_min(value, event_id
 
 
 def raw_frame_map(spark, sf):
-    """Key-frame requests (every third view) mapped to raw events after gap trimming."""
+    """Every view, as a key-frame request, mapped to its raw event."""
     rows = frames(spark, sf)
     key = _views(spark, sf)
-    asked = key.filter("view_idx % 3 = 0").select(
+    asked = key.select(
         *USER, "view_idx", F.concat_ws("-", "user_id", "view_idx").alias("request_id")
     )
     placed = sampling.with_position(rows.select(*USER, "event_id", "t"), USER, ["t", "event_id"], "raw_idx")
@@ -235,7 +235,7 @@ def raw_frame_map(spark, sf):
 RAW_SQL = f"WITH {VIEWS_SQL}," + """
 p AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS raw_idx FROM frames)
 SELECT v.user_id, view_idx, min(raw_idx) AS raw_idx FROM views v JOIN p ON p.user_id = v.user_id AND p.t = v.t
-WHERE view_idx % 3 = 0 GROUP BY ALL"""
+GROUP BY ALL"""
 
 # --- sub-sampling -----------------------------------------------------------
 

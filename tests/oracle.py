@@ -70,7 +70,8 @@ def main(argv: list[str]) -> int:
     sf = argv[0] if argv else "0.01"
     spark = build_session(
         master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{TESTDATA}/sf{sf}"
