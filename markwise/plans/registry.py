@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from markwise.plans import runs, scoring, timelines
+from markwise.plans import runs, scoring, shapes, timelines
 from markwise.plans.catalog import Query
 
-MODULES = (scoring, timelines, runs)
+MODULES = (scoring, timelines, runs, shapes)
 
 
 def all_queries() -> dict[str, Query]:
