@@ -27,6 +27,15 @@ ABSTAIN_TEXT = {1: "Not sure", 2: "Can't tell"}
 POSITIONAL = ("left", "right", "front", "back", "rear")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and referred to by name.
+
+    Column expressions are trees: a value that is used in many places would be
+    copied, planned and evaluated in each of them.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def label(idx: Column, alphabet: str = "alpha_upper") -> Column:
     """Option label of a 0-based index."""
     return F.substr(F.lit(ALPHABETS[alphabet]), idx + 1, F.lit(1))

@@ -64,21 +64,50 @@ def _roll(seed: int, salt: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.lit(salt), *parts))
 
 
-def _number(seed: int, salt: str, low: Column, high: Column) -> Column:
+def _number(seed: int, salt: str, qid: Column, low: Column, high: Column) -> Column:
     """Integer of [low, high) by the question's hash."""
-    value = F.conv(F.substring(_roll(seed, salt, F.col("qid")), 1, 8), 16, 10).cast("long")
+    value = F.conv(F.substring(_roll(seed, salt, qid), 1, 8), 16, 10).cast("long")
     return (low + value % F.greatest(high - low, F.lit(1))).cast("int")
 
 
-def _shuffled(answers: Column, seed: int, salt: str) -> Column:
-    """Answers ordered by hash."""
-    keyed = F.transform(
-        answers,
-        lambda a: F.struct(
-            _roll(seed, salt, F.col("qid"), text.raw_json(a, F.col("kind"))).alias("h"), a.alias("a")
-        ),
+def _named(**columns: Column) -> Column:
+    return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+
+def _option(raw: Column, words: Column, is_correct: Column, answers: Column) -> Column:
+    return _named(raw_json=raw, text=words, is_correct=is_correct, answers=answers)
+
+
+def _plain(code: str, words: str, is_correct: bool) -> Column:
+    no_answers = F.expr("cast(array() as array<string>)")
+    return _option(F.lit(code), F.lit(words), F.lit(is_correct), no_answers)
+
+
+def _option_counts(q: Column, seed: int, randomize: bool) -> Column:
+    """How many correct (kc) and wrong (kw) singles a question shows."""
+    c, w, n, qid = F.size(q["c"]), F.size(q["w"]), q["n"], q["qid"]
+    cap = F.least(w, n)
+    few = F.when(cap > 2, _number(seed, "k0", qid, F.lit(2), cap)).otherwise(F.lit(2))
+    if randomize:
+        one_wrong = F.when(w > 1, _number(seed, "k1", qid, F.lit(1), cap)).otherwise(w)
+        low, high = F.greatest(n - 2 - w, F.lit(0)), F.least(c, n)
+        many = F.when(low == high, high).otherwise(_number(seed, "kc", qid, low, high))
+    else:
+        one_wrong, many = F.least(n - 1, w), F.least(c, n - 1)
+    kc = F.when(q["binary"], F.lit(1)).when(c <= 1, c).otherwise(many)
+    rest = lambda k: n - k - F.when(k != 1, 1).otherwise(0)
+    kw = lambda k: (
+        F.when(q["binary"], F.lit(1)).when(c == 0, few).when(c == 1, one_wrong)
+        .otherwise(F.least(F.greatest(rest(k), F.lit(0)), w))
     )
-    return F.transform(F.array_sort(keyed), lambda s: s["a"])
+
+    def checked(k: Column) -> Column:
+        # with five or more options and no correct answer three slots could stay open
+        fits = (c + w >= 2) & (k["kw"] <= w) & (k["kc"] + k["kw"] <= n) & (n - k["kc"] - k["kw"] <= 2)
+        too_few = F.raise_error(F.concat(F.lit("answers do not fill the options of "), qid)).cast("int")
+        return _named(kc=F.when(fits, k["kc"]).otherwise(too_few), kw=k["kw"])
+
+    return text.let(kc, lambda k: text.let(_named(kc=k, kw=kw(k)), checked))
 
 
 def assemble_options(
@@ -102,126 +131,135 @@ def assemble_options(
     options, correct_option, num_options and qstr. Every row on its own, no shuffle.
     """
     n_col = F.lit(n) if isinstance(n, int) else n
-    kind, c, w = F.col("kind"), F.size("correct"), F.size("incorrect")
-    out = df.withColumns(
-        {
-            "_n": F.when(F.col("binary"), F.lit(2)).otherwise(n_col).cast("int"),
-            "_c": _shuffled(F.col("correct"), seed, "c"),
-            "_w": _shuffled(F.col("incorrect"), seed, "w"),
-        }
-    )
-    nn = F.col("_n")
-    cap = F.least(w, nn)
-    few = F.when(cap > 2, _number(seed, "k0", F.lit(2), cap)).otherwise(F.lit(2))
-    if randomize_options:
-        one_wrong = F.when(w > 1, _number(seed, "k1", F.lit(1), cap)).otherwise(w)
-        low, high = F.greatest(nn - 2 - w, F.lit(0)), F.least(c, nn)
-        many = F.when(low == high, high).otherwise(_number(seed, "kc", low, high))
-    else:
-        one_wrong, many = F.least(nn - 1, w), F.least(c, nn - 1)
-    kc = F.when(F.col("binary"), F.lit(1)).when(c <= 1, c).otherwise(many)
-    out = out.withColumn("_kc", kc)
-    rest = nn - F.col("_kc") - F.when(F.col("_kc") != 1, 1).otherwise(0)
-    kw = (
-        F.when(F.col("binary"), F.lit(1)).when(c == 0, few).when(c == 1, one_wrong)
-        .otherwise(F.least(F.greatest(rest, F.lit(0)), w))
-    )
-    out = out.withColumn("_kw", kw)
-    # with five or more options and no correct answer three slots could stay open
-    fits = (c + w >= 2) & (nn - F.col("_kc") - F.col("_kw") <= 2) & (F.col("_kc") + F.col("_kw") <= nn) & (F.col("_kc") + F.col("_kw") >= nn - 2)
-    guard = F.when(fits & (F.col("_kw") <= w), F.lit(0)).otherwise(
-        F.raise_error(F.concat(F.lit("too few answers for the options of "), F.col("qid"))).cast("int")
-    )
-    item = lambda ok: lambda a: F.struct(
-        _roll(seed, "s", F.col("qid"), text.raw_json(a, kind)).alias("h"), a.alias("a"), F.lit(ok).alias("ok")
-    )
-    out = out.withColumns(
-        {"_cc": F.slice("_c", 1, F.col("_kc") + guard), "_ww": F.slice("_w", 1, F.col("_kw"))}
-    ).withColumn(
-        "_singles", F.array_sort(F.concat(F.transform("_cc", item(True)), F.transform("_ww", item(False))))
-    )
-    out = out.withColumn("_r", nn - F.size("_singles"))
-
-    temporal = F.col("question_category").isin("temporal_loc", "temporal_ord")
-    mode = F.when(temporal & ~F.col("template_type").isin(*SHORT_PHRASE), 2).otherwise(1)
-    tracking = (F.col("question_category") == "tracking") & (F.col("template_type") == "track_multi")
-    phrase = lambda a: F.when(F.col("binary"), F.initcap(F.get(F.get(a, F.lit(0)), F.lit(0)))).otherwise(
-        text.single_phrase(a, kind, mode, tracking, noun)
-    )
-    raw = lambda a: F.when(F.col("binary"), F.initcap(text.raw_json(a, kind))).otherwise(text.raw_json(a, kind))
-    single = F.transform(
-        "_singles",
-        lambda s: F.struct(
-            raw(s["a"]).alias("raw_json"), phrase(s["a"]).alias("text"),
-            (s["ok"] & (F.col("_kc") == 1)).alias("is_correct"), F.array(text.raw_json(s["a"], kind)).alias("answers"),
-        ),
-    )
-    quoted = F.col("declared") == F.when(kind == "str", "str").otherwise("list")
-    tagged = F.transform(
-        "_singles", lambda s, i: F.struct(s["ok"].alias("ok"), text.label(i, alphabet).alias("label"))
-    )
-    labels = lambda ok: F.transform(F.filter(tagged, lambda t: t["ok"] == ok), lambda t: t["label"])
+    # An answer travels with its JSON: both are needed for hashing and for the option.
+    coded = lambda answers: F.transform(
+        answers, lambda a: _named(a=a, raw=text.raw_json(a, F.col("kind")))
+    )
+    by_hash = lambda items, salt: F.transform(
+        F.array_sort(F.transform(items, lambda s: _named(h=_roll(seed, salt, F.col("qid"), s["raw"]), s=s))),
+        lambda t: t["s"],
+    )
+    question = _named(
+        qid=F.col("qid"),
+        kind=F.col("kind"),
+        binary=F.col("binary"),
+        n=F.when(F.col("binary"), F.lit(2)).otherwise(n_col).cast("int"),
+        quoted=F.col("declared") == F.when(F.col("kind") == "str", "str").otherwise("list"),
+        temporal=F.col("question_category").isin("temporal_loc", "temporal_ord"),
+        short=F.col("template_type").isin(*SHORT_PHRASE),
+        tracking=(F.col("question_category") == "tracking") & (F.col("template_type") == "track_multi"),
+        c=by_hash(coded(F.col("correct")), "c"),
+        w=by_hash(coded(F.col("incorrect")), "w"),
+    )
+
+    def chosen(q: Column, k: Column) -> Column:
+        mark = lambda ok: lambda s: _named(
+            h=_roll(seed, "s", q["qid"], s["raw"]), a=s["a"], raw=s["raw"], ok=F.lit(ok)
+        )
+        cc, ww = F.slice(q["c"], 1, k["kc"]), F.slice(q["w"], 1, k["kw"])
+        mixed = F.array_sort(F.concat(F.transform(cc, mark(True)), F.transform(ww, mark(False))))
+        return _named(cc=cc, ww=ww, singles=mixed)
+
+    def single_options(q: Column, k: Column, s: Column) -> Column:
+        mode = F.when(q["temporal"] & ~q["short"], 2).otherwise(1)
+        words = lambda x: F.when(q["binary"], F.initcap(F.get(F.get(x["a"], F.lit(0)), F.lit(0)))).otherwise(
+            text.single_phrase(x["a"], q["kind"], mode, q["tracking"], noun)
+        )
+        raw = lambda x: F.when(q["binary"], F.initcap(x["raw"])).otherwise(x["raw"])
+        return F.transform(
+            s["singles"], lambda x: _option(raw(x), words(x), x["ok"] & (k["kc"] == 1), F.array(x["raw"]))
+        )
 
-    def combined(answers: Column, label_names: Column, is_correct: bool) -> Column:
-        names = F.when(quoted, F.transform(answers, lambda a: text.quoted_answer(a, kind))).otherwise(label_names)
-        raws = F.transform(answers, lambda a: text.raw_json(a, kind))
-        return F.struct(
-            F.concat(F.lit("["), F.array_join(raws, ", "), F.lit("]")).alias("raw_json"),
-            text.several_phrase(names, F.when(quoted, F.lit(noun)).otherwise(F.lit("Option"))).alias("text"),
-            F.lit(is_correct).alias("is_correct"), raws.alias("answers"),
+    def further_options(q: Column, k: Column, s: Column) -> Column:
+        """What fills the slots the singles leave open."""
+        tags = lambda ok: F.transform(
+            F.filter(
+                F.transform(s["singles"], lambda x, i: _named(ok=x["ok"], tag=text.label(i, alphabet))),
+                lambda t: t["ok"] == ok,
+            ),
+            lambda t: t["tag"],
         )
 
-    plain = lambda code, words, ok: F.struct(
-        F.lit(code).alias("raw_json"), F.lit(words).alias("text"), F.lit(ok).alias("is_correct"),
-        F.expr("cast(array() as array<string>)").alias("answers"),
-    )
-    none = lambda ok: plain(NONE, text.NONE_TEXT[1], ok)
-    mixed = combined(
-        F.concat(F.slice("_cc", 1, 1), F.slice("_ww", 1, 1)),
-        F.concat(F.slice(labels(True), 1, 1), F.slice(labels(False), 1, 1)), False,
-    )
-    coin = _number(seed, "coin", F.lit(0), F.lit(2)) == 0
-    r = F.col("_r")
-    extra = (
-        F.when((r <= 0) | F.col("binary"), F.slice(F.array(none(False)), 1, 0))
-        .when(F.col("_kc") > 1, F.slice(F.array(combined(F.col("_cc"), labels(True), True), none(False)), 1, r))
-        .when(F.col("_kc") == 0, F.slice(F.array(none(True), combined(F.col("_ww"), labels(False), False)), 1, r))
-        .when(r == 2, F.array(mixed, none(False)))
-        .when(temporal | ~coin, F.array(none(False)))
-        .otherwise(F.array(mixed))
-    )
-    out = out.withColumn("_extra", extra)
-    if add_none_at_end:
-        ordered_extra = F.concat(
-            F.filter("_extra", lambda o: o["raw_json"] != NONE), F.filter("_extra", lambda o: o["raw_json"] == NONE)
+        def combined(picked: Column, names: Column, is_correct: Column) -> Column:
+            quoted = F.transform(picked, lambda x: text.quoted_answer(x["a"], q["kind"]))
+            raws = F.transform(picked, lambda x: x["raw"])
+            words = text.several_phrase(
+                F.when(q["quoted"], quoted).otherwise(names),
+                F.when(q["quoted"], F.lit(noun)).otherwise(F.lit("Option")),
+            )
+            return _option(
+                F.concat(F.lit("["), F.array_join(raws, ", "), F.lit("]")), words, is_correct, raws
+            )
+
+        none = lambda ok: _plain(NONE, text.NONE_TEXT[1], ok)
+        r = q["n"] - F.size(s["singles"])
+        # the answers one "both / all" option would name: the correct ones, all wrong ones, or one of each
+        one_each = k["kc"] == 1
+        picked = F.when(k["kc"] > 1, s["cc"]).when(one_each, F.concat(F.slice(s["cc"], 1, 1), F.slice(s["ww"], 1, 1))).otherwise(s["ww"])
+        names = (
+            F.when(k["kc"] > 1, tags(True))
+            .when(one_each, F.concat(F.slice(tags(True), 1, 1), F.slice(tags(False), 1, 1)))
+            .otherwise(tags(False))
         )
-    else:
-        keyed = F.transform(
-            "_extra", lambda o: F.struct(_roll(seed, "x", F.col("qid"), o["raw_json"]).alias("h"), o.alias("o"))
+        coin = _number(seed, "coin", q["qid"], F.lit(0), F.lit(2)) == 0
+
+        def fill(both: Column) -> Column:
+            only_none = (r == 1) & (q["temporal"] | ~coin)
+            return (
+                F.when((r <= 0) | q["binary"], F.slice(F.array(none(False)), 1, 0))
+                .when(k["kc"] > 1, F.slice(F.array(both, none(False)), 1, r))
+                .when(k["kc"] == 0, F.slice(F.array(none(True), both), 1, r))
+                .when(only_none, F.array(none(False)))
+                .otherwise(F.slice(F.array(both, none(False)), 1, r))
+            )
+
+        return text.let(combined(picked, names, k["kc"] > 1), fill)
+
+    def arranged(q: Column, extra: Column) -> Column:
+        if add_none_at_end:
+            return F.concat(
+                F.filter(extra, lambda o: o["raw_json"] != NONE), F.filter(extra, lambda o: o["raw_json"] == NONE)
+            )
+        keyed = F.transform(extra, lambda o: _named(h=_roll(seed, "x", q["qid"], o["raw_json"]), o=o))
+        return F.transform(F.array_sort(keyed), lambda t: t["o"])
+
+    def labelled(every: Column) -> Column:
+        if add_abstain:
+            every = F.concat(every, F.array(_plain(ABSTAIN, text.ABSTAIN_TEXT[1], False)))
+        tag = lambda i: text.label(i, alphabet)
+        return F.transform(
+            every,
+            lambda o, i: _named(
+                idx=i, raw_json=o["raw_json"], label=tag(i), text=o["text"],
+                full_text=F.concat(text.adorn(tag(i), label_style), F.lit(" "), o["text"]),
+                is_correct=o["is_correct"], answers=o["answers"],
+            ),
+        )
+
+    def complete(options: Column) -> Column:
+        lines = F.array_join(F.transform(options, lambda o: F.concat(o["full_text"], F.lit(option_sep))), "")
+        return _named(
+            options=options,
+            correct_option=F.get(F.filter(options, lambda o: o["is_correct"]), F.lit(0)),
+            num_options=F.size(options),
+            qstr=F.concat(F.col("raw_qstr"), F.lit(preprompt), lines),
         )
-        ordered_extra = F.transform(F.array_sort(keyed), lambda s: s["o"])
-    every = F.concat(single, ordered_extra)
-    if add_abstain:
-        every = F.concat(every, F.array(plain(ABSTAIN, text.ABSTAIN_TEXT[1], False)))
-    out = out.withColumn("_every", every)
-    options = F.transform(
-        "_every",
-        lambda o, i: F.struct(
-            i.alias("idx"), o["raw_json"].alias("raw_json"), text.label(i, alphabet).alias("label"),
-            o["text"].alias("text"),
-            F.concat(text.adorn(text.label(i, alphabet), label_style), F.lit(" "), o["text"]).alias("full_text"),
-            o["is_correct"].alias("is_correct"), o["answers"].alias("answers"),
+
+    def build(q: Column, k: Column, s: Column) -> Column:
+        extra = text.let(further_options(q, k, s), lambda e: arranged(q, e))
+        return text.let(labelled(F.concat(single_options(q, k, s), extra)), complete)
+
+    built = text.let(
+        question,
+        lambda q: text.let(
+            _option_counts(q, seed, randomize_options),
+            lambda k: text.let(chosen(q, k), lambda s: build(q, k, s)),
         ),
     )
-    out = out.withColumn("options", options)
-    body = F.array_join(F.transform("options", lambda o: F.concat(o["full_text"], F.lit(option_sep))), "")
-    return out.withColumns(
-        {
-            "correct_option": F.get(F.filter("options", lambda o: o["is_correct"]), F.lit(0)),
-            "num_options": F.size("options"),
-            "qstr": F.concat(F.col("raw_qstr"), F.lit(preprompt), body),
-        }
-    ).drop("_n", "_c", "_w", "_kc", "_kw", "_cc", "_ww", "_singles", "_r", "_extra", "_every")
+    return df.withColumn("_built", built).select(
+        *[c for c in df.columns if c not in ("options", "qstr")],
+        "_built.options", "_built.correct_option", "_built.num_options", "_built.qstr",
+    )
 
 
 def validate_questions(
@@ -241,38 +279,46 @@ def validate_questions(
         ),
         lambda line: line != "",
     )
-    out = df.withColumns(
-        {
-            "_lines": lines,
-            "_right": F.transform("correct", lambda a: text.raw_json(a, F.col("kind"))),
-            "_truth": F.col("correct_option"),
-        }
-    )
-    truth = F.col("_truth")
-    at = F.get("options", truth["idx"])
-    line = F.get("_lines", truth["idx"])
-    all_right = lambda o: F.size(F.array_except(o["answers"], F.col("_right"))) == 0
-    others = F.filter(
-        "options", lambda o: (o["idx"] != truth["idx"]) & ~o["raw_json"].isin(NONE, ABSTAIN)
+    case = _named(
+        options=F.col("options"), truth=F.col("correct_option"), n=F.col("num_options"), lines=lines,
+        right=F.transform("correct", lambda a: text.raw_json(a, F.col("kind"))), binary=F.col("binary"),
     )
-    right_others = F.size(F.filter(others, all_right))
-    wrong_others = F.size(others) - right_others
-    single_or_none = (truth["raw_json"] == NONE) | ((F.size(truth["answers"]) == 1) & all_right(truth))
-    checks = [
-        ("option_count", F.size("_lines") == F.col("num_options")),
-        ("no_truth", truth.isNotNull()),
-        ("truth_is_abstain", truth["raw_json"] != ABSTAIN),
-        ("raw_differs", at["raw_json"] == truth["raw_json"]),
-        ("label_differs", at["label"] == truth["label"]),
-        ("label_in_text", F.split_part(line, F.lit(" "), F.lit(1)) == text.adorn(truth["label"], label_style)),
-        ("text_differs", line == F.trim(truth["full_text"])),
-        ("one_other_correct", right_others != 1),
-        ("truth_not_single", (wrong_others != F.col("num_options") - 1) | single_or_none),
-        ("truth_not_correct", (truth["raw_json"] == NONE) | F.col("binary") | all_right(truth)),
-        *extra,
-    ]
-    names = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
-    return out.withColumn("violations", F.array_compact(names)).drop("_lines", "_right", "_truth")
+
+    def look_up(q: Column) -> Column:
+        all_right = lambda o: F.size(F.array_except(o["answers"], q["right"])) == 0
+        others = F.filter(
+            q["options"], lambda o: (o["idx"] != q["truth"]["idx"]) & ~o["raw_json"].isin(NONE, ABSTAIN)
+        )
+        flags = F.transform(others, all_right)
+        return text.let(
+            _named(
+                at=F.get(q["options"], q["truth"]["idx"]), line=F.get(q["lines"], q["truth"]["idx"]),
+                right_others=F.size(F.filter(flags, lambda f: f)), wrong_others=F.size(F.filter(flags, lambda f: ~f)),
+                truth_right=all_right(q["truth"]),
+            ),
+            lambda v: failed(q, v),
+        )
+
+    def failed(q: Column, v: Column) -> Column:
+        truth, none = q["truth"], q["truth"]["raw_json"] == NONE
+        single = (F.size(truth["answers"]) == 1) & v["truth_right"]
+        checks = [
+            ("option_count", F.size(q["lines"]) == q["n"]),
+            ("no_truth", truth.isNotNull()),
+            ("truth_is_abstain", truth["raw_json"] != ABSTAIN),
+            ("raw_differs", v["at"]["raw_json"] == truth["raw_json"]),
+            ("label_differs", v["at"]["label"] == truth["label"]),
+            ("label_in_text", F.split_part(v["line"], F.lit(" "), F.lit(1)) == text.adorn(truth["label"], label_style)),
+            ("text_differs", v["line"] == F.trim(truth["full_text"])),
+            ("one_other_correct", v["right_others"] != 1),
+            ("truth_not_single", (v["wrong_others"] != q["n"] - 1) | none | single | q["binary"]),
+            ("truth_not_correct", none | q["binary"] | v["truth_right"]),
+            *extra,
+        ]
+        names = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
+        return F.array_compact(names)
+
+    return df.withColumn("violations", text.let(case, look_up))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
