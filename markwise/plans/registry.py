@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from markwise.plans import authoring, runs, scoring, shapes, timelines
+from markwise.plans import authoring, feeds, runs, scoring, shapes, timelines
 from markwise.plans.catalog import Query
 
-MODULES = (scoring, timelines, runs, shapes, authoring)
+MODULES = (scoring, timelines, runs, shapes, authoring, feeds)
 
 
 def all_queries() -> dict[str, Query]:

@@ -336,6 +336,7 @@ SELECT event_id, user_id, CASE WHEN value < 20 THEN 'unknown' ELSE event_type EN
   CASE WHEN value < 50 THEN 'image/png' ELSE {yml} END AS mime,
   CAST(json_extract(props, '$.k') AS BIGINT) AS k
 FROM events WHERE event_type <> 'error'"""
+LOG_SQL_TEXT = LOG_SQL.format(yml=f"'{mimetypes.types_map.get('.yml', 'text/plain')}'")
 
 
 def _stages(spark, sf):
@@ -411,7 +412,7 @@ QUERIES = {
     "judge_breakdown": Query(judge_breakdown, BREAKDOWN_SQL),
     "log_flatten": Query(
         log_flatten,
-        LOG_SQL.format(yml=f"'{mimetypes.types_map.get('.yml', 'text/plain')}'"),
+        LOG_SQL_TEXT,
     ),
     "stage_transitions": Query(stage_transitions, TRANSITIONS_SQL),
     "transition_weights": Query(transition_weights, WEIGHTS_SQL),
