@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+from markwise.functions.text import let
 
 
 def mask_area(runs: Column) -> Column:
@@ -25,14 +27,21 @@ def empty_runs(h: Column, w: Column) -> Column:
 
 def runs_from_bits(bits: Column) -> Column:
     """Runs of an array of 0/1 pixels in column-major order."""
-    size = F.size(bits)
-    turns = F.filter(
-        F.sequence(F.lit(1), size - 1), lambda i: F.get(bits, i) != F.get(bits, i - 1)
-    )
-    ends = F.concat(turns, F.array(size))
-    starts = F.concat(F.array(F.lit(0)), turns)
-    runs = F.zip_with(ends, starts, lambda e, s: (e - s).cast("int"))
-    return F.when(F.get(bits, F.lit(0)) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
+
+    def runs(b: Column) -> Column:
+        size = F.size(b)
+        turns = F.filter(F.sequence(F.lit(1), size - 1), lambda i: F.get(b, i) != F.get(b, i - 1))
+        return let(
+            turns,
+            lambda t: F.concat(
+                F.when(F.get(b, F.lit(0)) == 1, F.array(F.lit(0))).otherwise(F.slice(F.array(F.lit(0)), 1, 0)),
+                F.zip_with(
+                    F.concat(t, F.array(size)), F.concat(F.array(F.lit(0)), t), lambda e, s: (e - s).cast("int")
+                ),
+            ),
+        )
+
+    return let(bits, runs)
 
 
 def _spans(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,44 +50,37 @@ def _spans(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ends - runs)[1::2], ends[1::2]
 
 
-@F.pandas_udf(LongType())
-def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Common foreground pixels of two masks of one size.
+def _filled_before(runs: np.ndarray, pixels: np.ndarray) -> np.ndarray:
+    """Foreground pixels before each given pixel; piecewise linear, so interpolated."""
+    ends = np.concatenate([[0], np.cumsum(runs)])
+    filled = np.concatenate([[0], np.cumsum(np.where(np.arange(len(runs)) % 2 == 1, runs, 0))])
+    return np.rint(np.interp(pixels, ends, filled)).astype(np.int64)
 
-    The count of b's foreground before a pixel is piecewise linear in the
-    pixel, so it is interpolated at the ends of a's runs.
-    """
 
-    def one(x, y):
-        y = np.asarray(y, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(y)])
-        filled = np.concatenate([[0], np.cumsum(np.where(np.arange(len(y)) % 2 == 1, y, 0))])
-        start, stop = _spans(np.asarray(x, dtype=np.int64))
-        return int(round((np.interp(stop, ends, filled) - np.interp(start, ends, filled)).sum()))
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common foreground pixels of two masks of one size."""
+    start, stop = _spans(np.asarray(a, dtype=np.int64))
+    b = np.asarray(b, dtype=np.int64)
+    return int((_filled_before(b, stop) - _filled_before(b, start)).sum())
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
 
-
-@F.pandas_udf(ArrayType(LongType()))
-def leading_stripes(runs: pd.Series, width: pd.Series, share: pd.Series) -> pd.Series:
-    """Stripes from which on at least ``share`` of the mask's area still follows.
+def leading_stripes(runs: np.ndarray, width: int, share: float) -> np.ndarray:
+    """Stripes of ``width`` pixels from which on ``share`` of the mask's area still follows.
 
     Two masks whose overlap is at least that share of both have their first
     common pixel in such a stripe of both.
     """
-
-    def one(x, w, s):
-        start, stop = _spans(np.asarray(x, dtype=np.int64))
-        area = (stop - start).sum()
-        if area == 0:
-            return []
-        touched = np.unique(
-            np.concatenate([np.arange(p // w, (q - 1) // w + 1) for p, q in zip(start, stop) if q > p])
-        )
-        before = np.array([np.clip(t * w - start, 0, stop - start).sum() for t in touched])
-        return touched[area - before >= s * area - 1e-9].tolist()
-
-    return pd.Series([one(*row) for row in zip(runs, width, share)])
+    runs = np.asarray(runs, dtype=np.int64)
+    start, stop = _spans(runs)
+    keep = stop > start
+    start, stop = start[keep], stop[keep]
+    if not len(start):
+        return np.array([], dtype=np.int64)
+    touched = np.unique(
+        np.concatenate([np.arange(p // width, (q - 1) // width + 1) for p, q in zip(start, stop)])
+    )
+    area = (stop - start).sum()
+    return touched[area - _filled_before(runs, touched * width) >= share * area - 1e-9]
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markwise.operators.sampling import with_position
+from markwise.session import settle
 
+BROADCAST_ROWS = 1_000_000  # rows of a few longs
 BLOCK = 250  # iterations generated by one row before the draws are expanded
-HEX = 8  # hex digits per draw; one md5 holds four draws
+PRIME = 2_147_483_647  # 2**31 - 1; x -> x**5 is a permutation modulo it
+ROUND_KEYS = (48_271, 69_621, 16_807)
 
 
 def cluster_totals(
@@ -25,8 +28,10 @@ def cluster_totals(
 def draws(sizes: DataFrame, n_sample: int, iters: int, seed: int) -> DataFrame:
     """``n_clusters, iter, cluster_idx`` for every distinct cluster count.
 
-    A draw is a hash of (seed, iteration, position), so it needs no state, can
-    be recomputed on any executor and is shared by runs of equal cluster count.
+    A draw is a keyed mix of its number, so it needs no state, can be recomputed
+    on any executor and is shared by runs of equal cluster count. The mix is
+    plain 64-bit arithmetic that stays in generated code: three rounds of
+    ``(key * x + seed) ** 5`` modulo a prime; the last two outputs make the index.
     """
     last_block = (iters - 1) // BLOCK
     blocks = sizes.select(
@@ -36,17 +41,20 @@ def draws(sizes: DataFrame, n_sample: int, iters: int, seed: int) -> DataFrame:
     rolls = blocks.select(
         "n_clusters", F.explode(F.sequence(F.col("_block") * BLOCK, upper)).alias("iter")
     ).select(
-        "n_clusters", "iter", F.explode(F.sequence(F.lit(0), F.lit((n_sample - 1) // 4))).alias("_quad")
-    ).select(
-        "n_clusters", "iter", "_quad",
-        F.md5(F.concat_ws("|", F.lit(seed), F.col("iter"), F.col("_quad"))).alias("_hash"),
+        "n_clusters", "iter", F.explode(F.sequence(F.lit(0), F.lit(n_sample - 1))).alias("_j")
     )
-    number = [
-        F.conv(F.substring("_hash", 1 + HEX * i, HEX), 16, 10).cast("long") % F.col("n_clusters")
-        for i in range(4)
-    ]
-    used = F.slice(F.array(*number), 1, F.least(F.lit(n_sample) - F.col("_quad") * 4, F.lit(4)))
-    return rolls.select("n_clusters", "iter", F.explode(used).alias("cluster_idx"))
+    number = F.col("iter").cast("long") * n_sample + F.col("_j") + seed
+    rolls = rolls.select("n_clusters", "iter", (number % PRIME).alias("_x0"))
+    for i, key in enumerate(ROUND_KEYS):
+        kept = [c for c in ("n_clusters", "iter", "_x2") if c in rolls.columns]
+        rolls = rolls.select(*kept, ((F.col(f"_x{i}") * key + seed) % PRIME).alias("_a"))
+        rolls = rolls.select(*kept, "_a", (F.col("_a") * F.col("_a") % PRIME).alias("_b"))
+        rolls = rolls.select(*kept, "_a", (F.col("_b") * F.col("_b") % PRIME).alias("_d"))
+        rolls = rolls.select(*kept, (F.col("_a") * F.col("_d") % PRIME).alias(f"_x{i + 1}"))
+    index = (F.col("_x2") * PRIME + F.col("_x3")) % F.col("n_clusters")
+    # Never null, and typed so: else a join would push a null test, and with it
+    # copies of the whole mix, down to the generator.
+    return rolls.select("n_clusters", "iter", F.coalesce(index, F.lit(0).cast("long")).alias("cluster_idx"))
 
 
 def bootstrap_trials(
@@ -58,10 +66,14 @@ def bootstrap_trials(
     With two outcome columns ``gap`` is the first minus the second.
     """
     totals = cluster_totals(df, cluster, cols, by)
-    placed = with_position(totals, by, [cluster], "cluster_idx", "n_clusters")
+    placed = settle(with_position(totals, by, [cluster], "cluster_idx", "n_clusters").drop(cluster))
+    # The planner does not know how far the draws expand, so the side is chosen here:
+    # the cluster table is broadcast when it is counted small, else it is hashed in partitions.
+    small = placed.count() <= BROADCAST_ROWS
+    clusters = F.broadcast(placed) if small else placed.hint("shuffle_hash")
     drawn = draws(placed.select("n_clusters").distinct(), n_sample, iters, seed)
     trials = (
-        drawn.join(placed.drop(cluster), ["n_clusters", "cluster_idx"])
+        drawn.join(clusters, ["n_clusters", "cluster_idx"])
         .groupBy(*by, "iter")
         .agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in cols])
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwise.functions.rle import leading_stripes, mask_area, overlap_area
+from markwise.functions.rle import leading_stripes, mask_area, overlap
 
 FRAME = ("video_id", "frame_idx")
 
@@ -87,13 +88,21 @@ def overlapping_masks(
         raise ValueError("iou_threshold must be in (0, 1]")
 
     def prepared(df: DataFrame, side: str) -> DataFrame:
-        stripes = leading_stripes(F.col("runs"), F.lit(stripe), F.lit(float(iou_threshold)))
-        return (
-            with_area(df)
-            .select(*on, F.col(key).alias(f"{key}_{side}"), F.col("area").alias(f"_area_{side}"),
-                    stripes.alias(f"_stripes_{side}"))
-            .withColumn("_stripe", F.explode(f"_stripes_{side}"))
+        """One row per mask and leading stripe."""
+        named = with_area(df).select(
+            *on, F.col(key).alias(f"{key}_{side}"), F.col("area").alias(f"_area_{side}"), "runs"
         )
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.drop("runs").schema)
+        columns, stripes = named.drop("runs").columns, f"_stripes_{side}"
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf[stripes] = [leading_stripes(r, stripe, iou_threshold).tolist() for r in pdf["runs"]]
+                pdf["_stripe"] = pdf[stripes]
+                out = pdf[[*columns, stripes, "_stripe"]].explode("_stripe").dropna(subset=["_stripe"])
+                yield out.astype({"_stripe": "int64"})
+
+        return named.mapInPandas(cut, f"{fields}, {stripes} array<long>, _stripe long")
 
     size_fits = (F.col("_area_b") >= iou_threshold * F.col("_area_a") - 1e-9) & (
         F.col("_area_a") >= iou_threshold * F.col("_area_b") - 1e-9
@@ -106,10 +115,13 @@ def overlapping_masks(
     runs_a = a.select(*on, F.col(key).alias(f"{key}_a"), F.col("runs").alias("_runs_a"))
     runs_b = b.select(*on, F.col(key).alias(f"{key}_b"), F.col("runs").alias("_runs_b"))
     both = pairs.join(runs_a, [*on, f"{key}_a"]).join(runs_b, [*on, f"{key}_b"])
-    common = overlap_area(F.col("_runs_a"), F.col("_runs_b"))
-    return (
-        both.withColumn("overlap", common)
-        .withColumn("iou", F.col("overlap") / (F.col("_area_a") + F.col("_area_b") - F.col("overlap")))
-        .filter(F.col("iou") >= iou_threshold)
-        .select(*on, f"{key}_a", f"{key}_b", "overlap", "iou")
-    )
+    kept = [*on, f"{key}_a", f"{key}_b"]
+    fields = ", ".join(f"{c} {dict(both.dtypes)[c]}" for c in kept)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["overlap"] = [overlap(x, y) for x, y in zip(pdf["_runs_a"], pdf["_runs_b"])]
+            pdf["iou"] = pdf["overlap"] / (pdf["_area_a"] + pdf["_area_b"] - pdf["overlap"])
+            yield pdf.loc[pdf["iou"] >= iou_threshold, [*kept, "overlap", "iou"]]
+
+    return both.mapInPandas(verify, f"{fields}, overlap long, iou double")

@@ -209,4 +209,4 @@ def lay_out(df: DataFrame, by: Sequence[str], order: Sequence[str], slices: int
     keys = [*by, *order]
     ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
     fixed = settle(ranged.withColumn(SLICE, F.spark_partition_id()))
-    return Laid(fixed, by, order, fixed.rdd.getNumPartitions())
+    return Laid(fixed, by, order, len(fixed.inputFiles()))

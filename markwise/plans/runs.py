@@ -136,7 +136,19 @@ def _bootstrap(iters):
     return build
 
 
-DRAW_SQL = """CAST('0x' || substr(md5('42|' || i || '|' || (j // 4)), 1 + 8 * CAST(j % 4 AS INT), 8) AS BIGINT)"""
+def _draw_sql(iters: int) -> str:
+    """CTE ``d``: cluster index of each draw, by the operator's mix."""
+    p, parts = bootstrap.PRIME, []
+    parts.append(
+        f"x0 AS (SELECT s.c, i, CAST(i * 50 + j + 42 AS BIGINT) % {p} AS x0 FROM (SELECT DISTINCT c FROM p) s, range({iters}) a(i), range(50) b(j))"
+    )
+    for r, key in enumerate(bootstrap.ROUND_KEYS):
+        keep = "c, i" + (", x2" if r == 2 else "")
+        parts.append(f"a{r} AS (SELECT {keep}, (x{r} * {key} + 42) % {p} AS a FROM x{r})")
+        parts.append(f"b{r} AS (SELECT {keep}, a, (a * a) % {p} AS b FROM a{r})")
+        parts.append(f"x{r + 1} AS (SELECT {keep}, (a * ((b * b) % {p})) % {p} AS x{r + 1} FROM b{r})")
+    parts.append(f"d AS (SELECT c, i, (x2 * {p} + x3) % c AS idx FROM x3)")
+    return ",\n".join(parts)
 
 
 def _ci_sql(cols):
@@ -152,8 +164,7 @@ WITH o AS (SELECT o_orderpriority AS run_id, o_custkey AS video_id, (o_totalpric
 t AS (SELECT run_id, video_id, sum(human) AS human, sum(model) AS model, count(*) AS n FROM o GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY video_id) - 1 AS idx,
              count(*) OVER (PARTITION BY run_id) AS c FROM t),
-d AS (SELECT s.c, i, {DRAW_SQL} % s.c AS idx
-      FROM (SELECT DISTINCT c FROM p) s, range({ITERS}) a(i), range(50) b(j)),
+{_draw_sql(ITERS)},
 r AS (SELECT run_id, i, sum(human) / sum(n) AS human, sum(model) / sum(n) AS model
       FROM d JOIN p USING (c, idx) GROUP BY run_id, i),
 g AS (SELECT *, human - model AS gap FROM r)
@@ -208,8 +219,7 @@ m AS (SELECT run_id, round(100.0 * avg(strict::INT), 6) AS micro_avg, {", ".join
 t AS (SELECT run_id, video, sum(ok::INT) AS k, count(*) AS n FROM a GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY video) - 1 AS idx,
              count(*) OVER (PARTITION BY run_id) AS c FROM t),
-d AS (SELECT s.c, i, {DRAW_SQL} % s.c AS idx
-      FROM (SELECT DISTINCT c FROM p) s, range(500) x(i), range(50) y(j)),
+{_draw_sql(500)},
 r AS (SELECT run_id, i, sum(k) / sum(n) AS ci FROM d JOIN p USING (c, idx) GROUP BY run_id, i),
 ci AS (SELECT run_id, {_ci_sql(['ci'])} FROM r GROUP BY run_id)
 SELECT model || '_' || setting AS result_key, run_id, model,
