@@ -87,10 +87,9 @@ def invert_intervals(
         .select(*by, F.col("_from").alias(start), F.col("_next").alias(end))
     )
     if require:
-        some = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        missing = F.raise_error(F.lit("no interval is left")).cast("long")
-        checked = totals.select(*by).join(some, list(by), "left").select(
-            *by, F.coalesce("_n", missing).alias("_n")
+        missing = F.raise_error(F.lit("no interval is left"))
+        kind = left.schema[start].dataType
+        left = totals.select(*by).join(left, list(by), "left").withColumn(
+            start, F.coalesce(start, missing.cast(kind))
         )
-        left = left.join(checked.filter("_n > 0").select(*by), list(by))
     return left
