@@ -174,6 +174,16 @@ def map_part_ids(text: Column, renamed, word: str = "Part", token: str = "{}") -
     return F.array_join(F.transform(pieces, piece), "")
 
 
+def natural_key(name: Column) -> Column:
+    """Sort key that orders digit runs as numbers and ignores case: ``a2`` before ``A10``.
+
+    An array that alternates text and padded numbers, text first.
+    """
+    tokens = F.split(name, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    keys = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 20, "0")).otherwise(F.lower(t)))
+    return F.when(name.rlike(r"^\d"), F.concat(F.array(F.lit("")), keys)).otherwise(keys)
+
+
 def time_mark(seconds: Column) -> Column:
     """``[mm:ss]``."""
     whole = F.floor(seconds)

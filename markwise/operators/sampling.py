@@ -171,14 +171,14 @@ def sample_with_forced(
         "_forced", F.coalesce(forced, F.lit(False))
     )
     both = placed.join(wanted, [*by, "global_idx"], "left").filter("_forced OR _uniform")
-    rank = [F.col("global_idx").alias("_rank_idx")]
     first = F.when(F.col("_forced"), 0).otherwise(1) if keep_forced else F.lit(0)
-    ranked = lay_out(both.withColumns({"_first": first}).withColumn("_rank", rank[0]), by,
-                     ["_first", "_rank"], slices).scan(_place=ordered.ordinal()).rows()
+    ranked = lay_out(both.withColumn("_first", first), by, ["_first", "global_idx"], slices).scan(
+        _place=ordered.ordinal()
+    ).rows()
     keep = F.col("_place") < k
     if keep_forced:
         keep = keep | F.col("_forced")
-    return ranked.filter(keep).drop("_first", "_rank", "_place", "_forced", "_uniform")
+    return ranked.filter(keep).drop("_first", "_place", "_forced", "_uniform")
 
 
 def chunk(

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from markwise.functions import ids, text
 from markwise.operators import convert, media, questions, render
+from markwise.operators.sampling import with_position
+from markwise.operators.score import with_question_ids
 from markwise.plans.catalog import Query, micros, table
 from markwise.plans.shapes import FRAME, GRAPH_SQL, edges, frame_parts
 from markwise.plans.timelines import FRAMES_SQL
@@ -360,8 +362,6 @@ def qid_hash(spark, sf):
     rows = table(spark, sf, "orders").select(
         "o_orderkey", path.alias("qid_flat"), ids.content_key(ids.canonical_json(params)).alias("media_key")
     )
-    from markwise.operators.score import with_question_ids
-
     return with_question_ids(rows).withColumn("qid", F.sha2("qid_flat", 256))
 
 
@@ -375,8 +375,6 @@ SELECT o_orderkey, qid_flat, sha256(qid_flat) AS qid, split_part(qid_flat, '/',
 
 def _manifest(spark, sf):
     """Events of a user in order are the frames of its video; its first two errors are the prompts."""
-    from markwise.operators.sampling import with_position
-
     rows = table(spark, sf, "events").select(
         F.col("user_id").alias("conv_id"), "event_id", micros(F.col("ts")).alias("t"), "event_type"
     )
@@ -581,7 +579,18 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS price,
   CASE WHEN l_partkey > 500 THEN greatest(CAST(ceil((l_partkey - l_linenumber) / (500 - l_linenumber)) AS BIGINT), 1) ELSE 1 END AS stride
 FROM lineitem"""
 
+
+
+def natural_order(spark, sf):
+    """Natural sort keys of the parts' file names."""
+    name = F.concat(F.upper("p_name"), F.lit("_"), "p_partkey", F.lit(".Mp4"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(text.natural_key(name), "|").alias("key"))
+
+
+NATURAL_SQL = "SELECT p_partkey, p_name || '_|' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') || '|.mp|' || lpad('4', 20, '0') AS key FROM part"
+
 QUERIES = {
+    "natural_order": Query(natural_order, NATURAL_SQL),
     "make_2part": Query(make_2part, MAKE_2PART_SQL),
     "make_1part": Query(make_1part, MAKE_1PART_SQL),
     "find_edges": Query(find_edges, FIND_EDGES_SQL),
