@@ -75,10 +75,13 @@ def score(
         _count(F.col("correct") > 0).alias("any"),
         F.sum(F.lit(100.0) / F.col("n_options")).alias("chance"),
     )
-    micro = cells.groupBy(*by, "truth").agg(*[F.sum(c).alias(c) for c in parts])
+    # Each small row counts for its category and for the micro row; no second read of the input.
+    both = F.explode(F.array(F.col("category"), F.lit(MICRO)))
     n = F.sum("n")
     out = (
-        cells.unionByName(micro.withColumn("category", F.lit(MICRO)))
+        cells.withColumn("category", both)
+        .groupBy(*by, "category", "truth")
+        .agg(*[F.sum(c).alias(c) for c in parts])
         .groupBy(*by, "category")
         .agg(
             n.alias("n_questions"),

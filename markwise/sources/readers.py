@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,7 +34,7 @@ def response_paths(path: str | None = None, paths: str | Iterable[str] | None =
 
 
 def numbered_lines(
-    spark: SparkSession, paths: str | Sequence[str], by: Column | None = None, slices: int | None = None
+    spark: SparkSession, paths: str | Sequence[str], slices: int | None = None
 ) -> DataFrame:
     """Text lines with ``path, file_no, line_no``.
 
@@ -52,7 +52,7 @@ def numbered_lines(
     order = F.create_map(
         *[F.lit(x) for i, p in enumerate(given) for x in (re.sub(_SCHEME, "", p), i)]
     )
-    lines = lines.withColumn("file_no", by if by is not None else F.coalesce(order[F.col("path")], F.lit(len(given))))
+    lines = lines.withColumn("file_no", F.coalesce(order[F.col("path")], F.lit(len(given))))
     return with_position(lines, ["path"], ["_block", "_row"], "line_no", slices=slices).drop("_block", "_row")
 
 
