@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse words.
 
-One weight per word is shared by all thresholds: P(grade >= k) is the logistic
-of (sum of the weights of a text's distinct words - threshold k), with ordered
+The features are a text's distinct words and word beginnings of four to six bytes. One weight per
+feature is shared by all thresholds: P(grade >= k) is the logistic of (sum of
+the weights of the text's features - threshold k), with ordered
 thresholds. The expected severity is the sum of these over k.
 
 The labels only say toxic or not. A toxic training text gets grade 1 to
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markwise.llm.arrays import FOLD, LETTERED, Chunk, chunks, row_starts, words
+from markwise.llm.arrays import FOLD, LETTERED, Chunk, RangeHash, chunks, row_starts, words
 from markwise.llm.columns import bounded_sample, per_text
 
 
+BEGINNINGS = (4, 5, 6)
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     words: np.ndarray  # sorted hashes
@@ -33,12 +37,26 @@ class OrdinalModel:
     thresholds: np.ndarray
 
 
+def _features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word and word beginning."""
+    data = FOLD[c.data]
+    found = words(data, c.bounds, LETTERED)
+    hashed = RangeHash(data)
+    rows, hashes = [found.row], [found.hash]
+    for n in BEGINNINGS:
+        long = found.end - found.start > n
+        start = found.start[long]
+        rows.append(found.row[long])
+        hashes.append(hashed(start, start + n))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def _distinct_words(c: Chunk, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, index in ``vocabulary``) pairs."""
-    found = words(FOLD[c.data], c.bounds, LETTERED)
-    at = np.minimum(np.searchsorted(vocabulary, found.hash), len(vocabulary) - 1)
-    hit = vocabulary[at] == found.hash
-    pairs = np.unique(found.row[hit] * len(vocabulary) + at[hit])
+    row, word = _features(c)
+    at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+    hit = vocabulary[at] == word
+    pairs = np.unique(row[hit] * len(vocabulary) + at[hit])
     return pairs // len(vocabulary), pairs % len(vocabulary)
 
 
@@ -49,10 +67,14 @@ def _word_table(sample: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(0)):
-                found = words(FOLD[c.data], c.bounds, LETTERED)
-                row, word = np.unique(np.stack([found.row.astype(np.uint64), found.hash]), axis=1)
+                row, word = _features(c)
+                order = np.lexsort((word, row))
+                row, word = row[order], word[order]
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+                row, word = row[new], word[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word.view(np.int64)), pa.array(toxic[c.first : c.last][row.astype(np.int64)])],
+                    [pa.array(word.view(np.int64)), pa.array(toxic[c.first : c.last][row])],
                     ["word", "toxic"],
                 )
 
@@ -75,9 +97,14 @@ def _design(sample: DataFrame, vocabulary: np.ndarray) -> tuple[list[np.ndarray]
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_words: int = 4096, grades: int = 3, seed: int = 5
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_words: int = 4096, least_evidence: float = 25.0,
+    grades: int = 3, seed: int = 5,
 ) -> OrdinalModel:
-    """A model from at most ``max_rows`` labelled documents, taken by hash, and the ``n_words`` most telling words."""
+    """A model from at most ``max_rows`` labelled documents, taken by hash, and the ``n_words`` most telling words.
+
+    A word is telling by (toxic texts - expected) ** 2 / expected. Words below
+    ``least_evidence`` are left out: among some ten thousand words, chance alone rarely reaches it.
+    """
     named = (
         labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
@@ -94,7 +121,7 @@ def fit(
         )
         expected = F.col("n") * (n[1] / (n[0] + n[1]))
         telling = (F.col("bad") - expected) * (F.col("bad") - expected) / expected
-        rows = counts.filter("n >= 3").orderBy(telling.desc(), "word").limit(n_words).collect()
+        rows = counts.filter("n >= 3").filter(telling >= least_evidence).orderBy(telling.desc(), "word").limit(n_words).collect()
         if not rows:
             return OrdinalModel(np.zeros(1, np.uint64), np.zeros(1), np.full(grades, np.inf))
         rows.sort(key=lambda r: r.word & (2**64 - 1))
@@ -110,7 +137,7 @@ def fit(
     return _fit_ordinal(vocabulary, texts, grade, grades)
 
 
-def _fit_ordinal(vocabulary, texts, grade, grades: int, steps: int = 300, ridge: float = 2e-4) -> OrdinalModel:
+def _fit_ordinal(vocabulary, texts, grade, grades: int, steps: int = 500, ridge: float = 2e-5) -> OrdinalModel:
     """Maximum likelihood of P(grade = k) = F(t[k+1] - s) - F(t[k] - s), by Adam on all rows."""
     row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     at = np.concatenate(texts) if len(texts) else np.zeros(0, np.int64)
