@@ -8,12 +8,13 @@ A tree node whose members can be compared exhaustively is a leaf; a larger one
 branches again at positions chosen by its name. ``TREES`` independent trees make
 the chance to miss a link of similarity 0.75 about (1/9) ** 6, or 2 in a million, at any depth.
 
-Links inside one class needn't be found twice, so: first each node of the first
-level compares its members with its smallest one, and the links found give
-provisional classes. Then a node of one class is done, and a leaf compares
-members of different classes only; a node is a leaf if all but ``LEAF`` of its
-members are of one class. So a group of thousands of near copies costs a star,
-not all its pairs. All links are confirmed on the full sets.
+Links inside one class needn't be found twice, so nodes first compare their members
+with one centre, and the links found give provisional classes; further centres
+are drawn by hash, and only members outside a centre's class are compared with
+it. A node of one class is done, and a leaf compares members of different
+classes only; a node is a leaf if all but ``LEAF`` of its members are of one class.
+So a group of thousands of near copies costs a few stars, not all its pairs. All
+links are confirmed on the full sets.
 
 Null texts and texts without words have empty sets and link with nothing.
 Repeated rows are in one class. Rows with a null doc_id have no class (null
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwise.llm.arrays import FOLD, SOLID, Chunk, chunks, mix, row_starts, words
@@ -34,22 +35,27 @@ from markwise.llm.columns import settle
 
 SHINGLE = 5
 HASHES = 128
+#: Minhash values of which two bits each are compared before a pair is confirmed; the first ``HASHES`` embed the set.
+DIGESTED = 512
 TREES = 6
 BRANCHES = 2
-LEAF = 64
+LEAF = 512
 #: Levels after which a node is compared exhaustively whatever its size.
 DEEPEST = 40
-#: Of 128 two-bit digests, those that may differ: similarity 0.75 has 24 on average, with deviation 4.4.
-MOST_DIFFERENT = 48
+#: Of the two-bit digests, those that may differ: similarity 0.75 has 96 on average, with deviation 8.8.
+MOST_DIFFERENT = 134
 
 _draw = np.random.default_rng(1)
-_XOR = _draw.integers(0, 2**32, HASHES, dtype=np.uint32)
-_ODD = _draw.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-DIGESTS = ["d0", "d1", "d2", "d3"]
-SKETCH = (
-    "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, d0 bigint, d1 bigint, d2 bigint, d3 bigint, "
-    "nodes array<bigint>, mins array<int>"
-)
+_XOR = _draw.integers(0, 2**32, DIGESTED, dtype=np.uint32)
+_ODD = _draw.integers(0, 2**31, DIGESTED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+N_DIGESTS = DIGESTED // 32
+DIGESTS = [f"d{i}" for i in range(N_DIGESTS)]
+MEMBER = ["doc_id", "class", "n_shingles", *DIGESTS]
+#: Stars around other centres before a first-level node is compared or branches.
+TURNS = 2
+SKETCH = ", ".join([
+    *(f"{c} bigint" for c in ("doc_id", "n_shingles", "set_a", "set_b", *DIGESTS)), "nodes array<bigint>", "mins array<int>",
+])
 
 
 def shingle_sets(c: Chunk) -> Iterator[np.ndarray]:
@@ -75,14 +81,14 @@ def shingle_sets(c: Chunk) -> Iterator[np.ndarray]:
 
 def _minhash(shingles: np.ndarray) -> np.ndarray:
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for i in range(0, len(low), 2048):
-        least = np.minimum(least, ((low[i : i + 2048, None] ^ _XOR) * _ODD).min(axis=0))
+    least = np.full(DIGESTED, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for i in range(0, len(low), 512):
+        least = np.minimum(least, ((low[i : i + 512, None] ^ _XOR) * _ODD).min(axis=0))
     return least
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
-    """Two bits of each minhash as four numbers, low bits first."""
+    """Two bits of each minhash as whole numbers, low bits first."""
     return np.concatenate([np.packbits(((values >> k) & 1).astype(np.uint8)).view(np.int64) for k in (0, 1)])
 
 
@@ -107,12 +113,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                     values = _minhash(s)
                     digests.append(_bits(values))
                     nodes.append(_first_nodes(values) if len(s) else np.zeros(0, np.int64))
-                    mins.append(values.view(np.int32))
+                    mins.append(values[:HASHES].view(np.int32))
                 digests = np.array(digests)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[c.first : c.last], pa.array(size, pa.int64()),
                      *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (a, b)),
-                     *(pa.array(digests[:, k]) for k in range(4)),
+                     *(pa.array(digests[:, k]) for k in range(N_DIGESTS)),
                      pa.array(nodes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int32()))], names,
                 )
 
@@ -122,17 +128,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _alike(a: str, b: str) -> Column:
     """Whether two digests and set sizes allow a similarity of 0.75."""
     col = lambda side, name: F.col(f"{side}.{name}")
-    different = sum(
-        (F.bit_count(
-            col(a, f"d{i}").bitwiseXOR(col(b, f"d{i}")).bitwiseOR(col(a, f"d{i + 2}").bitwiseXOR(col(b, f"d{i + 2}")))
-        ) for i in (0, 1)), F.lit(0),
-    )
+    unlike = lambda i: col(a, f"d{i}").bitwiseXOR(col(b, f"d{i}"))
+    half = N_DIGESTS // 2
+    different = sum((F.bit_count(unlike(i).bitwiseOR(unlike(i + half))) for i in range(half)), F.lit(0))
     n, m = col(a, "n_shingles"), col(b, "n_shingles")
     return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & (different <= MOST_DIFFERENT)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= 75 * union, on full sets."""
+    if pairs.isEmpty():
+        return pairs
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = settle(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
@@ -185,12 +191,57 @@ def _leaf_pairs(members: DataFrame, cut: DataFrame) -> DataFrame:
     different = (F.col("a.class") != F.col("b.class")) & (F.col("a.doc_id") != F.col("b.doc_id"))
     return a.join(b, (F.col("a.node") == F.col("b.node")) & different & _alike("a", "b")).select(
         F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")
+    ).distinct()
+
+
+def _star_pairs(members: DataFrame, order: Column) -> DataFrame:
+    """Each member of a tree node with the node's first member by ``order``, if of another class."""
+    centre = members.groupBy("node").agg(F.min(F.struct(order.alias("_order"), *MEMBER)).alias("centre"))
+    centre = settle(centre.select("node", *[f"centre.{c}" for c in MEMBER]))
+    star = members.alias("a").join(centre.alias("b"), F.col("a.node") == F.col("b.node"))
+    star = star.filter((F.col("a.class") != F.col("b.class")) & _alike("a", "b"))
+    return star.select(
+        F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")
+    ).distinct()
+
+
+def _undecided(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members with their class, of tree nodes that hold more than one class; with the size of the node's largest class."""
+    if found is not None:
+        known = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("class"))
+        members = members.drop("class").join(known, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    of_class = members.groupBy("node", "class").agg(F.count(F.lit(1)).alias("n"))
+    of_node = of_class.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
+    of_node = of_node.filter(F.col("n") > F.col("most.n")).select(
+        "node", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("main")
     )
+    return settle(members.select("node", *MEMBER).join(of_node, "node"))
+
 
+def branches(wide: DataFrame, looked_at: int = 32) -> DataFrame:
+    """(node, positions): the minhash positions at which a node branches, chosen by the node's name.
 
-def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
-    known = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("class"))
-    return rows.join(known, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    A position at which most members agree (of ``looked_at``, by hash) splits
+    nothing: a passage that all members share takes such positions. The others
+    are drawn from, and more of them, so that a pair of similarity 0.75, which
+    agrees on 96 of the 128, still loses a branch with probability 1/9 at most.
+    """
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "doc_id")))
+    few = wide.select("node", "mins", place.alias("place")).filter(F.col("place") <= looked_at).drop("place")
+
+    def choose(table: pa.Table) -> pa.Table:
+        node = table.column("node")[0].as_py()
+        mins = np.array(table.column("mins").to_pylist(), dtype=np.int32)
+        agree = (mins[:, None, :] == mins[None, :, :]).sum(axis=0).max(axis=0)
+        free = np.flatnonzero(agree * 2 <= len(mins))
+        shared = (0.75 * HASHES - (HASHES - len(free))) / max(1, len(free))
+        if shared < 0.05:  # members alike almost everywhere
+            free, shared = np.arange(HASHES), 0.75
+        n = max(BRANCHES, int(np.ceil(np.log(1 / 9) / np.log(1 - shared))))
+        drawn = np.random.default_rng(node % (1 << 63)).permutation(free)[:n]
+        return pa.table({"node": [node], "positions": [drawn.astype(np.int32)]})
+
+    return few.groupBy("node").applyInArrow(choose, "node bigint, positions array<int>")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -202,50 +253,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("n_copies"))
     least = settle(least)
     unique = named.join(least.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unique = settle(unique.drop("set_a", "set_b"))
-
-    tree = unique.select("doc_id", "n_shingles", *DIGESTS, F.explode("nodes").alias("node"))
-    sizes = tree.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "n_shingles", *DIGESTS)).alias("centre")
-    )
-    sizes = settle(sizes.filter("n > 1"))
-    shared = settle(tree.join(sizes.select("node"), "node", "left_semi"))
-
-    star = shared.alias("a").join(sizes.select("node", "centre.*").alias("b"), F.col("a.node") == F.col("b.node"))
-    star = star.filter((F.col("a.doc_id") != F.col("b.doc_id")) & _alike("a", "b"))
-    pairs = settle(star.select(F.col("b.doc_id").alias("a"), F.col("a.doc_id").alias("b")).distinct())
-    links = settle(confirmed(rows, pairs))
-    found = settle(classes(links))
+    unique = settle(unique.drop("set_a", "set_b").withColumn("class", F.col("doc_id")))
 
-    members = settle(_with_class(shared, found))
-    candidates, depth = None, 1
+    members = _undecided(unique.select(*MEMBER, F.explode("nodes").alias("node")), None)
+    tested = settle(_star_pairs(members, F.lit(0)))
+    links = settle(confirmed(rows, tested))
+    found = classes(links)
+    depth = 1
     while True:
-        by_class = members.groupBy("node", "class").agg(F.count(F.lit(1)).alias("n"))
-        of_node = by_class.groupBy("node").agg(
-            F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")
-        ).filter(F.col("n") > F.col("main.n"))
-        of_node = settle(of_node.select("node", F.col("n") - F.col("main.n") <= LEAF if depth < DEEPEST else F.lit(True).alias("x"), "main.class").toDF("node", "leaf", "main"))
-        leaf = _leaf_pairs(members, of_node.filter("leaf").select("node", "main"))
-        candidates = leaf if candidates is None else candidates.unionByName(leaf)
-        wide = of_node.filter("NOT leaf").select("node")
+        for turn in range(TURNS if depth == 1 else 1):
+            members = _undecided(members, found)
+            star = _star_pairs(members, F.xxhash64("node", "doc_id", F.lit(turn)))
+            pairs = settle(star.join(tested, ["a", "b"], "left_anti"))
+            tested = tested.unionByName(pairs)
+            new = settle(confirmed(rows, pairs))
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                found = classes(links)
+        members = _undecided(members, found)
+        small = (F.col("others") <= LEAF) if depth < DEEPEST else F.lit(True)
+        cut = members.filter(small).select("node", "main").distinct()
+        pairs = settle(_leaf_pairs(members.drop("main"), cut).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        new = settle(confirmed(rows, pairs))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = classes(links)
+        wide = members.filter(~small)
         if wide.isEmpty():
             break
-        choice = F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), F.lit(HASHES)).cast("int") for i in range(BRANCHES)])
-        grown = members.join(wide, "node").join(unique.select("doc_id", "mins"), "doc_id")
-        grown = grown.withColumn("at", F.explode(choice)).withColumn(
-            "node", F.xxhash64("node", "at", F.get("mins", F.col("at")))
-        )
-        members = settle(grown.select(*members.columns))
+        wide = settle(wide.select("node", *MEMBER).join(unique.select("doc_id", "mins"), "doc_id"))
+        grown = wide.join(branches(wide), "node").withColumn("at", F.explode("positions"))
+        grown = grown.withColumn("node", F.xxhash64("node", "at", F.get("mins", F.col("at"))))
+        members = grown.select("node", *MEMBER)
         depth += 1
-    second = settle(confirmed(rows, settle(candidates.distinct())))
-    found = settle(classes(links.unionByName(second)))
 
     node = least.join(found, least.doc_id == found.id, "left").select(
         "set_a", "set_b", "n_copies", F.coalesce("component_id", "doc_id").alias("component_id")
     )
     out = every.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        node.withColumn("some", F.lit(True)),
-        (every.set_a == node.set_a) & (every.set_b == node.set_b) & (every.n_shingles > 0), "left",
+        node, (every.set_a == node.set_a) & (every.set_b == node.set_b) & (every.n_shingles > 0), "left"
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
