@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C55)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -72,7 +72,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
             _powers.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 4 * CHUNK_BYTES:  # the tables of an outsize text aren't kept
+        if size > 8 * CHUNK_BYTES:  # the tables of an outsize text aren't kept
             kept = list(_powers)
             _powers[:] = []
             return kept

@@ -52,7 +52,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for c in chunks(batch.column(0), 8 << 20):
+            for c in chunks(batch.column(0), 2 << 20):
                 word, n = np.unique(words(FOLD[c.data], c.bounds, SOLID).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 

@@ -226,7 +226,7 @@ def pack(
 
 
 def _rows(encode: WordTokens, texts: pa.Array) -> Iterator[np.ndarray]:
-    for c in chunks(texts):
+    for c in chunks(texts, 2 << 20):  # fewer, larger look-ups among the known words
         ids, starts = encode(c.data, c.bounds)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             yield ids[a:b]
