@@ -72,14 +72,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
-    """At most ``per_language`` documents of each language, taken by hash of their text: ids only, then their texts."""
+def _sample(docs: DataFrame, per_language: int, max_rows: int, seed: int) -> DataFrame:
+    """At most ``per_language`` documents of each language and ``max_rows`` in all, taken by hash of doc_id."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     chosen = (
         docs.select("doc_id", "lang").withColumn("_place", F.row_number().over(order))
-        .filter(F.col("_place") <= per_language).select("doc_id", "_place")
+        .filter(F.col("_place") <= per_language).orderBy("_place", "lang").limit(max_rows).select("doc_id", "_place")
     )
-    return docs.join(chosen, "doc_id").filter(has_letter(F.col("text")))
+    # At most max_rows rows of two numbers.
+    return docs.join(F.broadcast(chosen), "doc_id").filter(has_letter(F.col("text")))
 
 
 def has_letter(text: Column) -> Column:
@@ -87,14 +88,15 @@ def has_letter(text: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame, per_language: int = 500, landmarks_per_language: int = 32, ridge: float = 1e-3, seed: int = 8
+    docs: DataFrame, per_language: int = 500, landmarks_per_language: int = 32, max_rows: int = 20_000,
+    ridge: float = 1e-3, seed: int = 8,
 ) -> KernelModel | None:
     """A model from at most ``per_language`` learnable documents of each language.
 
     The first ``landmarks_per_language`` of them by hash are the landmarks.
     What reaches the driver is landmark n-gram sets and kernel rows, not texts.
     """
-    rows = _sample(learnable(docs), per_language, seed).persist()
+    rows = _sample(learnable(docs), per_language, max_rows, seed).persist()
     try:
 
         def sets(batches):
