@@ -72,11 +72,13 @@ def non_edges(frame_parts: DataFrame, edges: DataFrame, frame: Sequence[str]) ->
 
 
 def clean_pairs(pairs: DataFrame, parts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Model-reported pairs: ends sorted, distinct, no loops, both ends known."""
-    ends = F.array_sort(F.array("src", "dst"))
+    """Model-reported pairs: ends sorted by number, distinct, no loops, both ends known."""
+    sorted_ = number("src") <= number("dst")
     tidy = (
-        pairs.select(*by, ends.alias("_e"))
-        .select(*by, F.col("_e")[0].alias("src"), F.col("_e")[1].alias("dst"))
+        pairs.select(
+            *by, F.when(sorted_, F.col("src")).otherwise(F.col("dst")).alias("src"),
+            F.when(sorted_, F.col("dst")).otherwise(F.col("src")).alias("dst"),
+        )
         .filter("src <> dst")
         .distinct()
     )

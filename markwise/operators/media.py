@@ -17,7 +17,6 @@ from markwise.functions.ids import recipe_key
 from markwise.operators.sampling import with_position
 
 Step = tuple[str, Callable[[DataFrame], DataFrame], Mapping]
-MAX_PROMPTS = 2  # a question has at most two prompt frames
 
 
 def embed(manifest: DataFrame, prompts: DataFrame, by: Sequence[str] = ("conv_id",)) -> DataFrame:
@@ -27,11 +26,7 @@ def embed(manifest: DataFrame, prompts: DataFrame, by: Sequence[str] = ("conv_id
 
 
 def _prompt_list(prompts: DataFrame, by: Sequence[str]) -> DataFrame:
-    too_many = F.raise_error(F.lit("more than two prompt frames")).cast("int")
-    checked = prompts.withColumn(
-        "prompt_no", F.when(F.col("prompt_no") < MAX_PROMPTS, F.col("prompt_no")).otherwise(too_many)
-    )
-    return checked.groupBy(*by).agg(
+    return prompts.groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_set(F.struct("prompt_no", "ref"))), lambda p: p["ref"]).alias("_prompts")
     )
 
@@ -99,16 +94,17 @@ def relevant_frames(
 
     ``scores``: by[, clip], span (``"7"`` or ``"3-9"``), score. Spans are inclusive
     and start no earlier than ``offset``. A clip without any score counts as
-    fully relevant. A span lies inside its clip, so its indices are expanded for an
-    equality join.
+    fully relevant; a reversed span holds nothing. A span is cut to the frames its key
+    has before its indices are expanded for an equality join.
     """
     key = [*by, clip] if clip else list(by)
     ends = F.split("span", "-")
     low = F.greatest(ends[0].cast("long"), F.lit(offset))
     high = F.element_at(ends, -1).cast("long")
-    good = scores.filter((F.col("score") >= threshold) & (high >= offset)).select(
-        *key, F.explode(F.sequence(low, high)).alias(index)
-    ).distinct()
+    reach = frames.groupBy(*key).agg(F.min(index).alias("_first"), F.max(index).alias("_last"))
+    spans = scores.filter(F.col("score") >= threshold).select(*key, low.alias("_low"), high.alias("_high")).join(reach, key)
+    spans = spans.select(*key, F.greatest("_low", "_first").alias("_low"), F.least("_high", "_last").alias("_high"))
+    good = spans.filter("_low <= _high").select(*key, F.explode(F.sequence("_low", "_high")).alias(index)).distinct()
     scored = scores.select(*key).distinct().withColumn("_scored", F.lit(True))
     tagged = (
         frames.join(good.withColumn("_good", F.lit(True)), [*key, index], "left")

@@ -383,7 +383,7 @@ def _manifest(spark, sf):
     errors = with_position(
         placed.filter("event_type = 'error'").select("conv_id", "pos", "event_id"), ["conv_id"], ["pos"], "prompt_no"
     )
-    prompts = errors.filter("prompt_no < 2").select(
+    prompts = errors.select(
         "conv_id", "prompt_no", F.col("pos").alias("frame_idx"), F.concat(F.lit("p"), "event_id").alias("ref")
     )
     return frames, prompts
@@ -391,8 +391,7 @@ def _manifest(spark, sf):
 
 MANIFEST_SQL = FRAMES_SQL + """,
 m AS (SELECT user_id AS conv_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS pos FROM frames),
-pr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS no FROM m WHERE event_type = 'error'
-       QUALIFY no < 2)"""
+pr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS no FROM m WHERE event_type = 'error')"""
 
 
 def recipe_concat(spark, sf):

@@ -10,7 +10,7 @@ from markwise.operators import bootstrap, judge, ledger, logs, packing, score, t
 from markwise.plans.catalog import Query, micros, rounded, table
 from markwise.plans.scoring import TRUTH
 
-ITERS = 2_000
+ITERS = 100_000
 
 
 # --- ledger -------------------------------------------------------------------
@@ -199,7 +199,7 @@ def _runs(spark, sf):
 
 def tabulate_runs(spark, sf):
     out = tabulate.tabulate(
-        _run_rows(spark, sf), _runs(spark, sf), PRIORITIES, iters=500, n_sample=50
+        _run_rows(spark, sf), _runs(spark, sf), PRIORITIES, iters=ITERS, n_sample=50
     )
     return rounded(out)
 
@@ -219,7 +219,7 @@ m AS (SELECT run_id, round(100.0 * avg(strict::INT), 6) AS micro_avg, {", ".join
 t AS (SELECT run_id, video, sum(ok::INT) AS k, count(*) AS n FROM a GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY video) - 1 AS idx,
              count(*) OVER (PARTITION BY run_id) AS c FROM t),
-{_draw_sql(500)},
+{_draw_sql(ITERS)},
 r AS (SELECT run_id, i, sum(k) / sum(n) AS ci FROM d JOIN p USING (c, idx) GROUP BY run_id, i),
 ci AS (SELECT run_id, {_ci_sql(['ci'])} FROM r GROUP BY run_id)
 SELECT model || '_' || setting AS result_key, run_id, model,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from markwise.functions.rle import decode_counts
+from markwise.functions.text import natural_key
 from markwise.operators import ordered
 from markwise.operators.logs import flatten_events
 from markwise.operators.sampling import with_position
@@ -38,21 +39,22 @@ def numbered_lines(
 ) -> DataFrame:
     """Text lines with ``path, file_no, line_no``.
 
-    Files are numbered in the order given, or by path inside a folder. A line's
-    number comes from the start of its split and its place there, so large files
+    ``file_no`` is the place of the given path; files of one given folder or
+    pattern share it and are told apart by ``path``, in natural order. A line's number comes from the start of its split and its place there, so large files
     are still read in parallel.
     """
     given = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(given).select(
-        "value",
-        F.regexp_replace(F.url_decode("_metadata.file_path"), _SCHEME, "").alias("path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    order = F.create_map(
-        *[F.lit(x) for i, p in enumerate(given) for x in (re.sub(_SCHEME, "", p), i)]
-    )
-    lines = lines.withColumn("file_no", F.coalesce(order[F.col("path")], F.lit(len(given))))
+    parts = [
+        spark.read.text(p).select(
+            "value",
+            F.regexp_replace(F.url_decode("_metadata.file_path"), _SCHEME, "").alias("path"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+            F.lit(i).alias("file_no"),
+        )
+        for i, p in enumerate(given)
+    ]
+    lines = reduce(DataFrame.unionByName, parts)
     return with_position(lines, ["path"], ["_block", "_row"], "line_no", slices=slices).drop("_block", "_row")
 
 
@@ -61,13 +63,13 @@ def read_responses(
 ) -> DataFrame:
     """Answers in file and line order; ``response`` may be a text or an object."""
     lines = numbered_lines(spark, response_paths(path, paths)).filter(F.trim("value") != "")
-    rows = lines.select("file_no", "line_no", F.from_json("value", schemas.RESPONSE, {"mode": "FAILFAST"}).alias("r"))
+    rows = lines.select("file_no", "path", "line_no", F.from_json("value", schemas.RESPONSE, {"mode": "FAILFAST"}).alias("r"))
     is_object = F.col("response_raw").startswith("{") & F.try_parse_json("response_raw").isNotNull()
     part = lambda field: F.get_json_object("response_raw", f"$.{field}")
     question = F.from_json("r.question", schemas.QUESTION)
     return (
         rows.select(
-            "file_no", "line_no", "r.conv_id", question.alias("question"), F.col("r.response").alias("response_raw"),
+            "file_no", "path", "line_no", "r.conv_id", question.alias("question"), F.col("r.response").alias("response_raw"),
             "r.post_processed_response",
         )
         .withColumn(
@@ -84,13 +86,13 @@ def attempts(responses: DataFrame) -> DataFrame:
     truth = F.col("question.question.correct_option.label")
     return with_question_ids(
         responses.select(
-            "file_no", "line_no", F.col("question.qid_flat").alias("qid_flat"),
+            "file_no", "path", "line_no", F.col("question.qid_flat").alias("qid_flat"),
             F.col("question.question_category").alias("category"), F.col("question.video_id").alias("video_id"),
             truth.alias("truth"), F.col("question.question.num_options").alias("n_options"),
             F.get_json_object("question.question.correct_option.raw", "$").alias("raw_truth"),
             "response_text", "post_processed_response",
         )
-    ).withColumn("ordinal", F.struct("file_no", "line_no"))
+    ).withColumn("ordinal", F.struct("file_no", natural_key(F.col("path")).alias("file_key"), "path", "line_no"))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

@@ -29,14 +29,14 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_tracks(df: DataFrame, path: str, clip_frames: int = CLIP_FRAMES, format: str = "parquet") -> None:
-    """Mask tracks by video, prompt frame and clip (``frame_idx div clip_frames``)."""
+    """Mask tracks by video, prompt frame and clip (``frame_idx div clip_frames``); clips not in ``df`` stay as stored."""
     clip = F.floor(F.col("frame_idx") / clip_frames)
     keys = ["video_id", "prompt_frame_idx", "clip_idx"]
     rows = df.withColumn("clip_idx", clip)
     # One task per clip of a track: a long track spreads over its clips.
-    rows.repartition(*keys).sortWithinPartitions(*keys, "frame_idx").write.mode("overwrite").partitionBy(*keys).format(
-        format
-    ).save(path)
+    rows.repartition(*keys).sortWithinPartitions(*keys, "frame_idx").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*keys).format(format).save(path)
 
 
 def write_converted(df: DataFrame, issues: DataFrame, path: str) -> None:

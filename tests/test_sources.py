@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from markwise.operators import sampling
+from markwise.operators import graph, media, sampling
 from markwise.sources import readers, sinks
 from markwise.streaming import live
 
@@ -139,3 +139,39 @@ def test_stream_in_several_batches(spark, tmp_path):
         live.scoreboard_stream(stream, str(tmp_path / "board"), str(tmp_path / "board-state")).awaitTermination()
     row = live.scoreboard(spark, str(tmp_path / "board")).first()
     assert (row.correct, row.incorrect) == (1, 1)
+
+
+def test_files_keep_their_order(spark, tmp_path, monkeypatch):
+    """Relative paths are read in the order given, the files of a folder in natural order."""
+    monkeypatch.chdir(tmp_path)
+    write(tmp_path / "b.jsonl", [answer("001", 0, "A")])
+    write(tmp_path / "a.jsonl", [answer("002", 0, "B")])
+    given = [str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")]
+    rows = readers.read_responses(spark, paths=",".join(given)).orderBy("file_no").collect()
+    assert [r.response_text for r in rows] == ["A", "B"]
+    (tmp_path / "many").mkdir()
+    for n in (10, 9, 2):
+        write(tmp_path / "many" / f"r{n}.jsonl", [answer("001", 0, f"from {n}")])
+    tries = readers.attempts(readers.read_responses(spark, path=str(tmp_path / "many")))
+    assert [r.response_text for r in tries.orderBy("ordinal").collect()] == ["from 2", "from 9", "from 10"]
+
+
+def test_tracks_keep_other_videos(spark, tmp_path):
+    path = str(tmp_path / "tracks")
+    for video in ("v1", "v2"):
+        rows = spark.createDataFrame([(video, 0, 3, "m")], "video_id string, prompt_frame_idx int, frame_idx int, mask string")
+        sinks.write_tracks(rows, path)
+    assert {r.video_id for r in spark.read.parquet(path).collect()} == {"v1", "v2"}
+
+
+def test_reversed_and_endless_spans(spark):
+    frames = spark.createDataFrame([("k", i) for i in range(12)], "key string, frame_idx long")
+    spans = spark.createDataFrame([("k", "9-3", 5.0), ("k", "10-2000000000", 5.0)], "key string, span string, score double")
+    kept = media.relevant_frames(frames, spans, ["key"]).select("frame_idx").collect()
+    assert sorted(r.frame_idx for r in kept) == [10, 11]
+
+
+def test_pairs_of_text_ids_sort_by_number(spark):
+    pairs = spark.createDataFrame([("g", "10", "9"), ("g", "9", "10")], "g string, src string, dst string")
+    parts = spark.createDataFrame([("g", "9"), ("g", "10")], "g string, part_id string")
+    assert [(r.src, r.dst) for r in graph.clean_pairs(pairs, parts, ["g"]).collect()] == [("9", "10")]
