@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,6 +55,17 @@ def corpus_counts(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], N
     return out
 
 
+def small_batches(build: Callable) -> Callable:
+    """``build(spark, ...)`` with Arrow batches of at most 2,000 rows, so that a Python worker holds a few MB of text at once."""
+
+    @functools.wraps(build)
+    def run(spark, *args):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        return build(spark, *args)
+
+    return run
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back; shuffle files of the write are removed when it ends."""
     spark = df.sparkSession

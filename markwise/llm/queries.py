@@ -8,6 +8,7 @@ from markwise.llm import (
     decontaminate, importance, language_id, licenses, lm_scoring, minhash_dedup, order_minhash, packing, suffix_dedup,
     toxicity,
 )
+from markwise.llm.columns import small_batches
 from markwise.plans.catalog import Query, table
 
 
@@ -61,7 +62,7 @@ def op10_lm_scoring(spark, sf):
 
 
 QUERIES = {
-    f.__name__: Query(f)
+    f.__name__: Query(small_batches(f))
     for f in (
         op1_minhash_dedup, op2_license_scan, op3_packing, op4_suffix_dedup, op5_toxicity, op6_importance,
         op7_decontaminate, op8_language_id, op9_order_minhash, op10_lm_scoring,
