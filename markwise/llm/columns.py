@@ -56,11 +56,12 @@ def corpus_counts(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], N
 
 
 def small_batches(build: Callable) -> Callable:
-    """``build(spark, ...)`` with Arrow batches of at most 2,000 rows, so that a Python worker holds a few MB of text at once."""
+    """``build(spark, ...)`` with Arrow batches of about 4 MB and 2,000 rows at most, so that a Python worker holds little text at once."""
 
     @functools.wraps(build)
     def run(spark, *args):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
         return build(spark, *args)
 
     return run

@@ -47,7 +47,10 @@ class WordTokens:
     The tokenizer never joins characters across white space, so the ids of a text are those of its words in order.
     """
 
+    #: Words remembered before all are forgotten: some 35 MB.
     most_words = 1_000_000
+    #: Words encoded in one call; each takes about a kilobyte until its ids are copied.
+    at_once = 4096
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -58,22 +61,26 @@ class WordTokens:
 
     def forget(self) -> None:
         self.hash = np.zeros(0, np.uint64)
-        self.offset, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.offset, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, new: np.ndarray) -> None:
-        raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(n.sum()))
+        """Encodes the words at ``start`` to ``end``; ``new`` are their hashes, sorted and unknown."""
+        known, lengths = [self.ids], []
+        for i in range(0, len(new), self.at_once):
+            spans = zip(start[i : i + self.at_once].tolist(), end[i : i + self.at_once].tolist(), strict=True)
+            texts = [data[a:b].tobytes().decode() for a, b in spans]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            n = np.fromiter(map(len, lists), np.int32, len(lists))
+            lengths.append(n)
+            known.append(np.fromiter((x for ids in lists for x in ids), np.uint32, int(n.sum())))
+        n = np.concatenate(lengths)
         offset = len(self.ids) + np.cumsum(n) - n
-        hashes = np.concatenate([self.hash, new])
-        order = np.argsort(hashes, kind="stable")
-        self.hash = hashes[order]
-        self.offset = np.concatenate([self.offset, offset])[order]
-        self.length = np.concatenate([self.length, n])[order]
-        self.ids = np.concatenate([self.ids, flat])
+        at = np.searchsorted(self.hash, new)
+        self.hash = np.insert(self.hash, at, new)
+        self.offset = np.insert(self.offset, at, offset)
+        self.length = np.insert(self.length, at, n)
+        self.ids = np.concatenate(known)
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in order, and where each row's ids start."""
@@ -81,12 +88,16 @@ class WordTokens:
         unique, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
         if len(self.hash) > self.most_words:
             self.forget()
-        unknown = ~np.isin(unique, self.hash, assume_unique=True)
+        at = np.searchsorted(self.hash, unique)
+        unknown = np.ones(len(unique), dtype=bool)
+        inside = at < len(self.hash)
+        unknown[inside] = self.hash[at[inside]] != unique[inside]
         if unknown.any():
             self.learn(data, found.start[first[unknown]], found.end[first[unknown]], unique[unknown])
-        at = np.searchsorted(self.hash, unique)[inverse]
+            at = np.searchsorted(self.hash, unique)
+        at = at[inverse]
         n = self.length[at]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         take = np.repeat(self.offset[at] - (ends - n), n) + np.arange(int(n.sum()))
         rows = row_starts(found.row, len(bounds) - 1)
         return self.ids[take], np.concatenate([[0], ends])[rows]
@@ -226,7 +237,7 @@ def pack(
 
 
 def _rows(encode: WordTokens, texts: pa.Array) -> Iterator[np.ndarray]:
-    for c in chunks(texts, 2 << 20):  # fewer, larger look-ups among the known words
+    for c in chunks(texts):
         ids, starts = encode(c.data, c.bounds)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             yield ids[a:b]
