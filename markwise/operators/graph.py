@@ -9,12 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markwise.operators import ordered
-from markwise.operators.ordered import lay_out
-
 
 def number(part: str | Column) -> Column:
     return (F.col(part) if isinstance(part, str) else part).cast("long")
@@ -99,9 +96,15 @@ def _priority(strategy: str, seed: int, key: list[str]) -> Column:
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+def first_of(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group and their place ``pick``; every task keeps ``k`` rows a group before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = df.withColumn("_place", place).filter(F.col("_place") <= k)
+    return first.withColumn("pick", F.col("_place").cast("long") - 1).drop("_place")
+
+
 def pick_parts(
-    frame_parts: DataFrame, frame: Sequence[str], strategy: str = "size_h2l", k: int = 3, seed: int = 42,
-    slices: int | None = None,
+    frame_parts: DataFrame, frame: Sequence[str], strategy: str = "size_h2l", k: int = 3, seed: int = 42
 ) -> DataFrame:
     """The first ``k`` parts of each frame by area or sub-assembly size; adds ``pick``.
 
@@ -111,8 +114,7 @@ def pick_parts(
     ranked = frame_parts.withColumns(
         {"_by": _priority(strategy, seed, key), "_no": number("part_id")}
     )
-    out = lay_out(ranked, frame, ["_by", "_no"], slices).scan(pick=ordered.ordinal()).rows()
-    return out.filter(F.col("pick") < k).drop("_by", "_no")
+    return first_of(ranked, frame, ["_by", "_no"], k).drop("_by", "_no")
 
 
 def pick_pairs(

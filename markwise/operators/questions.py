@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from markwise.functions import text
 from markwise.functions.ids import question_path
-from markwise.operators import graph, ordered
-from markwise.operators.ordered import lay_out
+from markwise.operators import graph
 
 NONE, ABSTAIN = '"none"', '"abstain"'
 PREPROMPT, OPTION_SEP = "\nOptions:\n", "\n"
@@ -504,19 +503,17 @@ def make_2part(
     return assemble_options(ready, 2, seed, **flags)
 
 
-def first_by_hash(
-    rows: DataFrame, by: Sequence[str], value: Sequence[str], n: int, seed: int, salt: str, out: str
+def in_hash_order(
+    rows: DataFrame, by: Sequence[str], value: Sequence[str], seed: int, salt: str, out: str
 ) -> DataFrame:
-    """Per group the first ``n`` rows by hash as an array of string arrays, and the count.
+    """All rows of a group by hash, as an array of string arrays.
 
-    An option list never needs more than ``n`` candidates of a kind; the rest
-    only counts.
+    A group is a frame's part pairs, which its furniture's vocabulary of parts bounds.
     """
     keyed = rows.select(
         *by, *value, F.md5(F.concat_ws("|", F.lit(seed), F.lit(salt), *by, *value)).alias("_h")
     )
-    ranked = lay_out(keyed, by, ["_h", *value]).scan(_no=ordered.ordinal()).rows()
-    return ranked.filter(F.col("_no") < n).groupBy(*by).agg(
+    return keyed.groupBy(*by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_h", *value))),
             lambda s: F.array(*[s[v] for v in value]),
@@ -531,8 +528,8 @@ def make_find_edges(
     by = [*frame, "furniture_id"]
     yes = graph.visible_edges(frame_parts, edges, frame)
     no = graph.non_edges(frame_parts, edges, frame)
-    right = first_by_hash(yes, by, ["src", "dst"], n, seed, "edge", "_yes")
-    wrong = first_by_hash(no, by, ["src", "dst"], n, seed, "gap", "_no")
+    right = in_hash_order(yes, by, ["src", "dst"], seed, "edge", "_yes")
+    wrong = in_hash_order(no, by, ["src", "dst"], seed, "gap", "_no")
     none = F.expr("cast(array() as array<array<string>>)")
     lists = right.join(wrong, by, "full_outer").withColumns(
         {"_yes": F.coalesce("_yes", none), "_no": F.coalesce("_no", none)}
@@ -584,7 +581,7 @@ def make_role_questions(
     )
     pool = roles.select("furniture_id", "role").distinct().join(shown.select(*by), "furniture_id")
     ranked = pool.join(stats, [*by, "role"], "left").withColumn("_mean", F.coalesce("_mean", F.lit(0.0)))
-    chosen = lay_out(ranked, by, ["_mean", "role"]).scan(pick=ordered.ordinal()).rows().filter(F.col("pick") < k)
+    chosen = graph.first_of(ranked, by, ["_mean", "role"], k)
     right = members.join(chosen.select(*by, "role", "_least"), [*by, "role"]).filter(
         F.col("_least").isNull() | (F.col("subasm_size") == F.col("_least"))
     ).groupBy(*by, "role").agg(F.collect_set("part_id").alias("_right"))

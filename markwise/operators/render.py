@@ -118,14 +118,14 @@ def to_chat(
 
 
 def to_text(
-    parts: DataFrame, by: Sequence[str], order: Sequence[str], content: str = "content", sep: str = "",
-    max_chars: int = 1_000_000, slices: int | None = None,
+    parts: DataFrame, by: Sequence[str], order: Sequence[str], max_chars: int, content: str = "content", sep: str = "",
+    slices: int | None = None,
 ) -> DataFrame:
     """Ordered text of each conversation: by, chunk_no, text.
 
-    A conversation of up to ``max_chars`` is one row. A longer one comes in
-    numbered chunks whose concatenation is its text, so no row grows with the
-    data and none is cut.
+    The text comes in numbered chunks: a part belongs to the chunk of its first
+    character, at ``max_chars`` a chunk. Their concatenation is the whole text,
+    so no row grows with the data and none is cut.
     """
     first = F.col("_at") == 0
     piece = F.when(first, F.col(content)).otherwise(F.concat(F.lit(sep), F.col(content)))

@@ -157,12 +157,12 @@ def sample_uniform(
 
 def sample_with_forced(
     df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, forced: Column,
-    keep_forced: bool = False, slices: int | None = None,
+    keep_forced: bool = True, slices: int | None = None,
 ) -> DataFrame:
-    """Uniform sample and forced rows together, in order, cut to the first ``k``.
+    """Uniform sample and forced rows together, in order: all forced rows, filled up to ``k`` with uniform ones.
 
-    The cut may lose late rows, forced ones too; ``keep_forced`` never drops
-    those and fills up with uniform rows.
+    With ``keep_forced=False`` both are cut to the first ``k`` rows, which may
+    lose late rows, forced ones too.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     wanted = sample_positions(sizes, by, k).select(*by, "global_idx").distinct()

@@ -82,8 +82,8 @@ def find_edges(spark, sf):
 
 FIND_EDGES_SQL = f"""
 WITH {GRAPH_SQL}, c AS (
-  SELECT a.frame_idx, CAST(least(count(e.src), 4) AS INTEGER) AS n_correct,
-    CAST(least(count(*) - count(e.src), 4) AS INTEGER) AS n_incorrect
+  SELECT a.frame_idx, CAST(count(e.src) AS INTEGER) AS n_correct,
+    CAST(count(*) - count(e.src) AS INTEGER) AS n_incorrect
   FROM fp a JOIN fp b ON b.frame_idx = a.frame_idx AND a.k < b.k
   LEFT JOIN edges e ON e.src = a.part_id AND e.dst = b.part_id GROUP BY ALL)
 SELECT frame_idx, n_correct, n_incorrect, 4 AS num_options, 0 AS n_violations,
@@ -340,14 +340,20 @@ SELECT conv_id, CAST(role = 'user' AS BIGINT) * (bool_or(role = 'system') OVER (
 
 def flatten_text(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("content"))
-    return render.to_text(turns, ["conv_id"], ["turn"], sep="\n").select(
+    return render.to_text(turns, ["conv_id"], ["turn"], max_chars=200, sep="\n").select(
         "conv_id", "chunk_no", F.length("text").alias("n"), F.md5("text").alias("hash")
     )
 
 
 FLATTEN_SQL = """
-SELECT conv_id, CAST(0 AS BIGINT) AS chunk_no, CAST(length(t) AS INTEGER) AS n, md5(t) AS hash
-FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)"""
+WITH p AS (
+  SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN text ELSE chr(10) || text END AS piece
+  FROM conversations WHERE text IS NOT NULL),
+o AS (SELECT *, coalesce(sum(length(piece)) OVER (
+    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM p WHERE length(piece) > 0),
+t AS (SELECT conv_id, CAST(before // 200 AS BIGINT) AS chunk_no, string_agg(piece, '' ORDER BY turn) AS t FROM o GROUP BY ALL)
+SELECT conv_id, chunk_no, CAST(length(t) AS INTEGER) AS n, md5(t) AS hash FROM t"""
 
 
 def qid_hash(spark, sf):

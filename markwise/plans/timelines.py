@@ -312,13 +312,16 @@ def linspace_sql(k: int) -> str:
     return "CASE WHEN i = %d THEN {n} - 1 ELSE floor(i * (({n} - 1) / CAST(%d AS DOUBLE))) END" % (k - 1, k - 1)
 
 
-def uniform_forced(spark, sf):
-    """Sixteen spread events and all purchases, cut to the first sixteen."""
-    out = sampling.sample_with_forced(
-        frames(spark, sf).select(*USER, "event_id", "t", "event_type"), USER, ["t", "event_id"], 16,
-        F.col("event_type") == "purchase",
-    )
-    return out.select(*USER, "event_id", "global_idx")
+def _forced(keep_forced: bool):
+    def build(spark, sf):
+        out = sampling.sample_with_forced(
+            frames(spark, sf).select(*USER, "event_id", "t", "event_type"), USER, ["t", "event_id"], 16,
+            F.col("event_type") == "purchase", keep_forced=keep_forced,
+        )
+        return out.select(*USER, "event_id", "global_idx")
+
+    build.__doc__ = "Sixteen spread events and all purchases" + ("." if keep_forced else ", cut to the first sixteen.")
+    return build
 
 
 FORCED_SQL = f"""
@@ -329,6 +332,10 @@ u AS (SELECT p.*, row_number() OVER (PARTITION BY p.user_id ORDER BY p.global_id
   WHERE event_type = 'purchase' OR w.user_id IS NOT NULL)
 SELECT user_id, event_id, global_idx FROM u WHERE place <= 16"""
 
+KEPT_FORCED_SQL = FORCED_SQL.replace(
+    "ORDER BY p.global_idx", "ORDER BY event_type <> 'purchase', p.global_idx"
+).replace("SELECT p.*,", "SELECT p.*, event_type = 'purchase' AS bought,").replace("place <= 16", "place <= 16 OR bought")
+
 
 def segment_sample(spark, sf):
     """Centres of eight segments of each user's stream."""
@@ -455,7 +462,8 @@ QUERIES = {
         ),
     ),
     "segment_sample": Query(segment_sample, SEGMENT_SQL),
-    "uniform_forced": Query(uniform_forced, FORCED_SQL),
+    "uniform_forced": Query(_forced(False), FORCED_SQL),
+    "uniform_forced_kept": Query(_forced(True), KEPT_FORCED_SQL),
     "clip_chunks_a": Query(_chunks(False), CHUNK_SQL.format(step=16, lead=0)),
     "clip_chunks_b": Query(_chunks(True), CHUNK_SQL.format(step=13, lead=3)),
     "stitch_clips": Query(stitched, STITCH_SQL),

@@ -188,7 +188,7 @@ def test_subsample_rules(spark):
 
 def test_forced_sample_modes(spark):
     df = spark.createDataFrame([("a", i, i >= 18) for i in range(20)], "k string, i int, f boolean")
-    cut = sampling.sample_with_forced(df, ["k"], ["i"], 4, F.col("f"))
+    cut = sampling.sample_with_forced(df, ["k"], ["i"], 4, F.col("f"), keep_forced=False)
     assert [r.i for r in cut.orderBy("i").collect()] == [0, 6, 12, 18]
     kept = sampling.sample_with_forced(df, ["k"], ["i"], 4, F.col("f"), keep_forced=True)
     assert [r.i for r in kept.orderBy("i").collect()] == [0, 6, 18, 19]
