@@ -23,11 +23,12 @@ component_id) and are kept. One doc_id must not name two texts.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from markwise.llm.arrays import FOLD, SOLID, Chunk, chunks, mix, row_starts, words
@@ -51,7 +52,7 @@ _ODD = _draw.integers(0, 2**31, DIGESTED, dtype=np.uint32) * np.uint32(2) + np.u
 N_DIGESTS = DIGESTED // 32
 DIGESTS = [f"d{i}" for i in range(N_DIGESTS)]
 MEMBER = ["doc_id", "class", "n_shingles", *DIGESTS]
-#: Stars around other centres before a first-level node is compared or branches.
+#: Stars around further centres, at once, before a first-level node is compared or branches.
 TURNS = 2
 SKETCH = ", ".join([
     *(f"{c} bigint" for c in ("doc_id", "n_shingles", "set_a", "set_b", *DIGESTS)), "nodes array<bigint>", "mins array<int>",
@@ -161,6 +162,7 @@ def classes(links: DataFrame) -> DataFrame:
 
     In a star each id sends its neighbours to the least of them and itself; the
     least is an aggregate, so a centre of any degree is summed before it is shuffled.
+    Each round's edges are counted and hashed while they are written.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct())
     sign = None
@@ -174,13 +176,32 @@ def classes(links: DataFrame) -> DataFrame:
         small = large.groupBy(F.col("v").alias("centre")).agg(F.min("u").alias("m"))
         joined = large.join(small, large.v == small.centre)
         moved = joined.select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
-        edges = settle(moved)
-        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == sign:
+        written = Observation()
+        hashed = F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("hashed")
+        edges = settle(moved.observe(written, F.count(F.lit(1)).alias("n"), hashed))
+        if written.get == sign:
             return edges.select(F.col("v").alias("id"), F.col("u").alias("component_id")).unionByName(
                 edges.select("u", "u").distinct().toDF("id", "component_id")
             )
-        sign = (row[0], row[1])
+        sign = written.get
+
+
+def merged(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The classes of ``found`` (id, component_id) and of further ``links`` together.
+
+    Links are taken between classes, so only the classes they touch are joined up anew.
+    """
+    if links.isEmpty():
+        return found
+    if found is None:
+        return settle(classes(links))
+    of = lambda k: found.select(F.col("id").alias(k), F.col("component_id").alias(f"of_{k}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = settle(classes(ends))
+    to = joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("to"))
+    moved = found.join(to, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
+    return settle(moved.unionByName(joined.join(found, "id", "left_anti")))
 
 
 def _leaf_pairs(members: DataFrame, cut: DataFrame) -> DataFrame:
@@ -257,28 +278,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     members = _undecided(unique.select(*MEMBER, F.explode("nodes").alias("node")), None)
     tested = settle(_star_pairs(members, F.lit(0)))
-    links = settle(confirmed(rows, tested))
-    found = classes(links)
+    found = merged(None, settle(confirmed(rows, tested)))
     depth = 1
     while True:
-        for turn in range(TURNS if depth == 1 else 1):
-            members = _undecided(members, found)
-            star = _star_pairs(members, F.xxhash64("node", "doc_id", F.lit(turn)))
-            pairs = settle(star.join(tested, ["a", "b"], "left_anti"))
-            tested = tested.unionByName(pairs)
-            new = settle(confirmed(rows, pairs))
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                found = classes(links)
+        members = _undecided(members, found)
+        stars = [_star_pairs(members, F.xxhash64("node", "doc_id", F.lit(turn))) for turn in range(TURNS if depth == 1 else 1)]
+        pairs = settle(functools.reduce(DataFrame.union, stars).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        found = merged(found, settle(confirmed(rows, pairs)))
         members = _undecided(members, found)
         small = (F.col("others") <= LEAF) if depth < DEEPEST else F.lit(True)
         cut = members.filter(small).select("node", "main").distinct()
         pairs = settle(_leaf_pairs(members.drop("main"), cut).join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
-        new = settle(confirmed(rows, pairs))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = classes(links)
+        found = merged(found, settle(confirmed(rows, pairs)))
         wide = members.filter(~small)
         if wide.isEmpty():
             break
@@ -288,6 +301,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         members = grown.select("node", *MEMBER)
         depth += 1
 
+    if found is None:
+        found = least.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component_id"))
     node = least.join(found, least.doc_id == found.id, "left").select(
         "set_a", "set_b", "n_copies", F.coalesce("component_id", "doc_id").alias("component_id")
     )
