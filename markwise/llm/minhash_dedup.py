@@ -9,9 +9,9 @@ branches again at positions chosen by its name. ``TREES`` independent trees make
 the chance to miss a link of similarity 0.75 about (1/9) ** 6, or 2 in a million, at any depth.
 
 Links inside one class needn't be found twice, so nodes first compare their members
-with one centre, and the links found give provisional classes; further centres
-are drawn by hash, and only members outside a centre's class are compared with
-it. A node of one class is done, and a leaf compares members of different
+with a few centres, and the links found give provisional classes. On every level
+the leaves are compared, and the wider nodes' members outside a centre's class
+with that centre. A node of one class is done, and a leaf compares members of different
 classes only; a node is a leaf if all but ``LEAF`` of its members are of one class.
 So a group of thousands of near copies costs a few stars, not all its pairs. All
 links are confirmed on the full sets.
@@ -23,12 +23,11 @@ component_id) and are kept. One doc_id must not name two texts.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwise.llm.arrays import FOLD, SOLID, Chunk, chunks, mix, row_starts, words
@@ -52,7 +51,7 @@ _ODD = _draw.integers(0, 2**31, DIGESTED, dtype=np.uint32) * np.uint32(2) + np.u
 N_DIGESTS = DIGESTED // 32
 DIGESTS = [f"d{i}" for i in range(N_DIGESTS)]
 MEMBER = ["doc_id", "class", "n_shingles", *DIGESTS]
-#: Stars around further centres, at once, before a first-level node is compared or branches.
+#: Centres drawn by hash, beside the least doc_id, that a first-level node's members are compared with at once.
 TURNS = 2
 SKETCH = ", ".join([
     *(f"{c} bigint" for c in ("doc_id", "n_shingles", "set_a", "set_b", *DIGESTS)), "nodes array<bigint>", "mins array<int>",
@@ -162,11 +161,18 @@ def classes(links: DataFrame) -> DataFrame:
 
     In a star each id sends its neighbours to the least of them and itself; the
     least is an aggregate, so a centre of any degree is summed before it is shuffled.
-    Each round's edges are counted and hashed while they are written.
+    Edges form stars when each id has one way down and none comes from above it.
     """
     edges = settle(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct())
-    sign = None
     while True:
+        ends = edges.select(F.inline(F.array(
+            F.struct(F.col("v").alias("id"), F.lit(1).alias("down")), F.struct(F.col("u").alias("id"), F.lit(0).alias("down"))
+        )))
+        ends = ends.groupBy("id").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("n"))
+        if not ends.filter("down > 0 AND n > 1").agg(F.count(F.lit(1))).first()[0]:
+            return edges.select(F.col("v").alias("id"), F.col("u").alias("component_id")).unionByName(
+                edges.select("u", "u").distinct().toDF("id", "component_id")
+            )
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy(F.col("v").alias("centre")).agg(F.min("u").alias("m"))
         least = least.select("centre", F.least("centre", "m").alias("m"))
@@ -176,14 +182,7 @@ def classes(links: DataFrame) -> DataFrame:
         small = large.groupBy(F.col("v").alias("centre")).agg(F.min("u").alias("m"))
         joined = large.join(small, large.v == small.centre)
         moved = joined.select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
-        written = Observation()
-        hashed = F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("hashed")
-        edges = settle(moved.observe(written, F.count(F.lit(1)).alias("n"), hashed))
-        if written.get == sign:
-            return edges.select(F.col("v").alias("id"), F.col("u").alias("component_id")).unionByName(
-                edges.select("u", "u").distinct().toDF("id", "component_id")
-            )
-        sign = written.get
+        edges = settle(moved)
 
 
 def merged(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -198,7 +197,7 @@ def merged(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
     of = lambda k: found.select(F.col("id").alias(k), F.col("component_id").alias(f"of_{k}"))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     ends = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    joined = settle(classes(ends))
+    joined = classes(ends)
     to = joined.select(F.col("id").alias("component_id"), F.col("component_id").alias("to"))
     moved = found.join(to, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
     return settle(moved.unionByName(joined.join(found, "id", "left_anti")))
@@ -215,10 +214,13 @@ def _leaf_pairs(members: DataFrame, cut: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _star_pairs(members: DataFrame, order: Column) -> DataFrame:
-    """Each member of a tree node with the node's first member by ``order``, if of another class."""
-    centre = members.groupBy("node").agg(F.min(F.struct(order.alias("_order"), *MEMBER)).alias("centre"))
-    centre = settle(centre.select("node", *[f"centre.{c}" for c in MEMBER]))
+def _star_pairs(members: DataFrame, orders: list[Column]) -> DataFrame:
+    """Each member of a tree node with the node's first members, one by each of ``orders``, if of another class."""
+    first = [F.min(F.struct(order.alias("_order"), *MEMBER)).alias(f"c{i}") for i, order in enumerate(orders)]
+    centre = members.groupBy("node").agg(*first)
+    drawn = F.array(*[F.struct(*[f"c{i}.{c}" for c in MEMBER]) for i in range(len(orders))])
+    centre = centre.select("node", F.explode(F.array_distinct(drawn)).alias("centre"))
+    centre = settle(centre.select("node", "centre.*"))
     star = members.alias("a").join(centre.alias("b"), F.col("a.node") == F.col("b.node"))
     star = star.filter((F.col("a.class") != F.col("b.class")) & _alike("a", "b"))
     return star.select(
@@ -277,22 +279,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unique = settle(unique.drop("set_a", "set_b").withColumn("class", F.col("doc_id")))
 
     members = _undecided(unique.select(*MEMBER, F.explode("nodes").alias("node")), None)
-    tested = settle(_star_pairs(members, F.lit(0)))
+    orders = [F.lit(0), *(F.xxhash64("doc_id", F.lit(turn)) for turn in range(TURNS))]
+    tested = settle(_star_pairs(members, orders))
     found = merged(None, settle(confirmed(rows, tested)))
     depth = 1
     while True:
-        members = _undecided(members, found)
-        stars = [_star_pairs(members, F.xxhash64("node", "doc_id", F.lit(turn))) for turn in range(TURNS if depth == 1 else 1)]
-        pairs = settle(functools.reduce(DataFrame.union, stars).distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        found = merged(found, settle(confirmed(rows, pairs)))
         members = _undecided(members, found)
         small = (F.col("others") <= LEAF) if depth < DEEPEST else F.lit(True)
-        cut = members.filter(small).select("node", "main").distinct()
-        pairs = settle(_leaf_pairs(members.drop("main"), cut).join(tested, ["a", "b"], "left_anti"))
+        wide = members.filter(~small)
+        pairs = _leaf_pairs(members.drop("main"), members.filter(small).select("node", "main").distinct())
+        deeper = not wide.isEmpty()
+        if deeper:
+            pairs = pairs.union(_star_pairs(wide, [F.xxhash64("node", "doc_id")])).distinct()
+        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         found = merged(found, settle(confirmed(rows, pairs)))
-        wide = members.filter(~small)
+        if not deeper:
+            break
+        wide = _undecided(wide, found)
         if wide.isEmpty():
             break
         wide = settle(wide.select("node", *MEMBER).join(unique.select("doc_id", "mins"), "doc_id"))
