@@ -1,150 +1,225 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both are word bigram models over one vocabulary, the most frequent words of
-all documents and one id for every other word; both are smoothed alike with
-their own unigrams. A document's score is its mean loss per word under the
-target model minus that under the background model: low scores look like the
-target.
+Both are word bigram models over one vocabulary, every word of all documents;
+both are smoothed alike with their own unigrams. A document's score is its mean
+loss per word under the target model minus that under the background model: low
+scores look like the target.
 
 Counts cover every document (background) and every document of the target
-labels. Texts without words, null texts included, have 0 words and scores 0.
-Repeated rows count and score as often as they come; null doc_ids are never
-target. An empty table gives no rows.
+labels, and every word and pair of words, whatever its count. They stay
+distributed. Documents are laid out in blocks of ``block_bytes``. Each block
+asks for the totals of its own distinct words and pairs, one request for each
+range of key hashes. Ranges are summed one by one, and answers hold the totals
+in the order of the request, so that no key is sent back. A key has one entry a
+block at most, so no word or pair is a hot key, and blocks and ranges grow in
+number with the corpus, not in size. Only six sums reach the driver.
+
+Keys are 64-bit hashes of words and of pairs. Texts without words, null texts
+included, have 0 words and scores 0. Repeated rows count and score as often as
+they come; null doc_ids are never target. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwise.llm.arrays import FOLD, SOLID, Chunk, chunks, words
-from markwise.llm.columns import per_text
+from markwise.llm.arrays import FOLD, SOLID, chunks, mix, words
+from markwise.llm.columns import settle
 
+BLOCK_BYTES = 8 << 20
+#: Ranges of key hashes at least; a larger corpus has one for each half block.
+LEAST_RANGES = 16
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+REQUEST = "range bigint, block bigint, word_keys binary, words binary, pair_keys binary, pairs binary"
+ANSWER = "range bigint, block bigint, words binary, pairs binary, sums array<bigint>"
+SCORES = "n_words bigint, target_loss double, background_loss double, loss_difference double"
 
-@dataclass(frozen=True)
-class PairModel:
-    vocabulary: np.ndarray  # sorted word hashes; a word's id is its place plus 1, 0 is any other word
-    target: np.ndarray  # loss of each (previous, word) pair; previous is vocabulary size + 1 at a text's start
-    background: np.ndarray
 
+class Block(NamedTuple):
+    row: np.ndarray  # the document of each token
+    first: np.ndarray  # whether a token is its text's first
+    word: np.ndarray  # place of each token's word in word_keys
+    pair: np.ndarray  # place of each token's (previous, word) in pair_keys
+    word_keys: np.ndarray  # sorted
+    pair_keys: np.ndarray
 
-def _word_ids(found, vocabulary: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(vocabulary, found.hash), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == found.hash, at + 1, 0)
 
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the place of each key there."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, place.astype(np.int32)
 
-def _pairs(found, ids: np.ndarray, size: int) -> np.ndarray:
-    """(previous, word) of every word as one number; previous is ``size + 1`` for the first word of a text."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    first = np.ones(len(ids), dtype=bool)
-    first[1:] = found.row[1:] != found.row[:-1]
-    before[first] = size + 1
-    return before * (size + 1) + ids
+
+def _block(texts: pa.Array) -> Block:
+    row, key = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for c in chunks(texts):
+        found = words(FOLD[c.data], c.bounds, SOLID)
+        row.append((found.row + c.first).astype(np.int32))
+        key.append(found.hash)
+    row, key = np.concatenate(row), np.concatenate(key)
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = row[1:] != row[:-1]
+    both = np.zeros(len(key), dtype=np.uint64)
+    both[1:] = key[:-1]
+    both[first] = 0  # the start of a text
+    both *= _PAIR
+    both += key
+    word_keys, word = _places(key)
+    del key
+    pair_keys, pair = _places(mix(both))
+    return Block(row, first, word, pair, word_keys, pair_keys)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: most are 0 and compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _columns(blobs: list[bytes], kind: type, n: int) -> np.ndarray:
+    """(n, entries): the numbers of several blobs side by side."""
+    return np.concatenate([np.zeros((n, 0), kind), *(_numbers(b, kind).reshape(n, -1) for b in blobs)], axis=1)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of each word hash over all documents; every task counts its own before the shuffle."""
+def blocks(flagged: DataFrame, block_bytes: int) -> DataFrame:
+    """One row for each block of documents: (block, size, doc_id, target, text), the last three arrays."""
+    kinds = {f.name: f.dataType.simpleString() for f in flagged.schema.fields}
 
-    def run(batches):
+    def row(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        arrays = [pa.ListArray.from_arrays([0, len(table)], table.column(k).combine_chunks()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), *arrays], ["size", *table.column_names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for c in chunks(batch.column(0), 2 << 20):
-                word, n = np.unique(words(FOLD[c.data], c.bounds, SOLID).hash, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+            for c in chunks(batch.column(2), block_bytes):
+                if held and size + len(c.data) > block_bytes:
+                    yield row(held, size)
+                    held, size = [], 0
+                held.append(batch.slice(c.first, c.last - c.first))
+                size += len(c.data)
+        if held:
+            yield row(held, size)
+
+    fields = ", ".join(f"{c} array<{kinds[c]}>" for c in ("doc_id", "target", "text"))
+    found = flagged.select("doc_id", "target", "text").mapInArrow(run, f"size bigint, {fields}")
+    return settle(found.withColumn("block", F.monotonically_increasing_id()))
 
-    counted = docs.select("text").mapInArrow(run, "word bigint, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
+def requests(laid: DataFrame, n_ranges: int) -> DataFrame:
+    """Each block's distinct words and pairs with their own counts, by ranges of keys.
+
+    Words have four counts: occurrences and text ends, in all texts and in target
+    texts; pairs have two. A word starts a pair as often as it comes and ends no text.
+    """
 
-def pair_counts(flagged: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(pair, all, target) counts of the documents in ``flagged`` (text, target)."""
-    size = len(vocabulary)
+    def ranges(keys: np.ndarray) -> np.ndarray:
+        held = (keys >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
+        return np.searchsorted(held, np.arange(n_ranges + 1, dtype=np.uint64))
 
-    def run(batches):
-        total: dict[str, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False)
-            for c in chunks(batch.column(0)):
-                found = words(FOLD[c.data], c.bounds, SOLID)
-                pair = _pairs(found, _word_ids(found, vocabulary), size)
-                chosen = target[c.first : c.last][found.row]
-                for name, part in (("n", pair), ("n_target", pair[chosen])):
-                    if name not in total:
-                        total[name] = np.zeros((size + 2) * (size + 1), np.int32)
-                    np.add.at(total[name], part, 1)
-        if total:
-            at = np.flatnonzero(total["n"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), *(pa.array(total[k][at].astype(np.int64)) for k in ("n", "n_target"))],
-                ["pair", "n", "n_target"],
-            )
-
-    counted = flagged.select("text", "target").mapInArrow(run, "pair bigint, n bigint, n_target bigint")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def _loss(counts: np.ndarray, weight: float) -> np.ndarray:
-    """-log P(word | previous) from a (previous x word) table, smoothed with ``weight`` draws of the unigram model."""
-    single = counts.sum(axis=0) + 1.0
-    single /= single.sum()
-    context = counts.sum(axis=1, keepdims=True)
-    return -np.log((counts + weight * single) / (context + weight)).astype(np.float32)
-
-
-def fit(docs: DataFrame, target: DataFrame, vocabulary_size: int = 2047, weight: float = 100.0) -> PairModel | None:
-    """``target`` holds the doc_ids of the target texts.
-
-    The two models are tables of (size + 2) x (size + 1) numbers; only these,
-    summed over the corpus, reach the driver.
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                b, chosen = _block(one.column(2).flatten()), one.column(1).flatten().to_numpy(zero_copy_only=False)
+                target, last = chosen[b.row], np.roll(b.first, -1)
+                count = lambda of, keys: np.bincount(of, minlength=len(keys)).astype(np.uint32)
+                n_words = np.stack([count(b.word[x], b.word_keys) for x in (slice(None), target, last, last & target)])
+                n_pairs = np.stack([count(b.pair[x], b.pair_keys) for x in (slice(None), target)])
+                at, at_pair = ranges(b.word_keys), ranges(b.pair_keys)
+                out = []
+                for k in range(n_ranges):
+                    w, p = slice(at[k], at[k + 1]), slice(at_pair[k], at_pair[k + 1])
+                    if w.start < w.stop or p.start < p.stop:
+                        steps = [_planes(np.diff(keys, prepend=np.uint64(0))) for keys in (b.word_keys[w], b.pair_keys[p])]
+                        out.append((k, steps[0], _planes(n_words[:, w]), steps[1], _planes(n_pairs[:, p])))
+                if out:
+                    k, *blobs = zip(*out, strict=True)
+                    block = pa.array(one.column(0).to_pylist() * len(out), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k, pa.int64()), block, *(pa.array(x, pa.binary()) for x in blobs)],
+                        [f.split()[0] for f in REQUEST.split(", ")],
+                    )
+
+    return laid.select("block", "target", "text").mapInArrow(run, REQUEST)
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """The totals over all blocks for each request, entry by entry, and a row of each range's sums.
+
+    Sums are distinct words, and the four counts of words.
     """
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary_size).collect()
-    if not top:
-        return None
-    vocabulary = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+
+    def totals(keys: list[bytes], counts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        each = [np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in keys]
+        every, own = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.stack([
+            np.bincount(own, weights=c, minlength=len(every)) for c in _columns(counts, np.uint32, n)
+        ]).astype(np.int64)
+        return total, own, np.cumsum([0, *map(len, each)]).tolist()
+
+    def run(table: pa.Table) -> pa.Table:
+        held = {c: table.column(c).to_pylist() for c in table.column_names}
+        word, own_word, at = totals(held["word_keys"], held["words"], 4)
+        pair, own_pair, at_pair = totals(held["pair_keys"], held["pairs"], 2)
+        rows = len(table)
+        return pa.table({
+            "range": pa.array([*held["range"], held["range"][0]], pa.int64()),
+            "block": pa.array([*held["block"], None], pa.int64()),
+            "words": pa.array([*(_planes(word[:, own_word[at[i] : at[i + 1]]]) for i in range(rows)), None], pa.binary()),
+            "pairs": pa.array([*(_planes(pair[:, own_pair[at_pair[i] : at_pair[i + 1]]]) for i in range(rows)), None], pa.binary()),
+            "sums": pa.array([*[None] * rows, [word.shape[1], *word.sum(axis=1).tolist()]], pa.list_(pa.int64())),
+        })
+
+    return settle(asked.groupBy("range").applyInArrow(run, ANSWER))
+
+
+def _score(laid: DataFrame, answered: DataFrame, weight: float) -> DataFrame:
+    sums = answered.filter("block IS NULL").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(5)]).first()
+    distinct, n_all, n_target, texts, texts_target = map(int, sums)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        doc, text = (left.column(c).combine_chunks().flatten() for c in ("doc_id", "text"))
+        b, right = _block(text), right.sort_by("range")
+        word = _columns(right.column("words").to_pylist(), np.int64, 4)
+        pair = _columns(right.column("pairs").to_pylist(), np.int64, 2)
+        before = np.roll(b.word, 1)
+        n = np.bincount(b.row, minlength=len(doc))
+        mean = []
+        for k, total, starts in ((1, n_target, texts_target), (0, n_all, texts)):
+            single = (word[k] + 1.0) / max(1, total + distinct)
+            context = np.where(b.first, starts, (word[k] - word[k + 2])[before]) if len(b.word) else np.zeros(0)
+            loss = -np.log((pair[k][b.pair] + weight * single[b.word]) / (context + weight))
+            mean.append(np.bincount(b.row, weights=loss, minlength=len(doc)) / np.maximum(n, 1))
+        values = [n, *(np.round(x, 6) for x in (*mean, mean[0] - mean[1]))]
+        return pa.table([doc, *map(pa.array, values)], names=["doc_id", *(f.split()[0] for f in SCORES.split(", "))])
+
+    kind = laid.schema["doc_id"].dataType.elementType.simpleString()
+    known = answered.filter("block IS NOT NULL").select("block", "range", "words", "pairs")
+    left = laid.select("block", "doc_id", "text").groupBy("block")
+    return left.cogroup(known.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {SCORES}")
+
+
+def score(docs: DataFrame, target: DataFrame, weight: float = 100.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Words, mean loss under each model and their difference, of every document; ``target`` holds the target's doc_ids."""
     ids = target.select("doc_id").dropna().distinct().withColumn("target", F.lit(True))
     flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left")
-    flagged = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    table = pair_counts(flagged, vocabulary).toArrow()
-    shape = (len(vocabulary) + 2, len(vocabulary) + 1)
-    losses = []
-    for name in ("n_target", "n"):
-        counts = np.zeros(shape[0] * shape[1], np.float32)
-        counts[table["pair"].to_numpy()] = table[name].to_numpy()
-        losses.append(_loss(counts.reshape(shape), weight).ravel())
-    return PairModel(vocabulary, *losses)
-
-
-def score(docs: DataFrame, model: PairModel | None) -> DataFrame:
-    """Words, mean loss under each model and their difference, of every document."""
-    if model is None:
-        zero = F.lit(0.0)
-        return docs.select(
-            "doc_id", F.lit(0).cast("bigint").alias("n_words"), zero.alias("target_loss"),
-            zero.alias("background_loss"), zero.alias("loss_difference"),
-        )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def compute(c: Chunk) -> list:
-        m = shared.value
-        found = words(FOLD[c.data], c.bounds, SOLID)
-        pair = _pairs(found, _word_ids(found, m.vocabulary), len(m.vocabulary))
-        n = np.bincount(found.row, minlength=len(c.bounds) - 1)
-        target, background = (
-            np.bincount(found.row, weights=table[pair], minlength=len(n)) / np.maximum(n, 1)
-            for table in (m.target, m.background)
-        )
-        return [n, np.round(target, 6), np.round(background, 6), np.round(target - background, 6)]
-
-    fields = "n_words bigint, target_loss double, background_loss double, loss_difference double"
-    rows = docs.select("doc_id", per_text(compute, fields)(F.col("text")).alias("found"))
-    return rows.select("doc_id", "found.*")
+    laid = blocks(flagged.withColumn("target", F.coalesce("target", F.lit(False))), block_bytes)
+    size = laid.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return _score(laid, answers(requests(laid, max(LEAST_RANGES, -(-2 * size // block_bytes)))), weight)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Scores against the documents labelled as good (quality 1)."""
-    good = labels.filter(F.col("quality") == 1).select("doc_id")
-    return score(docs, fit(docs, good, **options))
+    return score(docs, labels.filter(F.col("quality") == 1).select("doc_id"), **options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -115,3 +116,28 @@ def token_ids(texts: list, path: str) -> list[list[int]]:
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def bigram_scores(docs: list[tuple], target: set, weight: float = 100.0) -> dict:
+    """doc_id -> (n_words, target loss, background loss, difference), over all words and pairs."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", fold(t))
+    known = {w for _, t in docs for w in split(t)}
+    losses = []
+    for chosen in (target, {i for i, _ in docs}):
+        single, pair, context = Counter(), Counter(), Counter()
+        for i, text in docs:
+            if i in chosen:
+                found = split(text)
+                single.update(found)
+                pair.update(zip([None, *found], found, strict=False))
+                context.update([None, *found][: len(found)])
+        total = sum(single.values()) + len(known)
+        losses.append(lambda a, b, s=single, p=pair, c=context, n=total: -math.log(
+            (p[a, b] + weight * (s[b] + 1) / n) / (c[a] + weight)
+        ))
+    out = {}
+    for i, text in docs:
+        found = split(text)
+        t, a = (sum(loss(x, y) for x, y in zip([None, *found], found, strict=False)) / max(1, len(found)) for loss in losses)
+        out[i] = (len(found), t, a, t - a)
+    return out

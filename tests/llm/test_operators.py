@@ -199,6 +199,21 @@ def test_quality_and_scores_separate(spark):
     assert loss[1] < loss[0]
 
 
+@pytest.mark.parametrize("block_bytes", [20_000, lm_scoring.BLOCK_BYTES])
+def test_scores_of_all_words(spark, docs, block_bytes):
+    """Every word and pair of the corpus has its own counts, in one block and in many."""
+    rows = [*docs, (10**6, None), (10**6 + 1, " "), (10**6 + 2, "Rare rare once")]
+    target = {i for i, _ in docs[::3]} | {10**6 + 2}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i in target), 0) for i, _ in rows], LABELS)
+    names = ("doc_id", "n_words", "target_loss", "background_loss", "loss_difference")
+    got = {r[0]: r[1:] for r in of(lm_scoring.score_documents(frame, labels, block_bytes=block_bytes), *names)}
+    want = brute.bigram_scores(rows, target)
+    assert len({w for _, t in docs for w in t.split()}) > 2047 and got.keys() == want.keys()
+    for i, row in want.items():
+        assert got[i] == pytest.approx(row, abs=2e-6), i
+
+
 def test_kth_largest(spark):
     values = [5, -3, 5, 2**40, -(2**50), 0, 7]
     frame = spark.createDataFrame([(v,) for v in values], "v bigint")
