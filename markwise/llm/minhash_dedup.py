@@ -44,6 +44,8 @@ LEAF = 512
 DEEPEST = 40
 #: Of the two-bit digests, those that may differ: similarity 0.75 has 96 on average, with deviation 8.8.
 MOST_DIFFERENT = 134
+#: Shingles from which on digests are compared: the minhash values of a smaller set err together, so its pairs are all confirmed.
+LEAST_DIGESTED = 64
 
 _draw = np.random.default_rng(1)
 _XOR = _draw.integers(0, 2**32, DIGESTED, dtype=np.uint32)
@@ -88,8 +90,12 @@ def _minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
-    """Two bits of each minhash as whole numbers, low bits first."""
-    return np.concatenate([np.packbits(((values >> k) & 1).astype(np.uint8)).view(np.int64) for k in (0, 1)])
+    """Two bits of each minhash as whole numbers, low bits first.
+
+    They are mixed with the value's place: the low bits of a value are those of its shingle in every hash.
+    """
+    mixed = mix(values.astype(np.uint64) | (np.arange(DIGESTED, dtype=np.uint64) << np.uint64(32)))
+    return np.concatenate([np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for k in (0, 1)])
 
 
 def _first_nodes(values: np.ndarray) -> np.ndarray:
@@ -132,7 +138,8 @@ def _alike(a: str, b: str) -> Column:
     half = N_DIGESTS // 2
     different = sum((F.bit_count(unlike(i).bitwiseOR(unlike(i + half))) for i in range(half)), F.lit(0))
     n, m = col(a, "n_shingles"), col(b, "n_shingles")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & (different <= MOST_DIFFERENT)
+    small = F.least(n, m) < LEAST_DIGESTED
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & (small | (different <= MOST_DIFFERENT))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -68,6 +68,20 @@ def test_near_duplicate_chains(spark):
     assert len({c for _, c in got.values()}) == 1
 
 
+def test_links_of_small_sets(spark):
+    """Pairs of 3 to 20 shingles at exactly 0.75: none is lost."""
+    texts = []
+    for k in range(400):
+        words = [f"w{k}-{j}" for j in range(24)]
+        n = k % 5 + 1
+        pair = (words[: 4 * n + 4], words[: 3 * n + 4]) if k < 350 else (words[:11], words[1:12])
+        texts += [(2 * k + i, " ".join(p)) for i, p in enumerate(pair)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {i: (n, c) for i, n, c in of(minhash_dedup.near_duplicates(frame), "doc_id", "n_shingles", "component_id")}
+    assert got == brute.near_duplicates(texts)
+    assert all(c == i - i % 2 for i, (_, c) in got.items())
+
+
 def test_license_places(spark, docs):
     names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     got = {r[0]: r[1:] for r in of(QUERIES["op2_license_scan"].build(spark, SF), *names)}
