@@ -7,8 +7,10 @@ are keyed by that word and its place in the window. A document word that equals
 it gives a start by position; the window must fit between the document's ends
 (length bound), and its words must stand there one by one (exact check).
 
-Candidates are looked up in Unicode lower case, which cuts words at the same
-places; the exact check lower-cases A-Z only. Null texts have no words; items
+Texts are cut as they are, so that no letter's case depends on what stands around
+its word. Candidates are looked up by each word's own Unicode lower case, which is
+the same for words that differ in A-Z and a-z only; the exact check lower-cases A-Z
+only. Null texts have no words; items
 without words and null item_ids match nothing. Repeated rows give repeated results. Rows
 with a null doc_id are matched together as one document. Other columns are not
 read.
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from markwise.llm.columns import settle
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Capital letters belong to words: this cuts a text where the folded text is cut.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the prefix table that may be sent to every task (a row is some 250 bytes); a larger one is shuffled.
 MOST_SENT = 200_000
@@ -59,7 +62,7 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def _document_words(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(word_array(F.lower("text"))).alias("word"))
+    return docs.select(F.explode(word_array(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
 
 
 def _sent(spark_rows: DataFrame, n: int) -> DataFrame:
@@ -68,7 +71,8 @@ def _sent(spark_rows: DataFrame, n: int) -> DataFrame:
 
 def prefixes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Each window with its rarest word over all documents and that word's place (0-based)."""
-    spread = found.select("window", F.posexplode(F.split(F.lower("window"), " ")).alias("place", "word"))
+    spread = found.select("window", F.posexplode(F.split("window", " ")).alias("place", "word"))
+    spread = spread.withColumn("word", F.lower("word"))
     vocabulary = spread.select("word").distinct()
     n = vocabulary.count()
     counts = _document_words(docs).join(_sent(vocabulary, n), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -83,18 +87,16 @@ def matches(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, start, n, window): where a document holds one of the windows ``found``; ``start`` counts words from 0."""
     keyed = settle(prefixes(docs, found).join(found.select("window", "n"), "window"))
     n = keyed.count()
-    parts = docs.select("doc_id", "text", word_array(F.lower("text")).alias("parts"))
+    parts = docs.select("doc_id", word_array(F.col("text")).alias("parts"))
     lead, total = _lead(F.col("parts")), _n_words(F.col("parts"))
     spread = parts.select(
-        "doc_id", "text", "parts", lead.alias("lead"), total.alias("total"), F.posexplode("parts").alias("at", "word")
-    )
+        "doc_id", "parts", lead.alias("lead"), total.alias("total"), F.posexplode("parts").alias("at", "word")
+    ).withColumn("word", F.lower("word"))
     start = F.col("at") - F.col("lead") - F.col("place")
     fits = (start >= 0) & (start + F.col("n") <= F.col("total"))
     candidates = spread.join(_sent(keyed, n), "word").filter(fits).withColumn("start", start)
-    place = lambda parts: F.array_join(F.slice(parts, F.col("lead") + F.col("start") + 1, F.col("n")), " ")
-    near = place(F.col("parts")) == F.lower("window")
-    exact = place(word_array(fold(F.col("text")))) == F.col("window")
-    return candidates.filter(near & exact).select("doc_id", "start", "n", "window")
+    there = F.array_join(F.slice("parts", F.col("lead") + F.col("start") + 1, F.col("n")), " ")
+    return candidates.filter(fold(there) == F.col("window")).select("doc_id", "start", "n", "window")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -114,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     marks = covered.join(held, covered.doc_id.eqNullSafe(held.doc_id)).select(
         covered.doc_id.alias("hit_id"), "n_hit", "items"
     )
-    n_words = _n_words(word_array(F.lower("text"))).cast("bigint")
+    n_words = _n_words(word_array(F.col("text"))).cast("bigint")
     flat = rows.select("doc_id", n_words.alias("n_words"))
     joined = flat.join(marks, flat.doc_id.eqNullSafe(marks.hit_id), "left")
     none = F.array().cast("array<string>")

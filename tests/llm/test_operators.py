@@ -165,6 +165,19 @@ def test_short_items_and_case(spark):
     assert got == brute.contamination(docs, items)
 
 
+def test_capital_sigma(spark):
+    """The case of a word does not depend on what stands around it."""
+    docs = [(k, f"ΠΕΡΙ ΤΗΣ{by}ΑΛΛ one Two") for k, by in enumerate(". : ' - , _ .\n".split(" "))]
+    docs += [(10, "ΤΗΣ ΑΛΛ"), (11, "της αλλ"), (12, "τησ αλλ"), (13, "xΣ.Y"), (14, "Xσ y"), (15, "Xς Y"), (16, "XΣ Y")]
+    items = [(1, "ΤΗΣ:ΑΛΛ"), (2, "ΤΗΣ ΑΛΛ one"), (3, "ΠΕΡΙ ΤΗΣ'ΑΛΛ ONE tWO"), (4, "Xσ Y"), (5, "XΣ'y")]
+    got = {r[0]: r[1:] for r in of(
+        decontaminate.decontaminate(
+            spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+        ), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")}
+    assert got == brute.contamination(docs, items)
+    assert got[0][4] and got[1][4]
+
+
 def test_fingerprints(spark, docs):
     rows = QUERIES["op9_order_minhash"].build(spark, SF).collect()
     want, prints, of_text = brute.edited_texts(docs), {r.doc_id: r.fingerprint for r in rows}, {}
