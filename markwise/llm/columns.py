@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from markwise.llm.arrays import Chunk, chunks
 from markwise.session import scratch_path
@@ -82,3 +84,39 @@ def settle(df: DataFrame) -> DataFrame:
 def bounded_sample(labels: DataFrame, max_rows: int, seed: int) -> DataFrame:
     """At most ``max_rows`` rows of ``labels`` with the smallest hashes of their document: a fixed random sample."""
     return labels.orderBy(F.xxhash64("doc_id", F.lit(seed)), *labels.columns).limit(max_rows)
+
+
+def ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``df`` with idx, its place from 0 among the rows of its ``key`` by ``order``, and n, the rows of the key.
+
+    Rows are dealt by ranges of (key, order), so one key may span many tasks: each numbers
+    its own part, and what earlier ranges hold of the key is added. Repeated rows are told apart by where
+    they were read. The numbered rows are written once.
+    """
+    tie = df.withColumn("_tie", F.monotonically_increasing_id())
+    laid = tie.repartitionByRange(key, *order, "_tie").sortWithinPartitions(key, *order, "_tie").drop("_tie")
+    names = laid.columns
+    fields = [*laid.schema.fields, StructField("slice", IntegerType()), StructField("idx", LongType())]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            keys = batch.column(names.index(key))
+            if not len(keys):
+                continue
+            new = np.concatenate([[keys[0].as_py() != last], pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)])
+            at = np.arange(len(keys))
+            begin = np.maximum.accumulate(np.where(new, at, -seen))
+            idx = at - begin
+            last, seen = keys[-1].as_py(), int(idx[-1]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(keys), own, np.int32)), pa.array(idx)], [*names, "slice", "idx"]
+            )
+
+    numbered = settle(laid.mapInArrow(number, StructType(fields)))
+    parts = numbered.groupBy(key, "slice").agg(F.count(F.lit(1)).alias("part"))
+    whole = Window.partitionBy(key)
+    parts = parts.select(
+        key, "slice", F.sum("part").over(whole).alias("n"), (F.sum("part").over(whole.orderBy("slice")) - F.col("part")).alias("before")
+    )
+    return numbered.join(parts, [key, "slice"]).select(*names, (F.col("idx") + F.col("before")).alias("idx"), "n")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markwise.llm import (
-    decontaminate, importance, language_id, licenses, lm_scoring, minhash_dedup, order_minhash, packing, suffix_dedup,
-    toxicity,
+    centroids, decontaminate, importance, language_id, licenses, lm_scoring, merkle, minhash_dedup, order_minhash, packing,
+    sharding, sql, suffix_dedup, toxicity,
 )
 from markwise.llm.columns import small_batches
 from markwise.plans.catalog import Query, table
@@ -61,10 +61,25 @@ def op10_lm_scoring(spark, sf):
     return lm_scoring.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_label_propagation(spark, sf):
+    return sharding.shard_documents(table(spark, sf, "documents"))
+
+
+def op12_merkle_manifest(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents"))
+
+
+def op13_orchard(spark, sf):
+    return centroids.cluster(table(spark, sf, "embeddings"))
+
+
+SQL = {"op12_merkle_manifest": sql.OP12_MERKLE_MANIFEST, "op13_orchard": sql.OP13_ORCHARD}
+
 QUERIES = {
-    f.__name__: Query(small_batches(f))
+    f.__name__: Query(small_batches(f), SQL.get(f.__name__))
     for f in (
         op1_minhash_dedup, op2_license_scan, op3_packing, op4_suffix_dedup, op5_toxicity, op6_importance,
-        op7_decontaminate, op8_language_id, op9_order_minhash, op10_lm_scoring,
+        op7_decontaminate, op8_language_id, op9_order_minhash, op10_lm_scoring, op11_label_propagation, op12_merkle_manifest,
+        op13_orchard,
     )
 }
