@@ -64,23 +64,30 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((_filled_before(b, stop) - _filled_before(b, start)).sum())
 
 
-def leading_stripes(runs: np.ndarray, width: int, share: float) -> np.ndarray:
-    """Stripes of ``width`` pixels from which on ``share`` of the mask's area still follows.
+def _leading(mass: np.ndarray, least: float) -> tuple[int, int]:
+    """First filled place, and the last one from which on at least ``least`` still follows."""
+    following = mass[::-1].cumsum()[::-1]
+    return int(np.argmax(mass > 0)), int(np.flatnonzero(following >= least - 1e-9)[-1])
 
-    Two masks whose overlap is at least that share of both have their first
-    common pixel in such a stripe of both.
+
+def leading_box(runs: np.ndarray, height: int, share: float) -> tuple[int, int, int, int, int] | None:
+    """Area and leading box (x0, x1, y0, y1) of a mask; None without foreground.
+
+    The box runs from the first filled column (and row) to the last from which on
+    ``share`` of the area still follows. The first column (row) that two masks have in common lies
+    in it for both if their overlap is at least that share of both areas.
     """
     runs = np.asarray(runs, dtype=np.int64)
     start, stop = _spans(runs)
-    keep = stop > start
-    start, stop = start[keep], stop[keep]
+    start, stop = start[stop > start], stop[stop > start] - 1
     if not len(start):
-        return np.array([], dtype=np.int64)
-    touched = np.unique(
-        np.concatenate([np.arange(p // width, (q - 1) // width + 1) for p, q in zip(start, stop)])
-    )
-    area = (stop - start).sum()
-    return touched[area - _filled_before(runs, touched * width) >= share * area - 1e-9]
+        return None
+    columns = np.diff(_filled_before(runs, np.arange(runs.sum() // height + 1) * height))
+    across = stop // height - start // height
+    turns = np.bincount(start % height, minlength=height + 1) - np.bincount(stop % height + 1, minlength=height + 1)
+    turns[0] += across.sum()  # a run over a column's end goes on at the top of the next
+    area = int((stop - start + 1).sum())
+    return area, *_leading(columns, share * area), *_leading(turns[:height].cumsum(), share * area)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwise.functions.rle import leading_stripes, mask_area, overlap
+from markwise.functions.rle import leading_box, mask_area, overlap
 
 FRAME = ("video_id", "frame_idx")
 
@@ -72,45 +72,61 @@ def remap_parts(
     return out.withColumn("part_id", renamed).filter("part_id IS NOT NULL").select(*masks.columns)
 
 
+def grid_cells(
+    masks: DataFrame, keep: Sequence[str], iou_threshold: float, cells: int = 8,
+) -> DataFrame:
+    """``keep`` columns, area, leading box (x0, x1, y0, y1) and one row per cell that this box touches.
+
+    The frame is cut into ``cells`` x ``cells``, whatever its size, so a mask has
+    ``cells ** 2`` rows at most. Masks without foreground have none.
+    """
+    fields = "area long, x0 int, x1 int, y0 int, y1 int"
+
+    rows = masks.select(*keep, "h", "w", "runs")
+    fixed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("runs").schema)
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [leading_box(r, h, iou_threshold) for r, h in zip(pdf["runs"], pdf["h"], strict=True)]
+            pdf = pdf.drop(columns="runs")[[f is not None for f in found]].reset_index(drop=True)
+            box = pd.DataFrame([f for f in found if f], columns=["area", "x0", "x1", "y0", "y1"], dtype="int64")
+            yield pd.concat([pdf, box], axis=1)
+
+    rows = rows.mapInPandas(boxes, f"{fixed}, {fields}")
+    span = lambda low, high, size: F.sequence(F.expr(f"{low} * {cells} div {size}"), F.expr(f"{high} * {cells} div {size}"))
+    return rows.withColumn("cell_x", F.explode(span("x0", "x1", "w"))).withColumn("cell_y", F.explode(span("y0", "y1", "h")))
+
+
 def overlapping_masks(
     a: DataFrame, b: DataFrame, on: Sequence[str] = FRAME, key: str = "part_id",
-    iou_threshold: float = 0.5, stripe: int = 64,
+    iou_threshold: float = 0.5, cells: int = 8,
 ) -> DataFrame:
     """Pairs of masks of one frame with IoU of at least the threshold.
 
-    An IoU of t means that the overlap is at least t of either area. So only
-    pairs of fitting size that share one of their leading stripes (runs of
-    ``stripe`` pixels) can qualify, and they meet exactly once: in their first
-    common one. The stripe is part of the join key; frames full of masks spread
-    over stripes instead of comparing all pairs.
+    An IoU of t means that the overlap is at least t of either area. So pairs have
+    fitting areas, and the first common column and row lie in both leading boxes. These boxes are
+    listed by the cells of a grid over the frame; a pair meets exactly once, in the cell where both boxes have begun.
+    Only pairs whose boxes pass fetch their runs. Masks of one frame but of different sizes never overlap.
     """
     if not 0 < iou_threshold <= 1:
         raise ValueError("iou_threshold must be in (0, 1]")
 
     def prepared(df: DataFrame, side: str) -> DataFrame:
-        """One row per mask and leading stripe."""
-        named = with_area(df).select(
-            *on, F.col(key).alias(f"{key}_{side}"), F.col("area").alias(f"_area_{side}"), "runs"
-        )
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.drop("runs").schema)
-        columns, stripes = named.drop("runs").columns, f"_stripes_{side}"
-
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf[stripes] = [leading_stripes(r, stripe, iou_threshold).tolist() for r in pdf["runs"]]
-                pdf["_stripe"] = pdf[stripes]
-                out = pdf[[*columns, stripes, "_stripe"]].explode("_stripe").dropna(subset=["_stripe"])
-                yield out.astype({"_stripe": "int64"})
-
-        return named.mapInPandas(cut, f"{fields}, {stripes} array<long>, _stripe long")
-
-    size_fits = (F.col("_area_b") >= iou_threshold * F.col("_area_a") - 1e-9) & (
-        F.col("_area_a") >= iou_threshold * F.col("_area_b") - 1e-9
+        rows = grid_cells(df, [*on, key], iou_threshold, cells)
+        return rows.withColumnsRenamed({c: f"{c}_{side}" for c in (key, "area", "x0", "x1", "y0", "y1")})
+
+    size_fits = (F.col("area_b") >= iou_threshold * F.col("area_a") - 1e-9) & (
+        F.col("area_a") >= iou_threshold * F.col("area_b") - 1e-9
     )
-    first_common = F.array_min(F.array_intersect("_stripes_a", "_stripes_b")) == F.col("_stripe")
+
+    def meets(low: str, high: str, cell: str, size: str):
+        begin = F.greatest(f"{low}_a", f"{low}_b")
+        return (begin <= F.least(f"{high}_a", f"{high}_b")) & (F.floor(begin * cells / F.col(size)) == F.col(cell))
+
+    first_common = meets("x0", "x1", "cell_x", "w") & meets("y0", "y1", "cell_y", "h")
     pairs = (
-        prepared(a, "a").join(prepared(b, "b"), [*on, "_stripe"]).filter(size_fits & first_common)
-        .select(*on, f"{key}_a", f"{key}_b", "_area_a", "_area_b")
+        prepared(a, "a").join(prepared(b, "b"), [*on, "h", "w", "cell_x", "cell_y"]).filter(size_fits & first_common)
+        .select(*on, f"{key}_a", f"{key}_b", F.col("area_a").alias("_area_a"), F.col("area_b").alias("_area_b"))
     )
     runs_a = a.select(*on, F.col(key).alias(f"{key}_a"), F.col("runs").alias("_runs_a"))
     runs_b = b.select(*on, F.col(key).alias(f"{key}_b"), F.col("runs").alias("_runs_b"))

@@ -38,7 +38,7 @@ def candidate_frames(spark, sf):
 
 def mask_iou(spark, sf):
     rows = mask_rows(spark, sf)
-    out = masks.overlapping_masks(rows, rows, FRAME, iou_threshold=0.4, stripe=8)
+    out = masks.overlapping_masks(rows, rows, FRAME, iou_threshold=0.4)
     return rounded(out.filter("part_id_a < part_id_b"))
 
 
@@ -51,6 +51,33 @@ SELECT frame_idx, part_id_a, part_id_b, overlap, round(overlap / (x + y - overla
 FROM p WHERE overlap / (x + y - overlap) >= 0.4"""
 
 
+def _boxes(spark, sf):
+    """Each customer as a rectangle in a full HD frame of eight."""
+    rows = table(spark, sf, "customer").select(
+        F.expr("c_custkey div 8").alias("frame_idx"), F.col("c_custkey").alias("part_id"), F.lit(1080).alias("h"), F.lit(1920).alias("w"),
+        F.expr("cast(c_custkey * 37 % 300 as int)").alias("x"), F.expr("cast(c_nationkey * 17 % 200 as int)").alias("y"),
+        F.expr("cast(300 + floor(abs(c_acctbal)) % 900 as int)").alias("dx"), F.expr("cast(200 + floor(abs(c_acctbal)) % 500 as int)").alias("dy"),
+    )
+    columns = "flatten(array_repeat(array(dy, h - dy), dx - 1))"
+    return rows.withColumn("runs", F.expr(f"concat(array(x * h + y), {columns}, array(dy, h * w - (x + dx - 1) * h - y - dy))"))
+
+
+def mask_iou_hd(spark, sf):
+    """Rectangles of one full HD frame that share at least half of their union."""
+    rows = _boxes(spark, sf).select("frame_idx", "part_id", "h", "w", "runs")
+    out = masks.overlapping_masks(rows, rows, FRAME, iou_threshold=0.5)
+    return rounded(out.filter("part_id_a < part_id_b"))
+
+
+IOU_HD_SQL = """
+WITH m AS (SELECT c_custkey // 8 AS frame_idx, c_custkey AS part_id, c_custkey * 37 % 300 AS x, c_nationkey * 17 % 200 AS y,
+    CAST(300 + floor(abs(c_acctbal)) % 900 AS BIGINT) AS dx, CAST(200 + floor(abs(c_acctbal)) % 500 AS BIGINT) AS dy FROM customer),
+p AS (SELECT a.frame_idx, a.part_id AS part_id_a, b.part_id AS part_id_b, a.dx * a.dy + b.dx * b.dy AS total,
+    greatest(0, least(a.x + a.dx, b.x + b.dx) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.dy, b.y + b.dy) - greatest(a.y, b.y)) AS overlap
+  FROM m a JOIN m b ON a.frame_idx = b.frame_idx AND a.part_id < b.part_id)
+SELECT frame_idx, part_id_a, part_id_b, overlap, round(overlap / (total - overlap), 6) AS iou FROM p WHERE overlap / (total - overlap) >= 0.5"""
+
+
 def rle_round_trip(spark, sf):
     """Compressed counts written and read back; area and run count stay."""
     packed = mask_rows(spark, sf).withColumn("counts", rle.encode_counts("runs"))
@@ -275,6 +302,7 @@ QUERIES = {
         f"WITH {MASKS_SQL} SELECT frame_idx, count(*) AS n_parts FROM masks WHERE area > 32 GROUP BY 1 HAVING count(*) >= 4",
     ),
     "mask_iou": Query(mask_iou, IOU_SQL),
+    "mask_iou_hd": Query(mask_iou_hd, IOU_HD_SQL),
     "rle_round_trip": Query(
         rle_round_trip, f"WITH {MASKS_SQL} SELECT part_id, area, true AS same FROM masks"
     ),

@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ def test_masks(spark):
     area = {r.part_id: r.area for r in masks.with_area(df).collect()}
     assert area == {"full": 16, "empty": 0, "left": 8, "right": 8, "middle": 8}
     for threshold in (0.5, 0.3):
-        got = {(r.part_id_a, r.part_id_b): r.iou for r in masks.overlapping_masks(df, df, iou_threshold=threshold, stripe=3).collect()}
+        got = {(r.part_id_a, r.part_id_b): r.iou for r in masks.overlapping_masks(df, df, iou_threshold=threshold, cells=3).collect()}
         want = {}
         pixels = {k: [i % 2 for i, n in enumerate(r) for _ in range(n)] for k, r in shapes.items()}
         for a, b in itertools.product(shapes, shapes):
@@ -171,6 +172,50 @@ def test_masks(spark):
     assert names("forward") == ["left", "right"] and names("inverse") == ["full", "left"]
 
 
+def _hd_masks():
+    """Shapes in a full HD frame, as pixel arrays: whole, half, a diagonal, columns far apart, dots, rectangles, and nothing."""
+    h, w = 1080, 1920
+    y, x = np.mgrid[0:h, 0:w]
+    shapes = {
+        "whole": x >= 0, "left half": x < w // 2, "left 3/5": x < w * 3 // 5, "diagonal": abs(x * h - y * w) < 40 * w,
+        "diagonal'": abs(x * h - y * w) < 60 * w, "columns": x % 960 < 3, "columns'": x % 960 < 4, "dots": (x % 97 == 0) & (y % 89 == 0),
+        "corner": (x >= 1900) & (y >= 1070), "corner'": (x >= 1905) & (y >= 1070), "nothing": x < 0, "row": y == 540, "rows": (y == 540) | (y == 541),
+    }
+    draw = np.random.default_rng(2)
+    for i in range(25):
+        a, b, c, d = draw.integers(0, 900), draw.integers(0, 400), draw.integers(300, 900), draw.integers(200, 600)
+        shapes[f"box {i}"] = (x >= a) & (x < a + c) & (y >= b) & (y < b + d)
+    return shapes
+
+
+def test_masks_of_a_large_frame(spark):
+    """Exact overlaps in full HD, and a mask costs a few grid cells whatever its area."""
+    shapes = _hd_masks()
+    rows = []
+    for name, pixels in shapes.items():
+        flat = pixels.T.ravel().astype(np.int8)
+        turns = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1, [len(flat)]])
+        rows.append(("v", 0, name, 1080, 1920, ([0] if flat[0] else []) + np.diff(turns).tolist()))
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, part_id string, h int, w int, runs array<int>").repartition(3)
+    cells = {r.part_id: r.n for r in masks.grid_cells(df, ["part_id"], 0.5).groupBy("part_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert cells.keys() == shapes.keys() - {"nothing"}
+    assert max(cells.values()) <= 64 and cells["whole"] == 25 and cells["corner"] == 1 and sum(cells.values()) < 12 * len(cells)
+    for threshold in (0.5, 0.8):
+        got = {(r.part_id_a, r.part_id_b): (r.overlap, r.iou) for r in masks.overlapping_masks(df, df, iou_threshold=threshold).collect()}
+        want = {}
+        for a, b in itertools.product(shapes, shapes):
+            common, union = int((shapes[a] & shapes[b]).sum()), int((shapes[a] | shapes[b]).sum())
+            if union and common / union >= threshold:
+                want[a, b] = (common, common / union)
+        assert got == want and len(got) > len(shapes)
+
+
+def test_masks_of_other_sizes_never_overlap(spark):
+    df = spark.createDataFrame([("v", 0, "a", 2, 2, [0, 4]), ("v", 0, "b", 4, 1, [0, 4])],
+                               "video_id string, frame_idx int, part_id string, h int, w int, runs array<int>")
+    assert {(r.part_id_a, r.part_id_b) for r in masks.overlapping_masks(df, df).collect()} == {("a", "a"), ("b", "b")}
+
+
 def test_chat_and_media(spark):
     conv = spark.createDataFrame(
         [("c", 0, "video", "video", "v.mp4"), ("c", 1, "text", "task_instruction", "do"), ("c", 2, "text", "question", "q")],
@@ -184,9 +229,9 @@ def test_chat_and_media(spark):
     assert refs(media.concat(frames, prompts, vid_first=True)) == ["f0", "f1", "f2", "p0", "p1"]
     assert refs(media.embed(frames, prompts)) == ["f0", "p0", "p1"]
     assert media.collage(frames, prompts, "top").first().parts[:2] == ["p0", "p1"]
-    many = prompts.unionByName(prompts.withColumn("prompt_no", F.lit(2)))
-    with pytest.raises(Exception, match="more than two"):
-        media.collage(frames, many).collect()
+    third = prompts.unionByName(spark.createDataFrame([("c", 2, 0, "p2")], prompts.schema))
+    assert media.collage(frames, third).orderBy("pos").first().parts == ["p0", "p1", "p2", "f0"]
+    assert media.collage(frames, third, "bottom").orderBy("pos").first().parts == ["f0", "p0", "p1", "p2"]
 
 
 def test_positional_and_pairs(spark):
