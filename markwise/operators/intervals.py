@@ -30,7 +30,7 @@ def merge_intervals(
     start: str = "start",
     end: str = "end",
     eps: float = 1e-9,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Disjoint cover of normalised intervals; touching ones (within ``eps``) join.
 
@@ -39,7 +39,7 @@ def merge_intervals(
     """
     longest = df.groupBy(*by, start).agg(F.max(end).alias(end))
     laid = (
-        lay_out(longest, by, [start], slices)
+        lay_out(longest, by, [start], slice_rows)
         .scan(_reach=ordered.running_max(F.col(end), exclusive=True))
         .then(
             lambda d: d.withColumn(
@@ -66,7 +66,7 @@ def invert_intervals(
     end: str = "end",
     eps: float = 1e-9,
     require: bool = False,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """What merged intervals leave of ``[0, total]``; ``totals`` has one row per key.
 
@@ -80,7 +80,7 @@ def invert_intervals(
         "_at", F.coalesce("_until", F.lit(-1))
     ).withColumn("_tail", F.col("_from").isNull().cast("int"))
     left = (
-        lay_out(rows, by, ["_at", "_tail"], slices)
+        lay_out(rows, by, ["_at", "_tail"], slice_rows)
         .scan(_next=ordered.lead(F.col("_until")))
         .rows()
         .filter((F.col("_next") - F.col("_from")) > eps)

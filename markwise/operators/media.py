@@ -46,7 +46,7 @@ def collage(
 
 def concat(
     manifest: DataFrame, prompts: DataFrame, vid_first: bool = False, by: Sequence[str] = ("conv_id",),
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Prompts before or after the video, re-indexed.
 
@@ -58,7 +58,7 @@ def concat(
         *by, F.lit(1 if vid_first else -1).alias("_part"), order.cast("long").alias("_key"), "ref"
     )
     body = manifest.select(*by, F.lit(0).alias("_part"), F.col("pos").cast("long").alias("_key"), "ref")
-    out = with_position(extra.unionByName(body), by, ["_part", "_key"], "pos", slices=slices)
+    out = with_position(extra.unionByName(body), by, ["_part", "_key"], "pos", slice_rows=slice_rows)
     return out.select(*by, "pos", "ref")
 
 

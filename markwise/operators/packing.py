@@ -22,7 +22,7 @@ def _starts_after(prefix: np.ndarray, budget: float) -> np.ndarray:
 
 def pack_batches(
     df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, budget: float,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Add ``batch_no``: a new batch opens when the next item would pass ``budget``.
 
@@ -33,7 +33,7 @@ def pack_batches(
     every slice its entry load, and the slices are packed in parallel.
     """
     order = list(order)
-    laid = lay_out(df, by, order, slices)
+    laid = lay_out(df, by, order, slice_rows)
     by, rows, columns = laid.by, laid.df, list(df.columns)
     key_fields = [f for f in rows.schema.fields if f.name in (*by, SLICE)]
     keys_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)

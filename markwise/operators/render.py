@@ -61,12 +61,12 @@ def render(
 
 
 def message_runs(
-    parts: DataFrame, by: Sequence[str], order: Sequence[str], role: str = "role", slices: int | None = None
+    parts: DataFrame, by: Sequence[str], order: Sequence[str], role: str = "role", slice_rows: int | None = None
 ) -> DataFrame:
     """Consecutive parts of one role form a message: adds ``message_idx, part_idx``."""
     opens = F.col("_before").isNull() | (F.col("_before") != F.col(role))
     laid = (
-        lay_out(parts, by, order, slices)
+        lay_out(parts, by, order, slice_rows)
         .scan(_before=ordered.lag(F.col(role)), _at=ordered.ordinal())
         .then(lambda d: d.withColumn("_open", opens.cast("int")))
         .scan(
@@ -84,7 +84,7 @@ def to_chat(
     by: Sequence[str] = ("conv_id",),
     system: bool = True,
     marks: Mapping[str, str] | None = None,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Messages in long form: by, message_idx, part_idx, role, type, content.
 
@@ -113,13 +113,13 @@ def to_chat(
     long = rows.select(*by, "_front", "pos", "role", F.explode(parts).alias("_p")).select(
         *by, "_front", "pos", F.col("_p.at").alias("_at0"), "role", "_p.type", "_p.content"
     )
-    out = message_runs(long, by, ["_front", "pos", "_at0"], slices=slices)
+    out = message_runs(long, by, ["_front", "pos", "_at0"], slice_rows=slice_rows)
     return out.select(*by, "message_idx", "part_idx", "role", "type", "content")
 
 
 def to_text(
     parts: DataFrame, by: Sequence[str], order: Sequence[str], max_chars: int, content: str = "content", sep: str = "",
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Ordered text of each conversation: by, chunk_no, text.
 
@@ -130,7 +130,7 @@ def to_text(
     first = F.col("_at") == 0
     piece = F.when(first, F.col(content)).otherwise(F.concat(F.lit(sep), F.col(content)))
     laid = (
-        lay_out(parts.filter(F.col(content).isNotNull()), by, order, slices)
+        lay_out(parts.filter(F.col(content).isNotNull()), by, order, slice_rows)
         .scan(_at=ordered.ordinal())
         .then(lambda d: d.withColumn("_piece", piece))
         .then(lambda d: d.filter(F.length("_piece") > 0))

@@ -14,13 +14,13 @@ from markwise.operators.ordered import lay_out
 
 def with_position(
     df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "global_idx",
-    size: str | None = None, slices: int | None = None,
+    size: str | None = None, slice_rows: int | None = None,
 ) -> DataFrame:
     """Add the dense 0-based position per key and, if named, the key's row count."""
     scans = {out: ordered.ordinal()}
     if size:
         scans[size] = ordered.group_size()
-    return lay_out(df, by, order, slices).scan(**scans).rows()
+    return lay_out(df, by, order, slice_rows).scan(**scans).rows()
 
 
 def subsample(
@@ -143,7 +143,7 @@ def sample_positions(
 
 def sample_uniform(
     df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, mode: str = "linspace",
-    preserve_first: int = 0, slices: int | None = None,
+    preserve_first: int = 0, slice_rows: int | None = None,
 ) -> DataFrame:
     """``k`` evenly spread rows per key, with ``sample_no`` and ``global_idx``.
 
@@ -151,13 +151,13 @@ def sample_uniform(
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     wanted = sample_positions(sizes, by, k, mode, preserve_first=preserve_first)
-    placed = with_position(df, by, order, slices=slices)
+    placed = with_position(df, by, order, slice_rows=slice_rows)
     return placed.join(wanted, [*by, "global_idx"])
 
 
 def sample_with_forced(
     df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, forced: Column,
-    keep_forced: bool = True, slices: int | None = None,
+    keep_forced: bool = True, slice_rows: int | None = None,
 ) -> DataFrame:
     """Uniform sample and forced rows together, in order: all forced rows, filled up to ``k`` with uniform ones.
 
@@ -167,12 +167,12 @@ def sample_with_forced(
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     wanted = sample_positions(sizes, by, k).select(*by, "global_idx").distinct()
     wanted = wanted.withColumn("_uniform", F.lit(True))
-    placed = with_position(df, by, order, slices=slices).withColumn(
+    placed = with_position(df, by, order, slice_rows=slice_rows).withColumn(
         "_forced", F.coalesce(forced, F.lit(False))
     )
     both = placed.join(wanted, [*by, "global_idx"], "left").filter("_forced OR _uniform")
     first = F.when(F.col("_forced"), 0).otherwise(1) if keep_forced else F.lit(0)
-    ranked = lay_out(both.withColumn("_first", first), by, ["_first", "global_idx"], slices).scan(
+    ranked = lay_out(both.withColumn("_first", first), by, ["_first", "global_idx"], slice_rows).scan(
         _place=ordered.ordinal()
     ).rows()
     keep = F.col("_place") < k

@@ -50,7 +50,7 @@ def asof_index(
     query_id: str,
     mode: str = "nearest",
     on_empty: str = "error",
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Position on the timeline for each query time: ``matched_idx, matched_ts``.
 
@@ -64,7 +64,7 @@ def asof_index(
         F.min(index).alias("_lo"), F.max(index).alias("_hi")
     ).withColumnRenamed(ts, "_at")
     found = (
-        lay_out(_merged(points, queries, by, "_at", query_ts, query_id), by, ["_t", "_kind", "_id"], slices)
+        lay_out(_merged(points, queries, by, "_at", query_ts, query_id), by, ["_t", "_kind", "_id"], slice_rows)
         .scan(
             _prev=ordered.last_value(F.col("_point")),
             _next=ordered.next_value(F.col("_point"), exclusive=True),
@@ -96,10 +96,10 @@ def asof_index(
 
 def find_gaps(
     df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], delta: float = 1.0,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Pairs of neighbouring times more than ``delta`` apart: ``gap_start, gap_end``."""
-    rows = lay_out(df.select(*by, ts, *tie), by, [ts, *tie], slices).scan(
+    rows = lay_out(df.select(*by, ts, *tie), by, [ts, *tie], slice_rows).scan(
         _next=ordered.lead(F.col(ts))
     ).rows()
     return rows.filter(F.col("_next") - F.col(ts) > delta).select(
@@ -109,13 +109,13 @@ def find_gaps(
 
 def compact_time(
     df: DataFrame, by: Sequence[str], ts: str, tie: Sequence[str], delta: float = 1.0,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Add ``compact_ts``: time from the first row with all earlier gaps cut out."""
     step = F.col(ts) - F.col("_before")
     gap = F.when(step > delta, step).otherwise(F.lit(0))
     return (
-        lay_out(df, by, [ts, *tie], slices)
+        lay_out(df, by, [ts, *tie], slice_rows)
         .scan(_before=ordered.lag(F.col(ts)))
         .then(lambda d: d.withColumn("_gap", gap))
         .scan(
@@ -139,7 +139,7 @@ def assign_interval(
     end: str,
     eps: float = 0,
     closed_start: bool = True,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Frames with the interval that holds them (its columns null where none).
 
@@ -149,7 +149,7 @@ def assign_interval(
     """
     points = intervals.withColumn("_from", F.col(start) - F.lit(eps))
     found = (
-        lay_out(_merged(points, frames, by, "_from", ts, frame_id), by, ["_t", "_kind", "_id"], slices)
+        lay_out(_merged(points, frames, by, "_from", ts, frame_id), by, ["_t", "_kind", "_id"], slice_rows)
         .scan(
             _here=ordered.last_value(F.col("_point")),
         )
@@ -167,25 +167,25 @@ def assign_interval(
 
 def drop_in_gaps(
     frames: DataFrame, gaps: DataFrame, by: Sequence[str], ts: str, frame_id: str,
-    start: str = "gap_start", end: str = "gap_end", slices: int | None = None,
+    start: str = "gap_start", end: str = "gap_end", slice_rows: int | None = None,
 ) -> DataFrame:
     """Frames that are not strictly inside a gap ``(start, end)``."""
     tagged = assign_interval(
         frames, gaps.select(*by, start, end), by, ts, frame_id, start, end,
-        closed_start=False, slices=slices,
+        closed_start=False, slice_rows=slice_rows,
     )
     return tagged.filter(F.col(start).isNull()).drop(start, end)
 
 
 def strictly_increasing(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """``out_k = max(value_k, out_{k-1} + 1)`` in closed form.
 
     Subtracting the row position turns the recurrence into a prefix maximum.
     """
-    return _increasing(lay_out(df, by, order, slices), value, out).rows()
+    return _increasing(lay_out(df, by, order, slice_rows), value, out).rows()
 
 
 def _increasing(laid: Laid, value: str, out: str) -> Laid:
@@ -204,7 +204,7 @@ def match_exclusive(
     index: str,
     prompt_ts: str,
     prompt_id: str,
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Prompts in time order take the first unused frame at or after their time.
 
@@ -216,7 +216,7 @@ def match_exclusive(
     last = frames.groupBy(*by).agg(F.max(index).alias("_last"))
     found = (
         lay_out(
-            _merged(points, prompts, by, "_at", prompt_ts, prompt_id), by, ["_t", "_kind", "_id"], slices
+            _merged(points, prompts, by, "_at", prompt_ts, prompt_id), by, ["_t", "_kind", "_id"], slice_rows
         )
         .scan(
             _prev=ordered.last_value(F.col("_point")),

@@ -35,7 +35,7 @@ def response_paths(path: str | None = None, paths: str | Iterable[str] | None =
 
 
 def numbered_lines(
-    spark: SparkSession, paths: str | Sequence[str], slices: int | None = None
+    spark: SparkSession, paths: str | Sequence[str], slice_rows: int | None = None
 ) -> DataFrame:
     """Text lines with ``path, file_no, line_no``.
 
@@ -55,7 +55,7 @@ def numbered_lines(
         for i, p in enumerate(given)
     ]
     lines = reduce(DataFrame.unionByName, parts)
-    return with_position(lines, ["path"], ["_block", "_row"], "line_no", slices=slices).drop("_block", "_row")
+    return with_position(lines, ["path"], ["_block", "_row"], "line_no", slice_rows=slice_rows).drop("_block", "_row")
 
 
 def read_responses(
@@ -285,7 +285,7 @@ def read_manifest(spark: SparkSession, path: str, schema: str = schemas.MANIFEST
 
 def read_jsonl_stream(
     spark: SparkSession, path: str, schema: str, skip_errors: bool = True, glob: str = "clip_*.jsonl",
-    slices: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """A folder of ``clip_<n>.jsonl`` files as one stream in numeric file order.
 
@@ -300,7 +300,7 @@ def read_jsonl_stream(
     ).withColumn("file_no", number)
     if lines.isEmpty():
         raise FileNotFoundError(f"no {glob} with lines below {path}")
-    per_file = with_position(lines, ["file_no"], ["_block", "_row"], "local_line", slices=slices)
+    per_file = with_position(lines, ["file_no"], ["_block", "_row"], "local_line", slice_rows=slice_rows)
     counts = per_file.groupBy("file_no").agg(F.count(F.lit(1)).alias("_n"))
     starts = ordered.lay_out(counts, [], ["file_no"]).scan(
         _start=ordered.running_sum(F.col("_n"), exclusive=True)

@@ -1,14 +1,17 @@
 """Ordered scans give the same result however the rows are cut."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from markwise.operators import intervals, packing, render, sampling, timeline
+from markwise.operators import intervals, ordered, packing, render, sampling, timeline
 from markwise.operators.ordered import (
     group_size, lag, last_value, lay_out, lead, next_value, ordinal, running_max, running_sum,
 )
+from markwise.session import shared_dir
 
 
 def skewed(n=600, seed=0):
@@ -45,10 +48,10 @@ def expected():
     return pdf
 
 
-@pytest.mark.parametrize("slices", [1, 5, 13])
-def test_scans(spark, expected, slices):
+@pytest.mark.parametrize("slice_rows", [1, 5, 13])
+def test_scans(spark, expected, slice_rows):
     v = F.col("v")
-    laid = lay_out(frame(spark, skewed()), ["k"], ["t", "id"], slices)
+    laid = lay_out(frame(spark, skewed()), ["k"], ["t", "id"], slice_rows)
     got = laid.scan(
         i=ordinal(), n=group_size(), s=running_sum(v), m=running_max(v, True), last=last_value(v),
         nxt=next_value(v), lg=lag(v), ld=lead(v),
@@ -58,15 +61,54 @@ def test_scans(spark, expected, slices):
 
 
 def test_hot_key_is_cut(spark):
-    laid = lay_out(frame(spark, skewed()), ["k"], ["t", "id"], 9)
+    laid = lay_out(frame(spark, skewed()), ["k"], ["t", "id"], 40)
     assert laid.df.filter("k = 0").select("_slice").distinct().count() > 2
 
 
-@pytest.mark.parametrize("slices", [1, 6])
-def test_operators_do_not_depend_on_slices(spark, slices):
+def test_a_key_has_a_bounded_number_of_cuts(spark, expected, monkeypatch):
+    """Beyond STEP ** 2 cuts they lie further apart; both steps of the search agree with a plain count."""
+    monkeypatch.setattr(ordered, "STEP", 4)
+    laid = lay_out(frame(spark, skewed()), ["k"], ["t", "id"], 1)
+    slices = laid.df.groupBy("k").agg(F.countDistinct("_slice").alias("n")).collect()
+    assert 9 <= max(r.n for r in slices) <= 17
+    got = laid.scan(i=ordinal()).rows().toPandas().sort_values(["k", "t", "id"])
+    assert got["i"].tolist() == expected["i"].tolist()
+    ranks = laid.df.toPandas().sort_values(["k", "t", "id"])
+    assert all(g["_slice"].is_monotonic_increasing for _, g in ranks.groupby("k"))
+
+
+def test_global_order(spark):
+    """No key at all: one order over all rows."""
+    rows = lay_out(frame(spark, skewed()), [], ["t", "id"], 20).scan(i=ordinal(), n=group_size()).rows()
+    assert "_all_rows" not in rows.columns
+    got = rows.toPandas().sort_values(["t", "id"])
+    assert got["i"].tolist() == list(range(600)) and set(got["n"]) == {600}
+
+
+def test_no_rows(spark):
+    rows = lay_out(frame(spark, skewed()).limit(0), ["k"], ["t", "id"], 2).scan(i=ordinal()).rows()
+    assert rows.columns == ["k", "t", "id", "v", "i"] and rows.count() == 0
+
+
+def test_rows_are_shuffled_once(spark, tmp_path):
+    """Two scans in a row are one exchange, nothing is written, and a cut key adds aggregates only."""
+    path = str(tmp_path / "rows")
+    frame(spark, skewed()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    plan = timeline.compact_time(rows, ["k"], "t", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert set(os.listdir(shared_dir(spark).removeprefix("file:"))) == before
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+    cut = timeline.compact_time(rows, ["k"], "t", ["id"], slice_rows=50)
+    whole = timeline.compact_time(rows, ["k"], "t", ["id"])
+    assert sorted_rows(cut) == sorted_rows(whole)
+
+
+@pytest.mark.parametrize("slice_rows", [1, 6])
+def test_operators_do_not_depend_on_slices(spark, slice_rows):
     df = frame(spark, skewed())
     spans = df.select("k", F.col("t").alias("start"), (F.col("t") + F.coalesce("v", F.lit(0))).alias("end"))
-    merged = intervals.merge_intervals(intervals.normalise_intervals(spans, eps=0), ["k"], eps=0, slices=slices)
+    merged = intervals.merge_intervals(intervals.normalise_intervals(spans, eps=0), ["k"], eps=0, slice_rows=slice_rows)
     pdf = skewed()
     want = []
     for k, g in pdf.groupby("k"):
@@ -83,10 +125,10 @@ def test_operators_do_not_depend_on_slices(spark, slices):
     assert sorted_rows(merged.select("k", "start", "end")) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("slices", [1, 7])
-def test_packing_equals_loop(spark, slices):
+@pytest.mark.parametrize("slice_rows", [1, 7])
+def test_packing_equals_loop(spark, slice_rows):
     pdf = skewed().assign(v=lambda d: d["v"].fillna(0).astype(int))
-    got = packing.pack_batches(frame(spark, pdf), ["k"], ["t", "id"], "v", 15, slices).toPandas()
+    got = packing.pack_batches(frame(spark, pdf), ["k"], ["t", "id"], "v", 15, slice_rows).toPandas()
     got = got.sort_values(["k", "t", "id"])
     for _, g in got.groupby("k"):
         batch, load = 0, None
@@ -98,12 +140,12 @@ def test_packing_equals_loop(spark, slices):
             assert b == batch
 
 
-@pytest.mark.parametrize("slices", [1, 5])
+@pytest.mark.parametrize("slice_rows", [1, 5])
 @pytest.mark.parametrize("mode", ["floor", "ceil", "nearest"])
-def test_asof(spark, mode, slices):
+def test_asof(spark, mode, slice_rows):
     line = spark.createDataFrame([("a", t, i) for i, t in enumerate([0.0, 1.0, 1.0, 2.5])], "k string, t double, i int")
     asked = spark.createDataFrame([("a", q, j) for j, q in enumerate([-1.0, 1.0, 1.75, 9.0])], "k string, q double, j int")
-    out = timeline.asof_index(line, asked, ["k"], "t", "i", "q", "j", mode, slices=slices)
+    out = timeline.asof_index(line, asked, ["k"], "t", "i", "q", "j", mode, slice_rows=slice_rows)
     want = {"floor": [0, 2, 2, 3], "ceil": [0, 1, 3, 3], "nearest": [0, 1, 1, 3]}[mode]
     assert [r.matched_idx for r in out.orderBy("j").collect()] == want
 
@@ -120,7 +162,7 @@ def test_gaps_and_compaction(spark):
     df = spark.createDataFrame([("a", t, i) for i, t in enumerate([2.0, 2.5, 5.0, 5.5, 9.0])], "k string, t double, i int")
     gaps = timeline.find_gaps(df, ["k"], "t", ["i"]).collect()
     assert sorted((g.gap_start, g.gap_end) for g in gaps) == [(2.5, 5.0), (5.5, 9.0)]
-    out = timeline.compact_time(df, ["k"], "t", ["i"], slices=3).orderBy("i").collect()
+    out = timeline.compact_time(df, ["k"], "t", ["i"], slice_rows=3).orderBy("i").collect()
     assert [r.compact_ts for r in out] == [0, 0.5, 0.5, 1, 1]
 
 
@@ -141,7 +183,7 @@ def test_intervals(spark):
 
 def test_repair_and_exclusive(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([3, 3, 2, 7, 7])], "k string, i int, v long")
-    out = timeline.strictly_increasing(df, ["k"], ["i"], "v", "o", slices=3).orderBy("i").collect()
+    out = timeline.strictly_increasing(df, ["k"], ["i"], "v", "o", slice_rows=3).orderBy("i").collect()
     assert [r.o for r in out] == [3, 4, 5, 7, 8]
     frames = spark.createDataFrame([("a", float(i), i) for i in range(5)], "k string, t double, i int")
     prompts = spark.createDataFrame([("a", q, j) for j, q in enumerate([0.5, 0.7, 3.2, 3.3, 3.4])], "k string, q double, j int")
@@ -213,7 +255,7 @@ def test_selection_and_keys(spark):
 def test_long_text_comes_in_chunks(spark):
     rows = [("c", i, "x" * (i % 4)) for i in range(50)] + [("d", 0, "only")]
     df = spark.createDataFrame(rows, "conv_id string, pos int, content string")
-    out = render.to_text(df, ["conv_id"], ["pos"], max_chars=10, slices=3).orderBy("conv_id", "chunk_no").collect()
+    out = render.to_text(df, ["conv_id"], ["pos"], max_chars=10, slice_rows=3).orderBy("conv_id", "chunk_no").collect()
     assert "".join(r.text for r in out if r.conv_id == "c") == "".join(t for k, _, t in rows if k == "c")
     assert sum(r.conv_id == "c" for r in out) > 3
     assert [r.text for r in out if r.conv_id == "d"] == ["only"]

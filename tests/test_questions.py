@@ -220,7 +220,7 @@ def test_chat_and_media(spark):
     conv = spark.createDataFrame(
         [("c", 0, "video", "video", "v.mp4"), ("c", 1, "text", "task_instruction", "do"), ("c", 2, "text", "question", "q")],
         "conv_id string, pos int, type string, tag string, content string")
-    chat = [(r.message_idx, r.part_idx, r.role, r.content) for r in render.to_chat(conv, slices=2).orderBy("message_idx", "part_idx").collect()]
+    chat = [(r.message_idx, r.part_idx, r.role, r.content) for r in render.to_chat(conv, slice_rows=2).orderBy("message_idx", "part_idx").collect()]
     assert chat == [(0, 0, "system", "do"), (1, 0, "user", "v.mp4"), (1, 1, "user", "q")]
     frames = spark.createDataFrame([("c", i, f"f{i}") for i in range(3)], "conv_id string, pos long, ref string")
     prompts = spark.createDataFrame([("c", 0, 1, "p0"), ("c", 1, 2, "p1")], "conv_id string, prompt_no int, frame_idx int, ref string")
