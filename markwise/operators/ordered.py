@@ -154,7 +154,8 @@ def lead(value: Column) -> Scan:
 class Laid:
     """Rows with their slice of ``(by, order)``; made by :func:`lay_out`."""
 
-    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], cut: bool):
+    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], cut: int):
+        """``cut``: most cuts of any key; its slices are numbered from 0 to that."""
         self.df, self.by, self.order, self.cut = df, list(by), list(order), cut
 
     def then(self, change: Callable[[DataFrame], DataFrame]) -> Laid:
@@ -218,7 +219,7 @@ def _cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_rows: in
         F.row_number().over(key.orderBy(*order)).alias("_place"), F.count(F.lit(1)).over(key).alias("_drawn"),
     )
     apart = F.greatest(F.lit(slice_rows // rate), F.ceil(F.col("_drawn") / STEP**2))
-    marks = drawn.filter(F.col("_place") % apart == 0).groupBy(*[f"_cut_key{i}" for i in range(len(by))])
+    marks = drawn.filter((F.col("_place") > 1) & ((F.col("_place") - 1) % apart == 0)).groupBy(*[f"_cut_key{i}" for i in range(len(by))])
     marks = marks.agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
     return marks.withColumn("_firsts", F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1, F.lit(STEP)), lambda i: F.get("_cuts", i)))
 
@@ -231,7 +232,7 @@ def lay_out(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_rows:
     # About one cut per SLICE_ROWS rows comes to the driver.
     drawn = marks.collect()
     if not drawn:
-        return Laid(df.withColumn(SLICE, F.lit(-1)), by, order, cut=False)
+        return Laid(df.withColumn(SLICE, F.lit(-1)), by, order, cut=0)
     marks = df.sparkSession.createDataFrame(drawn, marks.schema)
     at = F.struct(*order)
     passed = lambda cuts: F.size(F.filter(cuts, lambda c: c <= at))
@@ -239,4 +240,4 @@ def lay_out(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_rows:
     inside = passed(F.slice("_cuts", (block - 1) * STEP + 1, F.lit(STEP)))
     number = F.when(F.col("_cuts").isNull(), -1).when(block == 0, 0).otherwise((block - 1) * STEP + inside)
     joined = df.join(F.broadcast(marks), [df[c].eqNullSafe(marks[f"_cut_key{i}"]) for i, c in enumerate(by)], "left")
-    return Laid(joined.select(*df.columns, number.alias(SLICE)), by, order, cut=True)
+    return Laid(joined.select(*df.columns, number.alias(SLICE)), by, order, cut=max(len(m["_cuts"]) for m in drawn))

@@ -125,21 +125,51 @@ def test_operators_do_not_depend_on_slices(spark, slice_rows):
     assert sorted_rows(merged.select("k", "start", "end")) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("slice_rows", [1, 7])
-def test_packing_equals_loop(spark, slice_rows):
+@pytest.mark.parametrize(("slice_rows", "budget"), [(1, 15), (7, 15), (7, 3), (9, 200), (40, 15), (None, 15)])
+def test_packing_equals_loop(spark, slice_rows, budget):
+    """Also with budgets below one item and beyond several slices; null keys are a key."""
     pdf = skewed().assign(v=lambda d: d["v"].fillna(0).astype(int))
-    got = packing.pack_batches(frame(spark, pdf), ["k"], ["t", "id"], "v", 15, slice_rows).toPandas()
+    rows = frame(spark, pdf).withColumn("k", F.when(F.col("k") != 3, F.col("k")))
+    got = packing.pack_batches(rows, ["k"], ["t", "id"], "v", budget, slice_rows).toPandas()
+    assert len(got) == len(pdf)
     got = got.sort_values(["k", "t", "id"])
-    for _, g in got.groupby("k"):
+    for _, g in got.groupby("k", dropna=False):
         batch, load = 0, None
         for v, b in zip(g["v"], g["batch_no"]):
-            if load is not None and load + v > 15:
+            if load is not None and load + v > budget:
                 batch, load = batch + 1, v
             else:
                 load = v if load is None else load + v
             assert b == batch
 
 
+def test_composed_reports_equal_one_report():
+    """Reports of halves, composed, act like the loop over both; their size stays within one budget."""
+    rng = np.random.default_rng(4)
+
+    def jumps(sizes, budget):
+        rows, prefix = [], np.concatenate([[0], np.cumsum(sizes)])
+        for i in [0, *(i for i in range(1, len(sizes)) if sizes[i] > 0)]:
+            load, batches = 0.0, 0
+            for j, v in enumerate(sizes[i:]):
+                load, batches = (v, batches + 1) if j == 0 or load + v > budget else (load + v, batches)
+            rows.append((i, float(prefix[i + 1]), float(load), batches))
+        rows.append((len(sizes), np.inf, float(prefix[-1]), 0))
+        return packing._reachable(pd.DataFrame(rows, columns=packing._JUMP), budget)
+
+    for _ in range(60):
+        budget = int(rng.integers(1, 40))
+        a, b = (rng.integers(0, 9, rng.integers(1, 25)) for _ in range(2))
+        got = packing._composed(jumps(a, budget), jumps(b, budget), budget)
+        assert got["_reach"].is_monotonic_increasing
+        for load in range(budget + 1):
+            want, batches = load, 0
+            for v in [*a, *b]:
+                want, batches = (v, batches + 1) if want + v > budget else (want + v, batches)
+            hit = got.iloc[int(np.argmax(load + got["_reach"].to_numpy() > budget))]
+            assert (hit["_load"] + (0 if np.isfinite(hit["_reach"]) else load), hit["_batches"]) == (want, batches)
+
+
 @pytest.mark.parametrize("slice_rows", [1, 5])
 @pytest.mark.parametrize("mode", ["floor", "ceil", "nearest"])
 def test_asof(spark, mode, slice_rows):
