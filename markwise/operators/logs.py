@@ -56,18 +56,22 @@ def infer_mime(path: Column, declared: Column) -> Column:
     return F.coalesce(_given(declared), F.when(path != "", by_suffix))
 
 
+def transition_label() -> Column:
+    """The action of the event, else its message, cut to the label's length."""
+    text = F.coalesce(_given(F.col("action")), F.col("message"), F.lit(""))
+    return F.when(
+        F.length(text) > LABEL_LENGTH, F.concat(F.substring(text, 1, LABEL_LENGTH), F.lit("…"))
+    ).otherwise(text)
+
+
 def stage_transitions(
     events: DataFrame, by: Sequence[str], order: Sequence[str], slice_rows: int | None = None
 ) -> DataFrame:
     """Consecutive events of different stage: ``from_stage, to_stage, label``."""
-    text = F.coalesce(_given(F.col("action")), F.col("message"), F.lit(""))
-    label = F.when(
-        F.length(text) > LABEL_LENGTH, F.concat(F.substring(text, 1, LABEL_LENGTH), F.lit("…"))
-    ).otherwise(text)
     laid = lay_out(events, by, order, slice_rows).scan(from_stage=ordered.lag(F.col("stage")))
     moved = (F.col("from_stage") != F.col("stage")) & (F.col("from_stage") != "")
     return laid.rows().filter(moved).select(
-        *by, *order, "from_stage", F.col("stage").alias("to_stage"), label.alias("label")
+        *by, *order, "from_stage", F.col("stage").alias("to_stage"), transition_label().alias("label")
     )
 
 

@@ -183,6 +183,30 @@ def stream_transitions(spark, sf):
     return moves.select(F.col("run_id").alias("user_id"), "event_id", "t", "from_stage", "to_stage", "label")
 
 
+def stream_late_transitions(spark, sf):
+    """Events that come twice, each time up to eight minutes out of order, in six files read one by one."""
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        F.col("event_type").alias("stage"), F.expr("CASE WHEN value > 50 THEN props ELSE '' END").alias("action"),
+        F.expr("concat(event_type, ' ', repeat(props, 8))").alias("message"),
+    )
+    low, high = events.agg(F.min("t"), F.max("t")).first()
+    delay = lambda turn: F.pmod(F.xxhash64("event_id", F.lit(turn)), F.lit(480_000_000))
+    comes = events.withColumn("comes", F.explode(F.array(*(F.col("t") + delay(turn) for turn in range(2)))))
+    comes = comes.withColumn("file", F.least(F.lit(5), F.floor((F.col("comes") - low) * 6 / (high - low + 1)))).drop("comes")
+    path = scratch_path(spark, "late")
+    for file in range(6):
+        comes.filter(F.col("file") == file).drop("file").coalesce(1).write.parquet(f"{path}/{file}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out = live.run_to_end(spark, lambda p, c: live.ordered_transition_stream(stream, p, c, order=["t", "event_id"], keep_hours=24 * 365 * 100), "ordered")
+    return spark.read.parquet(out).select(F.col("run_id").alias("user_id"), "event_id", "t", "from_stage", "to_stage", "label")
+
+
+#: Ten minutes before the last event, in whole milliseconds.
+LATE_SQL = f"""SELECT * FROM ({TRANSITIONS_SQL})
+WHERE t <= (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 FROM events)"""
+
+
 def stream_sessions(spark, sf):
     """Sessions of each user that the watermark has closed."""
     events = _event_stream(spark, sf)
@@ -210,5 +234,6 @@ QUERIES = {
     "stream_windows": Query(_windows(None), WINDOW_SQL),
     "stream_sliding_windows": Query(_windows("30 minutes"), SLIDING_SQL),
     "stream_transitions": Query(stream_transitions, TRANSITIONS_SQL),
+    "stream_late_transitions": Query(stream_late_transitions, LATE_SQL),
     "stream_sessions": Query(stream_sessions, SESSIONS_SQL),
 }

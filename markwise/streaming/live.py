@@ -2,18 +2,20 @@
 
 Each job writes what a micro-batch changed below ``batch_id=<n>`` and overwrites
 that folder when the batch is replayed, so a restart never counts twice. On
-the same rows the result equals the batch operator's.
+the same rows the result equals the batch operator's; where rows may come late, up to the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from markwise.operators.logs import stage_transitions
+from markwise.operators.logs import stage_transitions, transition_label
 from markwise.operators.score import is_correct
 from markwise.session import scratch_path
 
@@ -104,11 +106,12 @@ def transition_stream(
     events: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("run_id",),
     order: Sequence[str] = ("t_ms",), **trigger,
 ) -> StreamingQuery:
-    """Stage transitions as logs grow.
+    """Stage transitions as logs grow, without delay and in order of arrival.
 
     A batch is joined to the last event each run had before, and scanned as an
     ordered table, so a run that dominates a batch is still cut into ranges.
-    Events that come out of order across batches are linked in arrival order.
+    Events that come out of order across batches are linked in arrival order, and the last event of every
+    run is kept for good; see :func:`ordered_transition_stream`.
     """
     columns = [*by, *order, "stage", "action", "message"]
     seen_path = f"{path}/seen"
@@ -133,6 +136,104 @@ def transition_stream(
     return _start(events, "append", checkpoint, write, **trigger)
 
 
+class _InOrder(StatefulProcessor):
+    """Holds the events of a run until no earlier one can come, then releases them in order.
+
+    Events are (c0, c1, ..., stage, us), of which the first ``n_order`` order them. State of a run: the events above the
+    watermark, and the last one released. A timer fires when
+    the watermark passes the earliest event held; a run that has been quiet for ``keep_us`` is forgotten.
+    """
+
+    def __init__(self, event: StructType, n_keys: int, n_order: int, keep_us: int):
+        self.event, self.n_keys, self.order, self.keep_us = event, n_keys, event.names[:n_order], keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.event)
+        self.last = handle.getValueState("last", self.event)
+
+    def _wake_at(self, micros: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(micros) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = [row[-1] for row in self.held.get()]
+        for part in rows:
+            part = part[self.event.names].astype(object)
+            earliest.append(part["us"].min())
+            self.held.appendList([tuple(row) for row in part.where(part.notna(), None).itertuples(index=False)])
+        self._wake_at(min(earliest))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        final = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame(list(self.held.get()), columns=self.event.names, dtype=object)
+        ready = held["us"].astype("int64") <= final
+        out, later = held[ready].sort_values(self.order).drop_duplicates(self.order), held[~ready]
+        before = self.last.get()
+        if len(out):
+            self.held.clear()
+            if len(later):
+                self.held.put([tuple(row) for row in later.itertuples(index=False)])
+            stage = out["stage"].tolist()
+            came, since = [before[-2] if before else None, *stage[:-1]], [before[-1] if before else 0, *out["us"].iloc[:-1]]
+            near = [now - then <= self.keep_us for now, then in zip(out["us"], since, strict=True)]
+            before = tuple(out.iloc[-1])
+            self.last.update(before)
+            moved = [n and a is not None and b is not None and a not in ("", b) for n, a, b in zip(near, came, stage, strict=True)]
+            out = out.assign(from_stage=came, **{f"k{i}": key[i] for i in range(self.n_keys)})[moved]
+            if len(out):
+                yield out[[*(f"k{i}" for i in range(self.n_keys)), "from_stage", *self.event.names[:-1]]]
+        if len(later):
+            self._wake_at(later["us"].min())
+        elif before and final < before[-1] + self.keep_us:
+            self._wake_at(before[-1] + self.keep_us)
+        else:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_transition_stream(
+    events: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("run_id",), order: Sequence[str] = ("t_ms",),
+    ts: str = "ts", watermark: str = "10 minutes", keep_hours: float = 24 * 7, **trigger,
+) -> StreamingQuery:
+    """Stage transitions in order of time, however late or often the events come, once the watermark has passed them.
+
+    ``order`` must agree with ``ts``. Events later than ``watermark`` are dropped, repeats (by ``order``) count once. State is what lies above
+    the watermark and one event for each run that was active within ``keep_hours``; a run that goes on after a longer pause
+    starts anew. On the rows below the watermark the result equals the batch operator's, save for such pauses.
+    """
+    spark = events.sparkSession
+    stored = {**{f"c{i}": c for i, c in enumerate(order)}, "action": "action", "message": "message", "stage": "stage"}
+    keys = {f"k{i}": c for i, c in enumerate(by)}
+    # Plain names: the processor gets its rows as named tuples.
+    rows = events.withWatermark(ts, watermark).select(
+        *(F.col(c).alias(k) for k, c in {**keys, **stored}.items()), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")
+    )
+    event = StructType([*(rows.schema[c] for c in stored), StructField("us", LongType())])
+    out = StructType([*(rows.schema[k] for k in keys), StructField("from_stage", StringType()), *event.fields[:-1]])
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        released = rows.groupBy(*keys).transformWithStateInPandas(
+            _InOrder(event, len(by), len(order), int(keep_hours * 3_600_000_000)), out, "Append", "EventTime"
+        )
+        moves = released.select(
+            *(F.col(k).alias(c) for k, c in keys.items()), *(F.col(f"c{i}").alias(c) for i, c in enumerate(order)), "from_stage",
+            F.col("stage").alias("to_stage"), transition_label().alias("label"),
+        )
+        return _start(moves, "append", checkpoint, _write_batches(path), **trigger)  # the query keeps a copy of the settings
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+
+
 def run_to_end(spark, start, name: str) -> str:
     """Start a job on new scratch folders, let it read all there is, and give its output path."""
     path = scratch_path(spark, name)
