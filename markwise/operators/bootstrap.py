@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from markwise.operators.sampling import with_position
-from markwise.session import settle
 
-BROADCAST_ROWS = 1_000_000  # rows of a few longs
-BLOCK = 250  # iterations generated by one row before the draws are expanded
+BLOCKS = 16  # parts into which the iterations of a run are cut
+CHUNK = 1 << 16  # clusters whose totals travel in one row
 PRIME = 2_147_483_647  # 2**31 - 1; x -> x**5 is a permutation modulo it
 ROUND_KEYS = (48_271, 69_621, 16_807)
 
@@ -25,36 +27,20 @@ def cluster_totals(
     )
 
 
-def draws(sizes: DataFrame, n_sample: int, iters: int, seed: int) -> DataFrame:
-    """``n_clusters, iter, cluster_idx`` for every distinct cluster count.
+def draws(first: int, last: int, n_sample: int, seed: int) -> np.ndarray:
+    """The mixed numbers of iterations ``first`` to ``last`` - 1; modulo a run's cluster count they are its clusters.
 
     A draw is a keyed mix of its number, so it needs no state, can be recomputed
-    on any executor and is shared by runs of equal cluster count. The mix is
-    plain 64-bit arithmetic that stays in generated code: three rounds of
-    ``(key * x + seed) ** 5`` modulo a prime; the last two outputs make the index.
+    on any executor and is shared by all runs: three rounds of
+    ``(key * x + seed) ** 5`` modulo a prime; the last two outputs make the number.
     """
-    last_block = (iters - 1) // BLOCK
-    blocks = sizes.select(
-        "n_clusters", F.explode(F.sequence(F.lit(0), F.lit(last_block))).alias("_block")
-    ).repartition("n_clusters", "_block")
-    upper = F.least((F.col("_block") + 1) * BLOCK, F.lit(iters)) - 1
-    rolls = blocks.select(
-        "n_clusters", F.explode(F.sequence(F.col("_block") * BLOCK, upper)).alias("iter")
-    ).select(
-        "n_clusters", "iter", F.explode(F.sequence(F.lit(0), F.lit(n_sample - 1))).alias("_j")
-    )
-    number = F.col("iter").cast("long") * n_sample + F.col("_j") + seed
-    rolls = rolls.select("n_clusters", "iter", (number % PRIME).alias("_x0"))
-    for i, key in enumerate(ROUND_KEYS):
-        kept = [c for c in ("n_clusters", "iter", "_x2") if c in rolls.columns]
-        rolls = rolls.select(*kept, ((F.col(f"_x{i}") * key + seed) % PRIME).alias("_a"))
-        rolls = rolls.select(*kept, "_a", (F.col("_a") * F.col("_a") % PRIME).alias("_b"))
-        rolls = rolls.select(*kept, "_a", (F.col("_b") * F.col("_b") % PRIME).alias("_d"))
-        rolls = rolls.select(*kept, (F.col("_a") * F.col("_d") % PRIME).alias(f"_x{i + 1}"))
-    index = (F.col("_x2") * PRIME + F.col("_x3")) % F.col("n_clusters")
-    # Never null, and typed so: else a join would push a null test, and with it
-    # copies of the whole mix, down to the generator.
-    return rolls.select("n_clusters", "iter", F.coalesce(index, F.lit(0).cast("long")).alias("cluster_idx"))
+    x = (np.arange(first * n_sample, last * n_sample, dtype=np.int64) + seed) % PRIME
+    before = x
+    for key in ROUND_KEYS:
+        before, a = x, (x * key + seed) % PRIME
+        b = a * a % PRIME
+        x = a * (b * b % PRIME) % PRIME
+    return before * PRIME + x
 
 
 def bootstrap_trials(
@@ -63,20 +49,46 @@ def bootstrap_trials(
 ) -> DataFrame:
     """One row per run and iteration with the drawn ratio of every outcome column.
 
-    With two outcome columns ``gap`` is the first minus the second.
+    With two outcome columns ``gap`` is the first minus the second. A run's totals travel as arrays of at
+    most ``CHUNK`` clusters, once for each of ``BLOCKS`` blocks of iterations; a block's draws are mixed once per task
+    and looked up in the totals of all its runs. What several chunks of a run add to an iteration is summed.
     """
     totals = cluster_totals(df, cluster, cols, by)
-    placed = settle(with_position(totals, by, [cluster], "cluster_idx", "n_clusters").drop(cluster))
-    # The planner does not know how far the draws expand, so the side is chosen here:
-    # the cluster table is broadcast when it is counted small, else it is hashed in partitions.
-    small = placed.count() <= BROADCAST_ROWS
-    clusters = F.broadcast(placed) if small else placed.hint("shuffle_hash")
-    drawn = draws(placed.select("n_clusters").distinct(), n_sample, iters, seed)
-    trials = (
-        drawn.join(clusters, ["n_clusters", "cluster_idx"])
-        .groupBy(*by, "iter")
-        .agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in cols])
-    )
+    placed = with_position(totals, by, [cluster], "cluster_idx", "n_clusters").drop(cluster)
+    sums = [*cols, "n"]
+    part = F.sort_array(F.collect_list(F.struct("cluster_idx", *sums)))
+    chunks = placed.groupBy(*by, "n_clusters", F.expr(f"cluster_idx div {CHUNK}").alias("chunk")).agg(part.alias("part"))
+    chunks = chunks.select(*by, "n_clusters", "chunk", *(F.col(f"part.{c}").alias(c) for c in sums))
+    blocks = min(BLOCKS, iters)
+    spread = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = spread.repartition("block", *by, "chunk").sortWithinPartitions("block")
+    kinds = {f.name: f.dataType for f in placed.schema.fields}
+    out = StructType([*(StructField(c, kinds[c]) for c in by), StructField("iter", LongType()), *(StructField(c, kinds[c]) for c in sums)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixed, of = None, -1
+        for batch in batches:
+            for row in range(len(batch)):
+                at = {name: batch.column(name)[row] for name in ("n_clusters", "chunk", "block")}
+                n_clusters, chunk, block = (x.as_py() for x in at.values())
+                first, last = block * iters // blocks, (block + 1) * iters // blocks
+                if block != of:
+                    mixed, of = draws(first, last, n_sample, seed), block
+                index = mixed % n_clusters - chunk * CHUNK
+                own = np.clip(index, 0, CHUNK - 1)
+                missed = None if n_clusters <= CHUNK else index != own
+                found = []
+                for name in sums:
+                    values = batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+                    drawn = values[np.minimum(own, len(values) - 1)]
+                    if missed is not None:
+                        drawn[missed | (own >= len(values))] = 0
+                    found.append(pa.array(drawn.reshape(-1, n_sample).sum(axis=1)))
+                keys = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(last - first, np.int64))) for c in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, last)), *found], out.names)
+
+    trials = spread.mapInArrow(run, out).groupBy(*by, "iter").agg(*[F.sum(c).alias(c) for c in sums])
+    trials = trials.select(*by, F.col("iter").cast("int").alias("iter"), *[(F.col(c) / F.col("n")).alias(c) for c in cols])
     if len(cols) == 2:
         trials = trials.withColumn("gap", F.col(cols[0]) - F.col(cols[1]))
     return trials

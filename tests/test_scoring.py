@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,9 +126,25 @@ def test_bootstrap_draws(spark):
     assert trials.count() == 2000
     ci = bootstrap.confidence_interval(trials, ["m"]).first()
     assert 47 < ci.m_mean < 53 and ci.m_low < 25 and ci.m_high > 75
-    sizes = spark.createDataFrame([(7,)], "n_clusters long")
-    hits = bootstrap.draws(sizes, 50, 2000, 1).groupBy("cluster_idx").count().collect()
-    assert len(hits) == 7 and all(abs(h["count"] - 100_000 / 7) < 600 for h in hits)
+    hits = np.bincount(bootstrap.draws(0, 2000, 50, 1) % 7)
+    assert len(hits) == 7 and all(abs(h - 100_000 / 7) < 600 for h in hits)
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1 << 16])
+def test_bootstrap_equals_plain_sums(spark, monkeypatch, chunk):
+    """Runs of several sizes, one with a null key, whose totals travel in one chunk or in many."""
+    monkeypatch.setattr(bootstrap, "CHUNK", chunk)
+    rows = [(r, f"v{i:02}", float((i * 7 + k) % 5), k) for r, size in (("a", 13), ("b", 4), (None, 1)) for i in range(size) for k in range(i % 3 + 1)]
+    df = spark.createDataFrame(rows, "run_id string, video_id string, m double, h long")
+    got = {(r.run_id, r.iter): (r.m, r.h, r.gap) for r in bootstrap.bootstrap_trials(df, "video_id", ["m", "h"], n_sample=6, iters=50).collect()}
+    mixed, want = bootstrap.draws(0, 50, 6, 42).reshape(50, 6), {}
+    for run in ("a", "b", None):
+        videos = sorted({v for r, v, _, _ in rows if r == run})
+        sums = [[sum(x) for x in zip(*((m, h, 1) for r, w, m, h in rows if (r, w) == (run, v)))] for v in videos]
+        for i in range(50):
+            m, h, n = (sum(sums[d % len(videos)][k] for d in mixed[i]) for k in range(3))
+            want[run, i] = (m / n, h / n, m / n - h / n)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_canonical_json(spark):
