@@ -93,3 +93,36 @@ def invert_intervals(
             start, F.coalesce(start, missing.cast(kind))
         )
     return left
+
+
+def kept_ranges(
+    removed: DataFrame,
+    totals: DataFrame,
+    by: Sequence[str],
+    total: str,
+    before: Column | None = None,
+    after: Column | None = None,
+    start: str = "start",
+    end: str = "end",
+    eps: float = 1e-9,
+    require: bool = False,
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """What is left of ``[0, total]`` without the removed ranges, the head up to ``before`` and the tail from ``after``.
+
+    ``before`` and ``after`` are columns of ``totals`` (null: nothing is removed there). Ranges may be reversed, overlap or
+    reach beyond the ends; ranges of keys without a total are ignored.
+    """
+    kind = totals.schema[total].dataType
+    ranges = [removed.select(*by, F.col(start).cast(kind).alias(start), F.col(end).cast(kind).alias(end)).join(totals.select(*by, F.col(total).alias("_total")), list(by))]
+    for low, high, given in ((F.lit(0), before, before), (after, F.col(total), after)):
+        if given is not None:
+            ranges.append(totals.filter(given.isNotNull()).select(
+                *by, low.cast(kind).alias(start), high.cast(kind).alias(end), F.col(total).alias("_total")
+            ))
+    every = ranges[0]
+    for more in ranges[1:]:
+        every = every.unionByName(more)
+    clean = normalise_intervals(every, start, end, F.col("_total"), eps).drop("_total")
+    merged = merge_intervals(clean, by, start, end, eps, slice_rows)
+    return invert_intervals(merged, totals, by, total, start, end, eps, require, slice_rows)

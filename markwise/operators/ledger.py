@@ -108,6 +108,57 @@ def upsert_by_any_key(
     return store.unionByName(added.select(*store.columns))
 
 
+def upsert_conversations(
+    store: DataFrame, fresh: DataFrame, override: bool = False, key: str = "conv_id", path: str = "qid_flat",
+    ordinal: str = "ordinal",
+) -> tuple[DataFrame, DataFrame]:
+    """The store after rendering ``fresh`` conversations, and a report of one row per fresh row.
+
+    A conversation belongs to the question file named by the last but one step of its path. Without ``override`` a fresh
+    conversation whose key is stored is left out. With it, the stored conversations of the same file go, whatever
+    their key, and the newest fresh one of each file and key comes in. Fresh rows come by ``ordinal``; of equal keys the first
+    (with ``override`` the last) counts. The report has ``clash`` (the key was taken), ``stored`` (is it in the store now?) and
+    ``n_replaced``: how many stored rows it replaces, so a row that hits several is seen.
+    """
+    steps = F.split(path, "/")
+    file = F.when(F.size(steps) > 1, F.element_at(steps, -2))
+    body = [c for c in fresh.columns if c != ordinal]
+    picked = (F.max_by if override else F.min_by)(F.struct(*body), ordinal)
+    last = (F.max if override else F.min)(ordinal)
+    rank = fresh.withColumn("_file", file)
+    if override:  # of one file the newest row stays
+        newest = rank.groupBy("_file").agg(F.max(ordinal).alias("_newest"))
+        rank = rank.join(newest, rank["_file"].eqNullSafe(newest["_file"])).drop(newest["_file"])
+        rank = rank.withColumn("_newest", (F.col("_newest") == F.col(ordinal)) | F.col("_file").isNull())
+    else:
+        rank = rank.withColumn("_newest", F.lit(True))
+    chosen = rank.filter("_newest").groupBy(key).agg(picked.alias("_row"), last.alias("_place"))
+
+    old = store.withColumn("_file", file)
+    if override:
+        files = rank.filter("_file IS NOT NULL").select("_file").distinct()
+        gone, kept = old.join(files, "_file", "left_semi"), old.join(files, "_file", "left_anti")
+        per_file = gone.groupBy("_file").agg(F.count(F.lit(1)).alias("_n_file"))
+    else:
+        kept, per_file = old, old.select("_file").limit(0).withColumn("_n_file", F.lit(0).cast("long"))
+    taken = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n_key"))
+
+    report = rank.join(taken, key, "left").join(per_file, "_file", "left").join(chosen.select(key, "_place"), key, "left")
+    clash = F.col("_n_key").isNotNull()
+    chosen_row = F.col("_newest") & (F.col("_place") == F.col(ordinal))
+    stored = F.coalesce(chosen_row if override else chosen_row & ~clash, F.lit(False))
+    replaced = F.coalesce("_n_file", F.lit(0)) + F.when(F.lit(override), F.coalesce("_n_key", F.lit(0))).otherwise(0)
+    report = report.select(
+        *fresh.columns, clash.alias("clash"), stored.alias("stored"), F.when(stored, replaced).otherwise(0).cast("long").alias("n_replaced")
+    )
+    added = chosen.select("_row.*")
+    if override:
+        kept = kept.join(added.select(key), key, "left_anti")
+    else:
+        added = added.join(taken, key, "left_anti")
+    return kept.select(*store.columns).unionByName(added.select(*store.columns)), report
+
+
 def predict(
     rows: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType | str
 ) -> DataFrame:

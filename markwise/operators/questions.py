@@ -6,7 +6,7 @@ same options on any number of executors and in any order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,6 +261,53 @@ def assemble_options(
     )
 
 
+def assemble_yes_no(
+    df: DataFrame,
+    seed: int = 42,
+    add_abstain: bool = False,
+    alphabet: str = "alpha_upper",
+    label_style: str = "dot",
+    preprompt: str = PREPROMPT,
+    option_sep: str = OPTION_SEP,
+) -> DataFrame:
+    """What :func:`assemble_options` makes of binary questions whose one correct and one wrong answer are "Yes" and "No".
+
+    Both orders are known beforehand, so every value is a plain column of the answer (``truth``: is it yes?)
+    and of one comparison of hashes; nothing is mapped over arrays.
+    """
+    words = ("Yes", "No")
+    coded = {word: f'"{word}"' for word in words}
+    yes_first = _roll(seed, "s", F.col("qid"), F.lit(coded["Yes"])) < _roll(seed, "s", F.col("qid"), F.lit(coded["No"]))
+    rows = df.withColumn("_yes_first", yes_first)
+
+    def option(i: int, raw: Column, shown: Column, is_correct: Column, answers: Column) -> Column:
+        tag = text.label(F.lit(i), alphabet)
+        return _named(
+            idx=F.lit(i), raw_json=raw, label=tag, text=shown, full_text=F.concat(text.adorn(tag, label_style), F.lit(" "), shown),
+            is_correct=is_correct, answers=answers,
+        )
+
+    def single(i: int) -> Column:
+        is_yes = F.col("_yes_first") if i == 0 else ~F.col("_yes_first")
+        of = lambda change: F.when(is_yes, change("Yes")).otherwise(change("No"))
+        return option(
+            i, of(lambda w: F.initcap(F.lit(coded[w]))), of(lambda w: F.initcap(F.lit(w))), is_yes == F.col("truth"),
+            F.array(of(lambda w: F.lit(coded[w]))),
+        )
+
+    every = [single(0), single(1)]
+    if add_abstain:
+        every.append(option(2, F.lit(ABSTAIN), F.lit(text.ABSTAIN_TEXT[1]), F.lit(False), F.expr("cast(array() as array<string>)")))
+    rows = rows.withColumns({f"_option{i}": o for i, o in enumerate(every)})
+    lines = [x for i in range(len(every)) for x in (F.col(f"_option{i}.full_text"), F.lit(option_sep))]
+    return rows.select(
+        *[c for c in df.columns if c not in ("options", "qstr", "truth")],
+        F.array(*[f"_option{i}" for i in range(len(every))]).alias("options"),
+        F.when(F.col("_option0.is_correct"), F.col("_option0")).otherwise(F.col("_option1")).alias("correct_option"),
+        F.lit(len(every)).alias("num_options"), F.concat(F.col("raw_qstr"), F.lit(preprompt), *lines).alias("qstr"),
+    )
+
+
 def validate_questions(
     df: DataFrame,
     label_style: str = "dot",
@@ -445,14 +492,18 @@ def scramble(
 # --- generators ---------------------------------------------------------------------
 
 
-def _ready(df: DataFrame, category: str, template_type: str, kind: str, binary: bool, params: Column) -> DataFrame:
+def _ready(df: DataFrame, category: str, template_type: str, kind: str, binary: bool, params: Mapping[str, Column]) -> DataFrame:
     out = df.withColumns(
         {
             "question_category": F.lit(category), "template_type": F.lit(template_type), "kind": F.lit(kind),
             "declared": F.lit("str"), "binary": F.lit(binary),
         }
     )
-    return out.withColumn("raw_qstr", text.fill(template_text(), params))
+    words = {(t[0], t[1]): t[3] for t in TEMPLATES}[category, template_type]
+    filled = F.lit(words)
+    for name, value in params.items():
+        filled = F.replace(filled, F.lit(f"{{{name}}}"), value)
+    return out.withColumn("raw_qstr", filled)
 
 
 def _answers(parts: Column) -> Column:
@@ -471,7 +522,7 @@ def make_1part(
         F.concat_ws("/", F.lit("mating"), F.lit("1part"), *frame, "part_id").alias("qid"),
         _answers(F.col("connected")).alias("correct"), _answers(F.col("unconnected")).alias("incorrect"),
     )
-    params = F.create_map(F.lit("query_part"), F.concat(F.lit("Part "), F.col("part_id")))
+    params = {"query_part": F.concat(F.lit("Part "), F.col("part_id"))}
     return assemble_options(_ready(rows, "mating", "1part", "str", False, params), 4, seed, **flags)
 
 
@@ -495,12 +546,9 @@ def make_2part(
             "_second": F.when(swap, F.col("part_a")).otherwise(F.col("part_b")),
         }
     )
-    params = F.create_map(
-        F.lit("query_part1"), F.concat(F.lit("Part "), F.col("_first")),
-        F.lit("query_part2"), F.concat(F.lit("Part "), F.col("_second")),
-    )
+    params = {"query_part1": F.concat(F.lit("Part "), F.col("_first")), "query_part2": F.concat(F.lit("Part "), F.col("_second"))}
     ready = _ready(rows, "mating", template_type, "str", True, params).drop("_first", "_second")
-    return assemble_options(ready, 2, seed, **flags)
+    return assemble_yes_no(ready.withColumn("truth", F.col("connected")), seed, **flags)
 
 
 def in_hash_order(
@@ -539,8 +587,7 @@ def make_find_edges(
         F.transform("_yes", lambda e: F.array(e)).alias("correct"),
         F.transform("_no", lambda e: F.array(e)).alias("incorrect"),
     )
-    params = F.expr("cast(map() as map<string,string>)")
-    return assemble_options(_ready(rows, "mating", "find_edges", "list", False, params), n, seed, **flags)
+    return assemble_options(_ready(rows, "mating", "find_edges", "list", False, {}), n, seed, **flags)
 
 
 def role_index(parts: DataFrame, by: Sequence[str], semantics: str = "semantics", erase: bool = True) -> DataFrame:
@@ -593,8 +640,6 @@ def make_role_questions(
         _answers(hits).alias("correct"), _answers(F.array_except("_shown", hits)).alias("incorrect"),
         *([category.alias("_category")] if category is not None else []),
     )
-    named = [F.lit("semantic_role"), F.col("role")]
-    if category is not None:
-        named += [F.lit("category"), F.col("_category")]
-    ready = _ready(rows, "correspondence", template, "str", False, F.create_map(*named))
+    named = {"semantic_role": F.col("role")} | ({"category": F.col("_category")} if category is not None else {})
+    ready = _ready(rows, "correspondence", template, "str", False, named)
     return assemble_options(ready, n, seed, **flags)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,19 +272,54 @@ def restrict_keys(
     nothing = df.sparkSession.createDataFrame([], "entry string")
     if not entries:
         return df, nothing
-    any_match = F.col(key).rlike("|".join(glob_pattern(e) for e in entries))
+    names = df.select(F.col(key).alias("_name")).filter("_name IS NOT NULL").distinct()
+    pairs = matches(names, "_name", entries)
+    matched = pairs.select(F.col("_name").alias(key)).distinct()
     if exclude:
-        return df.filter(~any_match), nothing
-    kept = df.filter(any_match)
-    flags = [
-        F.struct(
-            F.lit(e).alias("entry"),
-            F.coalesce(F.max(F.col(key).rlike(glob_pattern(e))), F.lit(False)).alias("seen"),
-        )
-        for e in entries
-    ]
-    missing = kept.agg(F.array(*flags).alias("_seen")).select(F.explode("_seen").alias("_e"))
-    return kept, missing.filter("NOT _e.seen").select("_e.entry")
+        return df.filter(F.col(key).isNotNull()).join(matched, key, "left_anti").select(*df.columns), nothing
+    missing = _entry_table(df.sparkSession, [(e,) for e in entries], "entry string").join(pairs, "entry", "left_anti")
+    return df.join(matched, key, "left_semi").select(*df.columns), missing
+
+
+def _entry_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of given entries; one local relation, however many there are."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    return spark.createDataFrame(pd.DataFrame(list(rows), columns=names), schema)
+
+
+def matches(names: DataFrame, name: str, entries: Sequence[str]) -> DataFrame:
+    """(``name``, entry) of all distinct names that an entry names or, as a glob, covers.
+
+    Exact entries are an equality join. A glob is filed under its literal start or, where it starts with a wildcard, under its
+    longest literal piece, and meets only the names that have that text there; the pattern is tested on those. Globs of
+    wildcards alone are patterns over all names.
+    """
+    spark, plain, filed, free = names.sparkSession, [], [], []
+    for entry in entries:
+        pieces = re.split(r"[*?]", entry)
+        anchor = pieces[0] or max(pieces, key=len)
+        if len(pieces) == 1:
+            plain.append((entry, entry))
+        elif anchor:
+            filed.append((entry, anchor, not pieces[0], glob_pattern(entry)))
+        else:
+            free.append(entry)
+    found = names.join(_entry_table(spark, plain, f"{name} string, entry string"), name).select(name, "entry")
+    for inner in (False, True):
+        own = [(entry, anchor, pattern) for entry, anchor, at, pattern in filed if at == inner]
+        if not own:
+            continue
+        lengths = F.array(*(F.lit(n) for n in sorted({len(anchor) for _, anchor, _ in own})))
+        size = F.length(name)
+        cut = names.withColumn("_n", F.explode(F.filter(lengths, lambda n: n <= size)))
+        if inner:
+            cut = cut.withColumn("_at", F.explode(F.sequence(F.lit(1), size - F.col("_n") + 1)))
+        cut = cut.select(name, F.substr(name, F.col("_at") if inner else F.lit(1), F.col("_n")).alias("_anchor")).distinct()
+        near = cut.join(_entry_table(spark, own, "entry string, _anchor string, _pattern string"), "_anchor")
+        found = found.unionByName(near.filter(F.regexp_like(name, F.col("_pattern"))).select(name, "entry"))
+    for entry in free:
+        found = found.unionByName(names.filter(F.col(name).rlike(glob_pattern(entry))).select(name, F.lit(entry).alias("entry")))
+    return found
 
 
 def glob_pattern(entry: str) -> str:

@@ -284,3 +284,28 @@ def map_to_raw(
     return asof_index(
         frames, asked, by, ts, frame_idx, "_want", request_id, mode="nearest"
     ).drop("_want")
+
+
+def look_up_keyframes(
+    requests: DataFrame, frames: DataFrame, by: Sequence[str], keyframe: str, index: str,
+    is_prompt: Column | None = None, on_problem: str = "error", out: str = "frame_pos",
+) -> DataFrame:
+    """Position in the sub-sampled video of each requested key-frame.
+
+    ``frames`` are the frames that were kept, with their new ``index``; only prompt frames count. A key-frame that was not
+    kept, or was kept more than once, is an error that names it, or null with ``on_problem='null'`` (``problem`` says which).
+    Frames are counted before they meet the requests, so the join can't multiply rows.
+    """
+    if on_problem not in ("error", "null"):
+        raise ValueError("on_problem is 'error' or 'null'")
+    asked = [*by, keyframe]
+    known = frames.filter(F.col(keyframe).isNotNull() if is_prompt is None else is_prompt & F.col(keyframe).isNotNull())
+    known = known.groupBy(*asked).agg(F.count(F.lit(1)).alias("_n"), F.min(index).alias("_index"))
+    found = requests.join(known, asked, "left")
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "duplicate")
+    where = F.concat_ws("/", *[F.col(c).cast("string") for c in asked])
+    position = F.when(problem.isNull(), F.col("_index"))
+    if on_problem == "null":
+        return found.select(*requests.columns, position.alias(out), problem.alias("problem"))
+    failed = F.raise_error(F.concat(problem, F.lit(" key-frame "), where)).cast(frames.schema[index].dataType)
+    return found.select(*requests.columns, F.when(problem.isNotNull(), failed).otherwise(position).alias(out))

@@ -42,6 +42,29 @@ SELECT frame_idx, qid, '{TWO_PARTS}' || chr(10) || 'Options:' || chr(10)
   0 AS n_violations FROM q"""
 
 
+def two_part_options(spark, sf):
+    """Every option of yes/no questions about a frame, one row each, with the choice to abstain."""
+    out = questions.make_2part(
+        frame_parts(spark, sf), edges(spark, sf), FRAME, "size_h2l", 3, template_type="2parts_frame", add_abstain=True
+    )
+    rows = out.select("qid", "num_options", F.inline("options"))
+    return rows.select("qid", "num_options", "idx", "label", "text", "full_text", "raw_json", "is_correct", F.array_join("answers", ",").alias("answers"))
+
+
+TWO_PART_OPTIONS_SQL = f"""
+WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY area DESC, k) AS rk FROM fp),
+p AS (SELECT 'mating/2parts_frame/' || a.frame_idx || '/' || a.part_id || '/' || b.part_id AS qid,
+    EXISTS (SELECT 1 FROM edges e WHERE e.src = a.part_id AND e.dst = b.part_id) AS edge
+  FROM r a JOIN r b ON b.frame_idx = a.frame_idx AND a.rk < b.rk
+  QUALIFY row_number() OVER (PARTITION BY a.frame_idx ORDER BY a.area + b.area DESC, a.rk, b.rk) <= 3),
+h AS (SELECT *, md5('42|s|' || qid || '|"Yes"') < md5('42|s|' || qid || '|"No"') AS yes_first FROM p),
+o AS (SELECT qid, idx, edge, CASE WHEN idx = 2 THEN NULL WHEN (idx = 0) = yes_first THEN 'Yes' ELSE 'No' END AS word FROM h, range(3) t(idx))
+SELECT qid, 3 AS num_options, CAST(idx AS INTEGER) AS idx, chr(CAST(65 + idx AS INTEGER)) AS label,
+  coalesce(word, 'Not sure') AS text, chr(CAST(65 + idx AS INTEGER)) || '. ' || coalesce(word, 'Not sure') AS full_text,
+  coalesce('"' || lower(word) || '"', '"abstain"') AS raw_json,
+  coalesce((word = 'Yes') = edge, false) AS is_correct, coalesce('"' || word || '"', '') AS answers FROM o"""
+
+
 def make_1part(spark, sf):
     out = questions.make_1part(
         frame_parts(spark, sf), edges(spark, sf), FRAME, "subasm", 3, randomize_options=False
@@ -596,6 +619,7 @@ NATURAL_SQL = "SELECT p_partkey, p_name || '_|' || lpad(CAST(p_partkey AS VARCHA
 
 QUERIES = {
     "natural_order": Query(natural_order, NATURAL_SQL),
+    "two_part_options": Query(two_part_options, TWO_PART_OPTIONS_SQL),
     "make_2part": Query(make_2part, MAKE_2PART_SQL),
     "make_1part": Query(make_1part, MAKE_1PART_SQL),
     "find_edges": Query(find_edges, FIND_EDGES_SQL),

@@ -393,6 +393,43 @@ r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seen) AS k FROM b)
 SELECT stage, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS stage_id FROM r"""
 
 
+def _conversations(spark, sf):
+    """Odd parts as stored conversations, every third one (as it is asked next) as a fresh one."""
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("conv_id"), F.concat_ws("/", F.lit("q"), F.expr("p_partkey div 7"), "p_brand").alias("qid_flat"),
+        F.col("p_size").alias("size"), F.col("p_partkey").alias("ordinal"),
+    )
+    fresh = rows.filter("conv_id % 3 = 0").withColumn("qid_flat", F.concat_ws("/", F.lit("q"), F.expr("(conv_id + 1) div 7"), F.lit("new")))
+    return rows.filter("conv_id % 2 = 1").drop("ordinal"), fresh
+
+
+def _upsert_conversations(override, part):
+    def build(spark, sf):
+        return ledger.upsert_conversations(*_conversations(spark, sf), override=override)[part]
+
+    return build
+
+
+CONVERSATIONS_SQL = """old AS (SELECT p_partkey AS conv_id, 'q/' || (p_partkey // 7) || '/' || p_brand AS qid_flat, p_size AS size, p_partkey // 7 AS f
+  FROM part WHERE p_partkey % 2 = 1),
+new AS (SELECT p_partkey AS conv_id, 'q/' || ((p_partkey + 1) // 7) || '/new' AS qid_flat, p_size AS size, p_partkey AS ordinal, (p_partkey + 1) // 7 AS f
+  FROM part WHERE p_partkey % 3 = 0)"""
+CLASH_SQL = f"""WITH {CONVERSATIONS_SQL}
+SELECT conv_id, qid_flat, size, ordinal, conv_id % 2 = 1 AS clash, conv_id % 2 = 0 AS stored, CAST(0 AS BIGINT) AS n_replaced FROM new"""
+CLASH_STORE_SQL = f"""WITH {CONVERSATIONS_SQL}
+SELECT conv_id, qid_flat, size FROM old UNION ALL SELECT conv_id, qid_flat, size FROM new WHERE conv_id % 2 = 0"""
+OVERRIDE_CLASH_SQL = f"""WITH {CONVERSATIONS_SQL}, kept AS (SELECT * FROM old WHERE f NOT IN (SELECT f FROM new)),
+m AS (SELECT *, ordinal = max(ordinal) OVER (PARTITION BY f) AS stored, conv_id IN (SELECT conv_id FROM kept) AS clash FROM new)
+SELECT conv_id, qid_flat, size, ordinal, clash, stored,
+  CASE WHEN stored THEN (SELECT count(*) FROM old WHERE old.f = m.f) + clash::INT ELSE 0 END AS n_replaced FROM m"""
+
+
+def pack_batches_cut(spark, sf):
+    """All documents as one key, cut into slices of 64 rows that are packed side by side."""
+    docs = table(spark, sf, "documents").select(F.lit("all").alias("source"), "doc_id", "n_chars")
+    return packing.pack_batches(docs, ["source"], ["doc_id"], "n_chars", 8192, slice_rows=64)
+
+
 def pack_batches(spark, sf):
     """Documents of a source packed in id order into batches of 8192 characters."""
     docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
@@ -428,4 +465,8 @@ QUERIES = {
     "transition_weights": Query(transition_weights, WEIGHTS_SQL),
     "stage_names": Query(stage_names, STAGE_SQL),
     "pack_batches": Query(pack_batches, PACK_SQL),
+    "pack_batches_cut": Query(pack_batches_cut, PACK_SQL.replace("SELECT source, doc_id, n_chars, row", "SELECT 'all' AS source, doc_id, n_chars, row").replace("PARTITION BY source ", "")),
+    "conversation_clash": Query(_upsert_conversations(False, 1), CLASH_SQL),
+    "conversation_insert": Query(_upsert_conversations(False, 0), CLASH_STORE_SQL),
+    "conversation_override": Query(_upsert_conversations(True, 1), OVERRIDE_CLASH_SQL),
 }

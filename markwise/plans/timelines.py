@@ -139,6 +139,49 @@ n AS (SELECT c.user_id, a, coalesce(lead(o) OVER (PARTITION BY c.user_id ORDER B
 SELECT user_id, a AS "start", b AS "end" FROM n WHERE b > a"""
 
 
+def kept_ranges(spark, sf):
+    """Time of each user outside the busy spans, without the first ten days and, for even users, the time from day 50 on."""
+    totals = frames(spark, sf).groupBy(*USER).agg(F.min("t").alias("_from"), F.max("t").alias("_to"))
+    base = totals.select(*USER, "_from", (F.col("_to") - F.col("_from") + 240 * HOUR).alias("total"))
+    spans = _spans(spark, sf).join(base, USER).select(*USER, (F.col("end") - F.col("_from")).alias("start"), (F.col("start") - F.col("_from")).alias("end"))
+    return intervals.kept_ranges(
+        spans, base, USER, "total", F.lit(240 * HOUR), F.when(F.col("user_id") % 2 == 0, F.lit(1200 * HOUR)), eps=0
+    )
+
+
+KEPT_SQL = f"""
+WITH {FRAMES_SQL}, base AS (SELECT user_id, min(t) AS t0, max(t) - min(t) + {240 * HOUR} AS total FROM frames GROUP BY ALL),
+cut AS (SELECT user_id, least(greatest(a, 0), total) AS a, least(greatest(b, 0), total) AS b FROM (
+  SELECT f.user_id, total, t - t0 AS a, t - t0 + CAST(round(value * 600) AS BIGINT) * 1000000 AS b FROM frames f JOIN base USING (user_id)
+  UNION ALL SELECT user_id, total, 0, {240 * HOUR} FROM base
+  UNION ALL SELECT user_id, total, least({1200 * HOUR}, total), greatest({1200 * HOUR}, total) FROM base WHERE user_id % 2 = 0)),
+ends AS (SELECT user_id, b AS at FROM cut WHERE b > a UNION SELECT user_id, 0 FROM base),
+gap AS (SELECT e.user_id, e.at AS a, coalesce((SELECT min(c.a) FROM cut c WHERE c.user_id = e.user_id AND c.b > c.a AND c.b > e.at), total) AS b
+  FROM ends e JOIN base USING (user_id))
+SELECT user_id, a AS "start", b AS "end" FROM gap WHERE b > a"""
+
+
+def look_up_keyframes(spark, sf):
+    """Orders ask for the n-th view of a user among every second event; some users have none, some numbers come twice."""
+    kept = frames(spark, sf).withColumn("keyframe_idx", F.col("event_id") % 11)
+    kept = sampling.with_position(kept.filter("event_id % 2 = 0"), USER, ["t", "event_id"], "frame_pos")
+    users = F.col("o_custkey") % 150
+    asked = table(spark, sf, "orders").select(users.cast("bigint").alias("user_id"), (F.col("o_orderkey") % 11).alias("keyframe_idx"), "o_orderkey")
+    out = timeline.look_up_keyframes(
+        asked, kept, USER, "keyframe_idx", "frame_pos", F.col("event_type") == "view", on_problem="null"
+    )
+    return out.select("o_orderkey", "user_id", "keyframe_idx", "frame_pos", "problem")
+
+
+LOOK_UP_SQL = f"""
+WITH {FRAMES_SQL}, k AS (SELECT user_id, event_id % 11 AS keyframe_idx, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS pos
+  FROM frames WHERE event_id % 2 = 0),
+n AS (SELECT user_id, keyframe_idx, count(*) AS n, min(pos) AS pos FROM k WHERE event_type = 'view' GROUP BY ALL)
+SELECT o_orderkey, CAST(o_custkey % 150 AS BIGINT) AS user_id, o_orderkey % 11 AS keyframe_idx, CASE WHEN n = 1 THEN pos END AS frame_pos,
+  CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' END AS problem
+FROM orders LEFT JOIN n ON n.user_id = o_custkey % 150 AND n.keyframe_idx = o_orderkey % 11"""
+
+
 def keep_windows(spark, sf):
     """Events inside the merged spans of purchases, with their offset in the span."""
     rows = frames(spark, sf)
@@ -442,6 +485,8 @@ QUERIES = {
     "gap_trim": Query(gap_trim, TRIM_SQL),
     "merge_intervals": Query(merged_spans, f"WITH {MERGED_SQL} SELECT * FROM merged"),
     "invert_intervals": Query(inverted_spans, INVERT_SQL),
+    "kept_ranges": Query(kept_ranges, KEPT_SQL),
+    "look_up_keyframes": Query(look_up_keyframes, LOOK_UP_SQL),
     "keep_windows": Query(keep_windows, KEEP_SQL),
     "exclusive_match": Query(exclusive_match, EXCLUSIVE_SQL),
     "increasing_repair": Query(increasing_repair, INCREASING_SQL),

@@ -172,6 +172,20 @@ def test_masks(spark):
     assert names("forward") == ["left", "right"] and names("inverse") == ["full", "left"]
 
 
+@pytest.mark.parametrize("flags", [{}, {"add_abstain": True, "alphabet": "alpha_lower", "label_style": "double_square", "preprompt": "?", "option_sep": ";"}])
+def test_yes_no_questions_equal_the_general_assembly(spark, flags):
+    answer = lambda word: [[[word]]]
+    rows = [(f"q{i}", "mating", "2parts", "str", "str", True, f"Q {i}?", answer("Yes" if i % 3 else "No"), answer("No" if i % 3 else "Yes")) for i in range(60)]
+    df = spark.createDataFrame(rows, "qid string, question_category string, template_type string, kind string, declared string, binary boolean,"
+                               " raw_qstr string, correct array<array<array<string>>>, incorrect array<array<array<string>>>")
+    names = ["qid", "options", "correct_option", "num_options", "qstr"]
+    general = questions.assemble_options(df, 2, 7, **flags).select(*names)
+    plain = questions.assemble_yes_no(df.withColumn("truth", F.col("correct")[0][0][0] == "Yes"), 7, **flags).select(*names)
+    assert plain.dtypes == general.dtypes
+    assert sorted(plain.collect()) == sorted(general.collect())
+    assert len({r.correct_option.idx for r in plain.collect()}) == 2
+
+
 def _hd_masks():
     """Shapes in a full HD frame, as pixel arrays: whole, half, a diagonal, columns far apart, dots, rectangles, and nothing."""
     h, w = 1080, 1920
