@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from markwise.functions import parse
+from markwise.functions import parse, rle
 from markwise.operators import sampling, score
 from markwise.plans.catalog import Query, micros, rounded, table
 from markwise.plans.runs import LOG_LINE, LOG_SQL_TEXT, TRANSITIONS_SQL
@@ -61,6 +61,97 @@ APPEND_SQL = f"""SELECT 'v' || (conv_id % 7) AS run_id, {LETTER} AS post_process
 FROM conversations GROUP BY ALL"""
 
 
+def source_questions(spark, sf):
+    """Parts as question documents, written as JSON lines and scanned: frames as a number or a list, options in their order."""
+    option = lambda i, raw: F.struct(raw.alias("raw"), F.lit("ABC"[i]).alias("label"), F.concat(F.lit("t"), raw).alias("text"), F.concat(F.lit("ABC"[i] + ". t"), raw).alias("full_text"))
+    raws = [F.col("p_size").cast("string"), F.col("p_brand"), F.lit("none")]
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("qid"), F.lit("mating").alias("question_category"),
+        F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("["), "p_size", F.lit(", 7]"))).alias("frame_idx"),
+        F.struct(F.create_map(*(x for i in (2, 0, 1) for x in (F.lit(str(i)), option(i, raws[i])))).alias("options")).alias("question"),
+    )
+    path = scratch_path(spark, "questions")
+    rows.write.json(path)
+    back = readers.read_questions(spark, path)
+    return back.select("qid", F.array_join("frame_idx", ",").alias("frames"), F.inline("options"))
+
+
+SOURCE_QUESTIONS_SQL = """
+SELECT CAST(p_partkey AS VARCHAR) AS qid, CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ',7' END AS frames,
+  CAST(i AS INTEGER) AS idx, raw AS raw_json, chr(CAST(65 + i AS INTEGER)) AS label, 't' || raw AS text, chr(CAST(65 + i AS INTEGER)) || '. t' || raw AS full_text
+FROM (SELECT p_partkey, p_size, i, CASE i WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_brand ELSE 'none' END AS raw FROM part, range(3) r(i))"""
+
+
+def source_masks(spark, sf):
+    """Orders as mask documents: a supplier is a video, an order a frame, a line a mask; written, scanned in pieces and decoded."""
+    size, filled = F.lit(64), F.col("l_quantity").cast("int")
+    runs = F.array(F.col("l_linenumber").cast("int"), filled, size * size - F.col("l_linenumber").cast("int") - filled)
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 20).alias("video"), F.col("l_orderkey").cast("string").alias("frame"), F.col("l_linenumber").cast("string").alias("part"),
+        "l_linenumber", filled.alias("filled"), rle.encode_counts(runs).alias("counts"),
+    ).dropDuplicates(["video", "frame", "part"])
+    mask = F.struct(F.array(size, size).alias("size"), "counts")
+    frames = rows.groupBy("video", "frame").agg(F.map_from_entries(F.collect_list(F.struct("part", mask))).alias("parts"))
+    documents = frames.groupBy("video").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("frame", "parts")))).alias("value"))
+    path = scratch_path(spark, "masks")
+    documents.select("value").write.text(path)
+    back = readers.read_masks(spark, path)
+    return back.groupBy("frame_idx").agg(
+        F.count(F.lit(1)).alias("n_masks"), F.sum(F.element_at("runs", 1)).alias("start"), F.sum(F.size("runs")).alias("n_runs")
+    )
+
+
+SOURCE_MASKS_SQL = """
+SELECT CAST(l_orderkey AS INTEGER) AS frame_idx, count(*) AS n_masks, CAST(sum(l_linenumber) AS BIGINT) AS start, count(*) * 3 AS n_runs
+FROM (SELECT DISTINCT l_suppkey % 20 AS video, l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL"""
+
+
+def source_keyframes(spark, sf):
+    """Event times as a key-frame file: the line number is the key-frame."""
+    path = scratch_path(spark, "keyframes")
+    times = table(spark, sf, "events").select("event_id", (micros(F.col("ts")) / 1e6).alias("frame_time"))
+    times.sort("event_id").coalesce(1).select(F.to_json(F.struct("frame_time")).alias("value")).write.text(path)
+    return rounded(readers.read_keyframes(spark, path).select("keyframe_idx", "frame_time"))
+
+
+SOURCE_KEYFRAMES_SQL = """
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS keyframe_idx, round(epoch_us(ts) / 1e6, 6) AS frame_time FROM events"""
+
+
+def report_file(spark, sf):
+    """The score report in a fixed order of categories, written as CSV and read back."""
+    wanted = ["micro_avg", "5-LOW", "1-URGENT", "3-MEDIUM"]
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("question_no"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("truth"),
+        F.lit(3).alias("n_options"), (F.col("o_totalprice") > 150_000).cast("long").alias("correct"), (F.col("o_totalprice") <= 150_000).cast("long").alias("incorrect"),
+    )
+    report = score.score(rows, strict_schema=True, categories=wanted)
+    path = scratch_path(spark, "report")
+    sinks.write_report(report.select("report_order", "category", "n_questions", "strict"), path)
+    back = spark.read.schema("report_order int, category string, n_questions long, strict double").csv(path, header=True)
+    return rounded(back)
+
+
+REPORT_SQL = """
+WITH s AS (SELECT coalesce(o_orderpriority, 'micro_avg') AS category, count(*) AS n_questions, round(100.0 * avg((o_totalprice > 150000)::INT), 6) AS strict
+  FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ()))
+SELECT CAST(i AS INTEGER) AS report_order, category, n_questions, strict
+FROM (VALUES (0, 'micro_avg'), (1, '5-LOW'), (2, '1-URGENT'), (3, '3-MEDIUM')) w(i, category) JOIN s USING (category)"""
+
+
+def converted_files(spark, sf):
+    """Converted questions and those with issues, written beside each other and read back."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("question_no"), "p_brand", "p_size")
+    path = scratch_path(spark, "converted")
+    sinks.write_converted(rows, rows.filter("p_size > 25").union(rows.filter("p_size > 40")), path)
+    issues = spark.read.schema("question_no string").json(f"{path}/issues").withColumn("n_issues", F.lit(1))
+    back = spark.read.schema(rows.schema).json(f"{path}/questions")
+    return back.join(issues, "question_no", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
+
+
+CONVERTED_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS question_no, p_brand, p_size, (p_size > 25)::INT AS n_issues FROM part"
+
+
 def manifest_csv(spark, sf):
     """Events as a frame manifest: written with -1 for null and read back."""
     rows = table(spark, sf, "events").select("user_id", "event_id", micros(F.col("ts")).alias("t"), "event_type")
@@ -230,6 +321,11 @@ QUERIES = {
     "manifest_csv": Query(manifest_csv, MANIFEST_CSV_SQL),
     "track_files": Query(track_files, TRACK_SQL),
     "log_files": Query(log_files, LOG_FILES_SQL),
+    "source_questions": Query(source_questions, SOURCE_QUESTIONS_SQL),
+    "source_masks": Query(source_masks, SOURCE_MASKS_SQL),
+    "source_keyframes": Query(source_keyframes, SOURCE_KEYFRAMES_SQL),
+    "report_file": Query(report_file, REPORT_SQL),
+    "converted_files": Query(converted_files, CONVERTED_SQL),
     "stream_scoreboard": Query(stream_scoreboard, STREAM_SCORE_SQL),
     "stream_windows": Query(_windows(None), WINDOW_SQL),
     "stream_sliding_windows": Query(_windows("30 minutes"), SLIDING_SQL),

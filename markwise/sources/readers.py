@@ -229,12 +229,20 @@ def discover_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
-    """Mask documents (frame -> part -> compressed mask), one JSON file per video."""
-    docs = spark.read.text(path, wholetext=True).select(
+    """Mask documents (frame -> part -> compressed mask), JSON files named after their video.
+
+    A file is read in pieces that end where a frame's masks do (``}}``, which no mask contains), so a video of any length is
+    cut into splits and a row holds a frame or two. Documents with white space between those brackets are read whole. Several documents may
+    follow each other in a file.
+    """
+    pieces = spark.read.option("lineSep", "}}").text(path).select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]+$", 1).alias("video_id"),
-        F.from_json("value", schemas.MASK_DOCUMENT).alias("d"),
-    )
-    return docs.select("video_id", F.explode("d").alias("frame", "parts")).select(
+        F.regexp_replace("value", r"^[\s,{}]+", "").alias("piece"),
+    ).filter("piece <> ''")
+    count = lambda sign: F.length("piece") - F.length(F.replace("piece", F.lit(sign), F.lit("")))
+    closed = F.concat(F.lit("{"), "piece", F.repeat(F.lit("}"), (count("{") - count("}") + 1).cast("int")))
+    frames = pieces.select("video_id", F.from_json(closed, schemas.MASK_DOCUMENT, {"mode": "FAILFAST"}).alias("d"))
+    return frames.select("video_id", F.explode("d").alias("frame", "parts")).select(
         "video_id", F.col("frame").cast("int").alias("frame_idx"), F.explode("parts").alias("part_id", "m")
     ).select(
         "video_id", "frame_idx", "part_id", F.col("m.size")[0].alias("h"), F.col("m.size")[1].alias("w"),

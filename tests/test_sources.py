@@ -1,6 +1,7 @@
 """File scans, sinks and streams on small hand-made folders."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,34 @@ def test_documents(spark, tmp_path):
     assert got["001"] == (True, True, True, "B", "E") and got["002"][:3] == (False, True, False)
 
 
+@pytest.mark.parametrize("style", [{}, {"separators": (",", ":")}, {"indent": 1}])
+def test_masks_come_in_pieces(spark, tmp_path, style):
+    """A document many splits long is not read as one row; frames without masks and awkward strings do no harm."""
+    rng = random.Random(1)
+    counts = lambda: "".join(chr(rng.randint(48, 79)) for _ in range(rng.randint(1, 30))) + "\\]"[: rng.randint(0, 1)]
+    doc = {str(f): {str(p): {"size": [4, 4], "counts": counts()} for p in range(f % 4)} for f in range(600)}
+    for name in ("vidA", "vidB"):
+        (tmp_path / "m").mkdir(exist_ok=True)
+        (tmp_path / "m" / f"{name}.json").write_text(json.dumps(doc, **style))
+    (tmp_path / "m" / "none.json").write_text("{}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.read_masks(spark, str(tmp_path / "m"))
+        got = sorted((r.video_id, r.frame_idx, r.part_id, r.h, r.w) for r in rows.collect())
+        assert rows.rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((v, int(f), p, 4, 4) for v in ("vidA", "vidB") for f, parts in doc.items() for p in parts)
+
+
+def test_broken_mask_documents_are_an_error(spark, tmp_path):
+    path = tmp_path / "v.json"
+    path.write_text('{"1": {"2": {"size": [4, 4], "counts": 7 8}}}')
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_masks(spark, str(path)).collect()
+
+
 def test_questions_and_sinks(spark, tmp_path):
     docs = [{"qid": "x", "frame_idx": 7, "question": {"options": {"1": {"raw": "none", "label": "B"}, "0": {"raw": ["3", "4"], "label": "A"}}}},
             {"qid": "y", "frame_idx": [3, 9]}]
