@@ -52,11 +52,16 @@ _XOR = _draw.integers(0, 2**32, DIGESTED, dtype=np.uint32)
 _ODD = _draw.integers(0, 2**31, DIGESTED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 N_DIGESTS = DIGESTED // 32
 DIGESTS = [f"d{i}" for i in range(N_DIGESTS)]
-MEMBER = ["doc_id", "class", "n_shingles", *DIGESTS]
+MEMBER = ["doc_id", "class", "n_shingles", "small", *DIGESTS]
+#: Sets of at most so many shingles travel with their node rows: a set under LEAST_DIGESTED has similarity 0.75 with no larger one.
+SMALL = LEAST_DIGESTED * 100 // 75
+#: Members of a leaf's main class that one task compares with the other members.
+BLOCK = 4096
 #: Centres drawn by hash, beside the least doc_id, that a first-level node's members are compared with at once.
 TURNS = 2
 SKETCH = ", ".join([
     *(f"{c} bigint" for c in ("doc_id", "n_shingles", "set_a", "set_b", *DIGESTS)), "nodes array<bigint>", "mins array<int>",
+    "small array<bigint>",
 ])
 
 
@@ -111,7 +116,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in SKETCH.split(", ")]
         for batch in batches:
             for c in chunks(batch.column(1)):
-                size, a, b, digests, nodes, mins = [], [], [], [], [], []
+                size, a, b, digests, nodes, mins, small = [], [], [], [], [], [], []
                 for s in shingle_sets(c):
                     size.append(len(s))
                     a.append(np.sum(mix(s ^ np.uint64(1)), dtype=np.uint64))
@@ -120,26 +125,34 @@ def sketches(docs: DataFrame) -> DataFrame:
                     digests.append(_bits(values))
                     nodes.append(_first_nodes(values) if len(s) else np.zeros(0, np.int64))
                     mins.append(values[:HASHES].view(np.int32))
+                    small.append(s.view(np.int64) if len(s) <= SMALL else None)
                 digests = np.array(digests)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[c.first : c.last], pa.array(size, pa.int64()),
                      *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (a, b)),
                      *(pa.array(digests[:, k]) for k in range(N_DIGESTS)),
-                     pa.array(nodes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int32()))], names,
+                     pa.array(nodes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int32())),
+                     pa.array(small, pa.list_(pa.int64()))], names,
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SKETCH)
 
 
+def _is_sure(a: str, b: str) -> Column:
+    """Whether a pair is decided by the sets that its rows carry."""
+    return F.least(f"{a}.n_shingles", f"{b}.n_shingles") < LEAST_DIGESTED
+
+
 def _alike(a: str, b: str) -> Column:
-    """Whether two digests and set sizes allow a similarity of 0.75."""
+    """Whether two digests and set sizes allow a similarity of 0.75; whether they have it, if one set is small."""
     col = lambda side, name: F.col(f"{side}.{name}")
     unlike = lambda i: col(a, f"d{i}").bitwiseXOR(col(b, f"d{i}"))
     half = N_DIGESTS // 2
     different = sum((F.bit_count(unlike(i).bitwiseOR(unlike(i + half))) for i in range(half)), F.lit(0))
     n, m = col(a, "n_shingles"), col(b, "n_shingles")
-    small = F.least(n, m) < LEAST_DIGESTED
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & (small | (different <= MOST_DIFFERENT))
+    both = F.size(F.array_intersect(col(a, "small"), col(b, "small")))
+    test = F.when(_is_sure(a, b), both * 100 >= (n + m - both) * 75).otherwise(different <= MOST_DIFFERENT)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & test
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -210,14 +223,69 @@ def merged(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return settle(moved.unionByName(joined.join(found, "id", "left_anti")))
 
 
-def _leaf_pairs(members: DataFrame, cut: DataFrame) -> DataFrame:
-    """Pairs of different classes in the nodes of ``cut`` (node, main): one side is never of the main class."""
-    own = members.join(cut, "node")
-    a = own.filter(F.col("class") != F.col("main")).alias("a")
-    b = own.alias("b")
-    different = (F.col("a.class") != F.col("b.class")) & (F.col("a.doc_id") != F.col("b.doc_id"))
-    return a.join(b, (F.col("a.node") == F.col("b.node")) & different & _alike("a", "b")).select(
-        F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")
+def _compare(members: pa.Table, spanning: bool) -> pa.Table:
+    """(a, b, sure) of the alike pairs of different classes in one block of a leaf; one side is never of the main class.
+
+    Small sets are compared as sets; of their links enough are returned to join what they join. With ``spanning`` the same
+    holds for the pairs whose digests are alike.
+    """
+    doc, size = members.column("doc_id").to_numpy(), members.column("n_shingles").to_numpy()
+    named, kind = np.unique(members.column("class").to_numpy(), return_inverse=True)
+    main = members.column("class").to_numpy() == members.column("main").to_numpy()
+    digests = np.stack([members.column(c).to_numpy() for c in DIGESTS], axis=1).view(np.uint64)
+    half = N_DIGESTS // 2
+    sets = members.column("small").combine_chunks()
+    flat = sets.flatten().to_numpy(zero_copy_only=False)
+    begin = np.concatenate([[0], np.cumsum(sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    owner = np.repeat(np.arange(len(doc)), np.diff(begin))
+    first_block = members.column("block")[0].as_py() == 0
+    joined = np.arange(len(named))  # classes that links so far make one
+    out = []
+
+    def emit(i: int, near: np.ndarray, sure: bool, every: bool) -> None:
+        if not every:
+            _, one = np.unique(joined[kind[near]], return_index=True)
+            near = near[one]
+            near = near[joined[kind[near]] != joined[kind[i]]]
+            joined[np.isin(joined, joined[kind[near]])] = joined[kind[i]]
+        out.extend((min(doc[i], doc[j]), max(doc[i], doc[j]), sure) for j in near)
+
+    for sure in (True, False):
+        if not (size < LEAST_DIGESTED).any() if sure else (size < LEAST_DIGESTED).all():
+            continue
+        for i in np.flatnonzero(~main):
+            near = kind != kind[i]
+            near &= (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * 75) & ((np.minimum(size, size[i]) < LEAST_DIGESTED) == sure)
+            # Members outside the main class are in every block, and meet in the first one.
+            near &= main | (first_block & (np.arange(len(doc)) > i))
+            near = np.flatnonzero(near)
+            if not len(near):
+                continue
+            if sure:
+                own = flat[begin[i] : begin[i + 1]]
+                both = np.bincount(owner[np.isin(flat, own)], minlength=len(doc))[near]
+                near = near[both * 100 >= (size[near] + size[i] - both) * 75]
+            else:
+                unlike = digests[near] ^ digests[i]
+                near = near[np.bitwise_count(unlike[:, :half] | unlike[:, half:]).sum(axis=1) <= MOST_DIFFERENT]
+            if len(near):
+                emit(i, near, sure, every=not (sure or spanning))
+    a, b, s = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(s, pa.bool_())})
+
+
+def _leaf_pairs(leaves: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs of different classes in leaves: one side is never of the main class.
+
+    The main class of a leaf is dealt over blocks; the few other members are in each of them.
+    """
+    blocks = F.floor(F.col("total") / BLOCK) + 1
+    here = F.when(F.col("class") == F.col("main"), F.array(F.pmod(F.xxhash64("doc_id"), blocks))).otherwise(
+        F.sequence(F.lit(0).cast("bigint"), blocks - 1)
+    )
+    dealt = leaves.select("node", "main", *MEMBER, F.explode(here).alias("block"))
+    return dealt.groupBy("node", "block").applyInArrow(
+        lambda table: _compare(table, spanning), "a bigint, b bigint, sure boolean"
     ).distinct()
 
 
@@ -231,19 +299,24 @@ def _star_pairs(members: DataFrame, orders: list[Column]) -> DataFrame:
     star = members.alias("a").join(centre.alias("b"), F.col("a.node") == F.col("b.node"))
     star = star.filter((F.col("a.class") != F.col("b.class")) & _alike("a", "b"))
     return star.select(
-        F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")
+        F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"), _is_sure("a", "b").alias("sure")
     ).distinct()
 
 
+def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among ``pairs`` (a, b, sure)."""
+    return settle(confirmed(rows, pairs.filter("NOT sure").select("a", "b")).unionByName(pairs.filter("sure").select("a", "b")))
+
+
 def _undecided(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members with their class, of tree nodes that hold more than one class; with the size of the node's largest class."""
+    """Members with their class, of tree nodes that hold more than one class; with their number, its largest class and how many are not of it."""
     if found is not None:
         known = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("class"))
         members = members.drop("class").join(known, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
     of_class = members.groupBy("node", "class").agg(F.count(F.lit(1)).alias("n"))
     of_node = of_class.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
     of_node = of_node.filter(F.col("n") > F.col("most.n")).select(
-        "node", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("main")
+        "node", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("main"), F.col("n").alias("total")
     )
     return settle(members.select("node", *MEMBER).join(of_node, "node"))
 
@@ -288,19 +361,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = _undecided(unique.select(*MEMBER, F.explode("nodes").alias("node")), None)
     orders = [F.lit(0), *(F.xxhash64("doc_id", F.lit(turn)) for turn in range(TURNS))]
     tested = settle(_star_pairs(members, orders))
-    found = merged(None, settle(confirmed(rows, tested)))
+    found = merged(None, _links(rows, tested))
     depth = 1
     while True:
         members = _undecided(members, found)
         small = (F.col("others") <= LEAF) if depth < DEEPEST else F.lit(True)
         wide = members.filter(~small)
-        pairs = _leaf_pairs(members.drop("main"), members.filter(small).select("node", "main").distinct())
+        pairs = leaf = settle(_leaf_pairs(members.filter(small), spanning=True))
         deeper = not wide.isEmpty()
         if deeper:
             pairs = pairs.union(_star_pairs(wide, [F.xxhash64("node", "doc_id")])).distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
-        found = merged(found, settle(confirmed(rows, pairs)))
+        links = _links(rows, pairs)
+        found = merged(found, links)
+        if not leaf.filter("NOT sure").join(links, ["a", "b"], "left_anti").isEmpty():
+            # A pair that is no link may have stood for others: all that are left.
+            left = _undecided(members.filter(small).select("node", *MEMBER), found)
+            pairs = settle(_leaf_pairs(left, spanning=False).join(tested, ["a", "b"], "left_anti"))
+            tested = tested.unionByName(pairs)
+            found = merged(found, _links(rows, pairs))
         if not deeper:
             break
         wide = _undecided(wide, found)

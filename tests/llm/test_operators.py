@@ -284,3 +284,33 @@ def test_pipeline(spark, odd):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert {r.doc_id for r in docs.collect()} >= {None, 1, 2, 3, 4, 5, 6, 7, 8}
+
+
+def test_leaf_comparison(spark, docs, monkeypatch):
+    """One leaf of all documents: every link is found, the spanning pairs join what all pairs join, blocks lose nothing."""
+    unique = minhash_dedup.sketches(spark.createDataFrame(docs, "doc_id bigint, text string")).filter("n_shingles > 0")
+    unique = unique.dropDuplicates(["set_a", "set_b"])
+    classed = unique.withColumn("class", F.when(F.col("doc_id") % 5 == 0, F.lit(-1)).otherwise(F.col("doc_id")))
+    leaf = classed.select(*minhash_dedup.MEMBER, F.lit(1).alias("node"), F.lit(-1).alias("main"), F.lit(0).alias("block")).toArrow()
+    pairs = lambda table: {(a, b) for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)}
+    every = pairs(minhash_dedup._compare(leaf, spanning=False))
+
+    def joined(links):
+        top = {}
+        of = lambda x: x if top.setdefault(x, x) == x else of(top[x])
+        class_of = {i: -1 if i % 5 == 0 else i for ends in links for i in ends}
+        for a, b in links:
+            top[of(class_of[a])] = of(class_of[b])
+        return {frozenset(x for x in top if of(x) == r) for r in map(of, list(top))}
+
+    spanning = pairs(minhash_dedup._compare(leaf, spanning=True))
+    assert spanning <= every and joined(spanning) == joined(every)
+    members = classed.select(*minhash_dedup.MEMBER, F.lit(1).alias("node"), F.lit(-1).alias("main"), F.lit(1000).alias("total"))
+    for block in (40, 4096):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        assert pairs(minhash_dedup._leaf_pairs(members, spanning=False).toArrow()) == every
+    want = brute.near_duplicates([d for d in docs if d[0] in {r.doc_id for r in unique.select("doc_id").collect()}])
+    linked = {frozenset((a, b)) for a, b in every}
+    for a, b in every:
+        assert want[a][1] == want[b][1]
+    assert linked
