@@ -23,7 +23,9 @@ component_id) and are kept. One doc_id must not name two texts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -223,22 +225,43 @@ def merged(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return settle(moved.unionByName(joined.join(found, "id", "left_anti")))
 
 
-def _compare(members: pa.Table, spanning: bool) -> pa.Table:
-    """(a, b, sure) of the alike pairs of different classes in one block of a leaf; one side is never of the main class.
+class _Members(NamedTuple):
+    """Members of leaf blocks as arrays, and the small sets of all, one after the other."""
+
+    key: np.ndarray
+    doc: np.ndarray
+    size: np.ndarray
+    kind: np.ndarray
+    main: np.ndarray
+    digests: np.ndarray
+    flat: np.ndarray
+    begin: np.ndarray
+
+
+def _arrays(members: pa.Table) -> _Members:
+    number = lambda name: members.column(name).to_numpy()
+    sets = members.column("small").combine_chunks()
+    return _Members(
+        np.stack([number("node"), number("block")], axis=1), number("doc_id"), number("n_shingles"), number("class"), number("main"),
+        np.stack([number(c) for c in DIGESTS], axis=1).view(np.uint64), sets.flatten().to_numpy(zero_copy_only=False),
+        np.concatenate([[0], np.cumsum(sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]),
+    )
+
+
+def _compare(members: _Members, first: int, last: int, spanning: bool) -> list[tuple[int, int, bool]]:
+    """(a, b, sure) of the alike pairs of different classes in the block of rows ``first`` to ``last`` - 1; one side is never of the main class.
 
     Small sets are compared as sets; of their links enough are returned to join what they join. With ``spanning`` the same
     holds for the pairs whose digests are alike.
     """
-    doc, size = members.column("doc_id").to_numpy(), members.column("n_shingles").to_numpy()
-    named, kind = np.unique(members.column("class").to_numpy(), return_inverse=True)
-    main = members.column("class").to_numpy() == members.column("main").to_numpy()
-    digests = np.stack([members.column(c).to_numpy() for c in DIGESTS], axis=1).view(np.uint64)
-    half = N_DIGESTS // 2
-    sets = members.column("small").combine_chunks()
-    flat = sets.flatten().to_numpy(zero_copy_only=False)
-    begin = np.concatenate([[0], np.cumsum(sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    at = slice(first, last)
+    doc, size, digests, half = members.doc[at], members.size[at], members.digests[at], N_DIGESTS // 2
+    named, kind = np.unique(members.kind[at], return_inverse=True)
+    main = members.kind[at] == members.main[at]
+    begin = members.begin[first : last + 1]
+    flat, begin = members.flat[begin[0] : begin[-1]], begin - begin[0]
     owner = np.repeat(np.arange(len(doc)), np.diff(begin))
-    first_block = members.column("block")[0].as_py() == 0
+    first_block = members.key[first, 1] == 0
     joined = np.arange(len(named))  # classes that links so far make one
     out = []
 
@@ -270,8 +293,7 @@ def _compare(members: pa.Table, spanning: bool) -> pa.Table:
                 near = near[np.bitwise_count(unlike[:, :half] | unlike[:, half:]).sum(axis=1) <= MOST_DIFFERENT]
             if len(near):
                 emit(i, near, sure, every=not (sure or spanning))
-    a, b, s = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(s, pa.bool_())})
+    return out
 
 
 def _leaf_pairs(leaves: DataFrame, spanning: bool) -> DataFrame:
@@ -283,10 +305,28 @@ def _leaf_pairs(leaves: DataFrame, spanning: bool) -> DataFrame:
     here = F.when(F.col("class") == F.col("main"), F.array(F.pmod(F.xxhash64("doc_id"), blocks))).otherwise(
         F.sequence(F.lit(0).cast("bigint"), blocks - 1)
     )
-    dealt = leaves.select("node", "main", *MEMBER, F.explode(here).alias("block"))
-    return dealt.groupBy("node", "block").applyInArrow(
-        lambda table: _compare(table, spanning), "a bigint, b bigint, sure boolean"
-    ).distinct()
+    dealt = leaves.select("node", F.explode(here).alias("block"), "main", *MEMBER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):  # blocks come one after the other; the last of a batch may go on
+            if batch is not None and not len(batch):
+                continue
+            table = pa.Table.from_batches([batch]) if batch is not None else None
+            if held is not None:
+                table = pa.concat_tables([held, table]) if table is not None else held
+            if table is None:
+                return
+            members = _arrays(table)
+            ends = np.flatnonzero((members.key[1:] != members.key[:-1]).any(axis=1)) + 1
+            ends = np.concatenate([[0], ends, [len(members.key)] if batch is None else []]).astype(np.int64)
+            out = [pair for a, b in zip(ends[:-1], ends[1:], strict=True) for pair in _compare(members, a, b, spanning)]
+            held = table.slice(ends[-1]) if batch is not None else None
+            a, b, sure = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+
+    blocked = dealt.repartition("node", "block").sortWithinPartitions("node", "block")
+    return blocked.mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
 
 
 def _star_pairs(members: DataFrame, orders: list[Column]) -> DataFrame:
