@@ -214,6 +214,8 @@ def _score(laid: DataFrame, answered: DataFrame, weight: float) -> DataFrame:
 def score(docs: DataFrame, target: DataFrame, weight: float = 100.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Words, mean loss under each model and their difference, of every document; ``target`` holds the target's doc_ids."""
     ids = target.select("doc_id").dropna().distinct().withColumn("target", F.lit(True))
+    # One plan at every size: a broadcast of the ids would only serve small corpora.
+    ids = ids.hint("merge")
     flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left")
     laid = blocks(flagged.withColumn("target", F.coalesce("target", F.lit(False))), block_bytes)
     size = laid.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
