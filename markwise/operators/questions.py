@@ -626,8 +626,17 @@ def make_role_questions(
     stats = members.groupBy(*by, "role").agg(
         F.avg("subasm_size").alias("_mean"), F.min("subasm_size").alias("_least")
     )
-    pool = roles.select("furniture_id", "role").distinct().join(shown.select(*by), "furniture_id")
-    ranked = pool.join(stats, [*by, "role"], "left").withColumn("_mean", F.coalesce("_mean", F.lit(0.0)))
+    # Roles without a shown part have mean 0. The first k of them by name are among the first
+    # k + (roles shown) of the furniture, so a frame meets no more than these.
+    every = roles.groupBy("furniture_id").agg(F.array_sort(F.collect_set("role")).alias("_roles"))
+    present = stats.groupBy(*by).agg(F.collect_set("role").alias("_present"))
+    frames = shown.select(*by).join(present, by, "left").join(every, "furniture_id")
+    has = F.coalesce("_present", F.slice("_roles", 1, 0))
+    absent = F.slice(F.array_except(F.slice("_roles", F.lit(1), F.size(has) + k), has), 1, k)
+    least = stats.schema["_least"].dataType
+    ranked = stats.join(shown.select(*by), by, "left_semi").withColumn("_mean", F.coalesce("_mean", F.lit(0.0))).unionByName(
+        frames.select(*by, F.explode(absent).alias("role"), F.lit(0.0).alias("_mean"), F.lit(None).cast(least).alias("_least"))
+    )
     chosen = graph.first_of(ranked, by, ["_mean", "role"], k)
     right = members.join(chosen.select(*by, "role", "_least"), [*by, "role"]).filter(
         F.col("_least").isNull() | (F.col("subasm_size") == F.col("_least"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from markwise.functions import parse, rle
-from markwise.operators import sampling, score
+from markwise.operators import evaluate, sampling, score
 from markwise.plans.catalog import Query, micros, rounded, table
 from markwise.plans.runs import LOG_LINE, LOG_SQL_TEXT, TRANSITIONS_SQL
 from markwise.plans.scoring import ATTEMPTS_SQL, LETTER, RESPONSES_SQL, RESPONSE, _letter_sql
@@ -211,6 +211,100 @@ def log_files(spark, sf):
 LOG_FILES_SQL = f"SELECT * EXCLUDE (event_id, user_id) FROM ({LOG_SQL_TEXT})"
 
 
+# --- whole evaluations --------------------------------------------------------------------
+
+KINDS = "substr('temporal_ord temporal_loc tracking     mating       other        ', CAST(conv_id % 5 AS INT) * 13 + 1, 13)"
+TRUTHS = "substr('ABC', CAST(conv_id % 3 AS INT) + 1, 1)"
+
+
+def _evaluated(binary):
+    def build(spark, sf):
+        rows = table(spark, sf, "conversations")
+        rows = rows.select("conv_id", "turn", F.expr(RESPONSE).alias("text"), F.expr(LETTER).alias("letter"), F.trim(F.expr(KINDS)).alias("kind"), F.expr(TRUTHS).alias("truth"))
+        correct = F.struct(F.col("truth").alias("label"), F.when(F.col("conv_id") % 2 == 0, "Yes").otherwise("No").alias("raw"))
+        question = F.struct(
+            F.concat_ws("/", F.lit("q"), "conv_id", "turn").alias("qid_flat"), F.col("kind").alias("question_category"),
+            F.struct((F.lit(2) + F.col("conv_id") % 4).alias("num_options"), correct.alias("correct_option")).alias("question"),
+        )
+        lines = rows.select(
+            "turn", F.concat_ws("-", "conv_id", "turn").alias("conv_id"), question.alias("question"), F.col("text").alias("response"),
+            F.col("letter").alias("post_processed_response"),
+        )
+        paths = [scratch_path(spark, "answers") for _ in range(2)]
+        for k, path in enumerate(paths):
+            lines.filter(F.col("turn") % 2 == k).drop("turn").write.json(path)
+        if binary:
+            return rounded(evaluate.evaluate(spark, "gemini", paths=paths, n_shuffles=1, binary=True))
+        return rounded(evaluate.evaluate(spark, "openai_gpt", paths=",".join(paths), n_shuffles=2))
+
+    return build
+
+
+def _evaluate_sql(label, shuffles, kind, order):
+    places = ", ".join(f"({i}, '{c}')" for i, c in enumerate(order))
+    return f"""{RESPONSES_SQL},
+a AS (SELECT conv_id, {label} AS label, {kind} AS category, {TRUTHS} AS truth, 2 + conv_id % 4 AS n_options FROM r WHERE turn < {shuffles}),
+q AS (SELECT conv_id, category, truth, n_options, count(*) FILTER (WHERE label = truth) AS c, count(*) FILTER (WHERE label <> truth) AS w FROM a GROUP BY ALL),
+b AS (SELECT * FROM q UNION ALL SELECT conv_id, 'micro_avg', truth, n_options, c, w FROM q),
+f AS (SELECT category, max(n) AS most FROM (SELECT category, truth, count(*) AS n FROM b GROUP BY ALL) GROUP BY ALL),
+o(report_order, category) AS (VALUES {places})
+SELECT category, count(*) AS n_questions, round(100.0 * count(*) FILTER (WHERE w = 0) / count(*), 6) AS strict,
+  round(100.0 * count(*) FILTER (WHERE c > w) / count(*), 6) AS majority, round(100.0 * count(*) FILTER (WHERE c > 0) / count(*), 6) AS "any",
+  round(avg(100.0 / n_options), 6) AS random_chance, round(100.0 * any_value(most) / count(*), 6) AS freq_chance, report_order
+FROM b JOIN f USING (category) JOIN o USING (category) GROUP BY category, report_order ORDER BY report_order"""
+
+
+EVALUATE_SQL = _evaluate_sql(_letter_sql("response"), 2, f"trim({KINDS})", evaluate.CATEGORIES)
+EVALUATE_BINARY_SQL = _evaluate_sql(LETTER, 1, "CASE WHEN conv_id % 2 = 0 THEN 'yes' ELSE 'no' END", evaluate.BINARY_CATEGORIES)
+
+
+def source_annotations(spark, sf):
+    """Suppliers as annotated furniture: their parts, and links from a part to the orders that hold it; written as documents and scanned."""
+    part = F.concat_ws("-", "l_suppkey", "l_partkey")
+    rows = table(spark, sf, "lineitem").select(
+        "l_suppkey", part.alias("part"), F.concat_ws("-", "l_suppkey", F.col("l_partkey") % 5).alias("near"),
+        F.concat(F.lit("role "), F.col("l_partkey") % 7).alias("role"),
+    )
+    parts = rows.groupBy("l_suppkey", "part").agg(F.first("role").alias("role"), F.collect_set("near").alias("near"))
+    pairs = lambda c: F.map_from_entries(F.collect_list(F.struct("part", c)))
+    documents = parts.groupBy("l_suppkey").agg(F.to_json(F.struct(
+        pairs("role").alias("annotated_semantics"), pairs("near").alias("annotated_part_graph"), pairs("near").alias("annotated_similar_parts"),
+    )).alias("value"))
+    path = scratch_path(spark, "furniture")
+    documents.repartition("l_suppkey").write.partitionBy("l_suppkey").text(path)
+    found = readers.read_annotations(spark, path)
+    return found["part_edge"].select("src", "dst").join(found["part"].select(F.col("part_id").alias("src"), "semantics"), "src", "left")
+
+
+SOURCE_ANNOTATIONS_SQL = """
+WITH l AS (SELECT DISTINCT l_suppkey || '-' || l_partkey AS part, l_suppkey || '-' || (l_partkey % 5) AS near, 'role ' || (l_partkey % 7) AS role FROM lineitem),
+e AS (SELECT part AS src, near AS dst FROM l UNION SELECT near, part FROM l)
+SELECT src, dst, role AS semantics FROM e LEFT JOIN (SELECT DISTINCT part, role FROM l) p ON p.part = e.src"""
+
+
+def subsample_valid(spark, sf):
+    """Every third event of a user; events without much value use up their place. Kept events are counted, so each has a new index."""
+    rows = sampling.with_position(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"])
+    kept = sampling.subsample(rows, 3, valid=F.col("value") > 20)
+    return sampling.with_position(kept, ["user_id"], ["global_idx"], "idx", size="n").select("user_id", "event_id", "global_idx", "idx", "n")
+
+
+SUBSAMPLE_VALID_SQL = """
+WITH p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS global_idx FROM events)
+SELECT user_id, event_id, global_idx, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS n
+FROM p WHERE global_idx % 3 = 0 AND value > 20"""
+
+
+def answer_objects(spark, sf):
+    """The JSON object with the answer inside each turn's text, trailing commas removed."""
+    said = F.expr(f"""concat('About ', role, ': {{"turn": ', turn, ', "answer": "', {LETTER}, '",}}', ' I think')""")
+    found = parse.json_object_with_answer(said)
+    return table(spark, sf, "conversations").select("conv_id", "turn", found.alias("found"))
+
+
+ANSWER_OBJECTS_SQL = f"""SELECT conv_id, turn, '{{"turn": ' || turn || ', "answer": "' || {LETTER} || '"}}' AS found FROM conversations"""
+
+
 # --- streaming ----------------------------------------------------------------------------
 
 
@@ -325,6 +419,11 @@ QUERIES = {
     "source_masks": Query(source_masks, SOURCE_MASKS_SQL),
     "source_keyframes": Query(source_keyframes, SOURCE_KEYFRAMES_SQL),
     "report_file": Query(report_file, REPORT_SQL),
+    "evaluate_files": Query(_evaluated(False), EVALUATE_SQL),
+    "evaluate_binary": Query(_evaluated(True), EVALUATE_BINARY_SQL),
+    "source_annotations": Query(source_annotations, SOURCE_ANNOTATIONS_SQL),
+    "subsample_valid": Query(subsample_valid, SUBSAMPLE_VALID_SQL),
+    "answer_objects": Query(answer_objects, ANSWER_OBJECTS_SQL),
     "converted_files": Query(converted_files, CONVERTED_SQL),
     "stream_scoreboard": Query(stream_scoreboard, STREAM_SCORE_SQL),
     "stream_windows": Query(_windows(None), WINDOW_SQL),

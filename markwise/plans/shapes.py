@@ -258,6 +258,14 @@ def _maxmin(metric):
     return build
 
 
+def maxmin_rounds(spark, sf):
+    """Three colours one after the other, each far from the references and the earlier picks."""
+    cand = _colours(spark, sf)
+    means = cand.groupBy("label").agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+    out = colours.maxmin_pick(cand, means, ["label"], "ord", "lab", rounds=3, candidate_block=64)
+    return rounded(out.select("label", "round", "ord", "min_distance"), 5)
+
+
 def _lab_sql(p):
     lin = lambda c: f"CASE WHEN {p}.{c} <= 0.04045 THEN {p}.{c} / 12.92 ELSE pow(({p}.{c} + 0.055) / 1.055, 2.4) END"
     rows = (
@@ -283,6 +291,24 @@ d AS (SELECT cl.grp, ord, min(sqrt(pow(116 * (cl.y - rl.y), 2) + pow(500 * ((cl.
    + pow(200 * ((cl.y - cl.z) - (rl.y - rl.z)), 2))) AS dist FROM cl JOIN rl ON rl.grp = cl.grp GROUP BY ALL)
 SELECT CAST(grp AS INTEGER) AS label, ord, round(dist, 5) AS min_distance FROM d
 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY dist DESC, ord) = 1"""
+_LAB_DISTANCE = """sqrt(pow(116 * (p.y - q.y), 2) + pow(500 * ((p.x - p.y) - (q.x - q.y)), 2)
+   + pow(200 * ((p.y - p.z) - (q.y - q.z)), 2))"""
+
+
+def _rounds_sql(n):
+    steps = [
+        f"""p{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY dist DESC, ord) = 1),
+d{i + 1} AS (SELECT p.grp, p.ord, p.x, p.y, p.z, least(p.dist, {_LAB_DISTANCE}) AS dist FROM d{i} p JOIN p{i} q ON q.grp = p.grp)"""
+        for i in range(n)
+    ]
+    rows = " UNION ALL ".join(f"SELECT grp, {i} AS round, ord, dist FROM p{i}" for i in range(n))
+    return f"""
+WITH {COLOUR_SQL}, cl AS (SELECT grp, ord, {_lab_sql('cc')} FROM cc), rl AS (SELECT grp, {_lab_sql('m')} FROM m),
+d0 AS (SELECT p.grp, p.ord, p.x, p.y, p.z, min({_LAB_DISTANCE}) AS dist FROM cl p JOIN rl q ON q.grp = p.grp GROUP BY ALL),
+{", ".join(steps)}
+SELECT CAST(grp AS INTEGER) AS label, CAST(round AS INTEGER) AS round, ord, round(dist, 5) AS min_distance FROM ({rows})"""
+
+
 _LUM = " + ".join(
     f"{w} * (CASE WHEN {{p}}.{c} <= 0.03928 THEN {{p}}.{c} / 12.92 ELSE pow(({{p}}.{c} + 0.055) / 1.055, 2.4) END)"
     for c, w in zip("rgb", (0.2126, 0.7152, 0.0722))
@@ -317,5 +343,6 @@ QUERIES = {
     "pick_parts_subassembly": Query(_picked("subasm"), PICK_SQL.format(by="subasm_size")),
     "pick_pairs": Query(picked_pairs, PAIRS_SQL),
     "maxmin_pick_lab": Query(_maxmin("lab"), MAXMIN_LAB_SQL),
+    "maxmin_pick_rounds": Query(maxmin_rounds, _rounds_sql(3)),
     "maxmin_pick_contrast": Query(_maxmin("wcag"), MAXMIN_WCAG_SQL),
 }

@@ -84,12 +84,13 @@ def read_responses(
 def attempts(responses: DataFrame) -> DataFrame:
     """Columns the scorer needs, from read responses."""
     truth = F.col("question.question.correct_option.label")
+    raw = F.col("question.question.correct_option.raw")
     return with_question_ids(
         responses.select(
             "file_no", "path", "line_no", F.col("question.qid_flat").alias("qid_flat"),
             F.col("question.question_category").alias("category"), F.col("question.video_id").alias("video_id"),
             truth.alias("truth"), F.col("question.question.num_options").alias("n_options"),
-            F.get_json_object("question.question.correct_option.raw", "$").alias("raw_truth"),
+            F.coalesce(F.get_json_object(raw, "$"), raw).alias("raw_truth"),
             "response_text", "post_processed_response",
         )
     ).withColumn("ordinal", F.struct("file_no", natural_key(F.col("path")).alias("file_key"), "path", "line_no"))
