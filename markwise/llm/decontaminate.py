@@ -12,8 +12,8 @@ its word. Candidates are looked up by each word's own Unicode lower case, which
 the same for words that differ in A-Z and a-z only; the exact check lower-cases A-Z
 only. Null texts have no words; items
 without words and null item_ids match nothing. Repeated rows give repeated results. Rows
-with a null doc_id are matched together as one document. Other columns are not
-read.
+with a null doc_id are matched together as one document. An empty table of documents
+gives no rows, one of items no hits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the prefix table that may be sent to every task (a row is some 250 bytes); a larger one is shuffled.
 MOST_SENT = 200_000
+#: Candidates of a document, about, that meet one copy of it where the prefix table is shuffled.
+PER_ROW = 10_000
 
 
 def word_array(text: Column) -> Column:
@@ -87,18 +89,37 @@ def matches(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, start, n, window): where a document holds one of the windows ``found``; ``start`` counts words from 0."""
     keyed = settle(prefixes(docs, found).join(found.select("window", "n"), "window"))
     n = keyed.count()
-    parts = docs.select("doc_id", word_array(F.col("text")).alias("parts"))
+    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("name"), word_array(F.col("text")).alias("parts"))
     lead, total = _lead(F.col("parts")), _n_words(F.col("parts"))
-    spread = parts.select(
-        "doc_id", "parts", lead.alias("lead"), total.alias("total"), F.posexplode("parts").alias("at", "word")
+    # A word carries its document only where it stays in its task.
+    carried = ["doc_id", "parts"] if n <= MOST_SENT else ["name"]
+    spread = named.select(
+        *carried, lead.alias("lead"), total.alias("total"), F.posexplode("parts").alias("at", "word")
     ).withColumn("word", F.lower("word"))
     start = F.col("at") - F.col("lead") - F.col("place")
     fits = (start >= 0) & (start + F.col("n") <= F.col("total"))
     candidates = spread.join(_sent(keyed, n), "word").filter(fits).withColumn("start", start)
+    if n > MOST_SENT:
+        candidates = _with_documents(candidates, named.withColumn("lead", lead))
     there = F.array_join(F.slice("parts", F.col("lead") + F.col("start") + 1, F.col("n")), " ")
     return candidates.filter(fold(there) == F.col("window")).select("doc_id", "start", "n", "window")
 
 
+def _with_documents(candidates: DataFrame, named: DataFrame) -> DataFrame:
+    """Candidates with the documents of their name, each sent once for up to ``PER_ROW`` candidates.
+
+    Documents of one name are copies, or of equal hash: then the exact check tells them apart.
+    """
+    distinct = settle(candidates.select("name", "start", "n", "window").distinct())
+    part = F.pmod(F.xxhash64("start", "window"), F.greatest(F.lit(1), F.ceil(F.col("held") / PER_ROW)))
+    held = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("held"))
+    lists = distinct.join(held, "name").groupBy("name", part.alias("part")).agg(
+        F.collect_list(F.struct("start", "n", "window")).alias("found")
+    )
+    met = named.join(lists.select("name", "found"), "name")
+    return met.select("doc_id", "parts", "lead", F.inline("found"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Words, hit words and items found, of every document; the hash of no items is that of the empty text."""
     rows = docs.select("doc_id", "text")

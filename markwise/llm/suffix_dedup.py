@@ -20,7 +20,7 @@ A removed byte lies in a ``SPAN``-byte window that also starts elsewhere, in the
 same or another text; all copies lose it. Equality is that of 112-bit (contexts)
 and 80-bit (windows) hashes. Null and short texts lose nothing; repeated rows
 lose all windows; rows with a null doc_id are known by their text. One doc_id
-must not name two texts.
+must not name two texts. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from markwise.llm.arrays import Chunk, RangeHash, chunks, mix
 from markwise.llm.columns import settle
+from markwise.session import scratch_path
 
 SPAN = 200
 ANCHOR = 100
@@ -198,6 +199,19 @@ def windows(docs: DataFrame, open_anchors: DataFrame) -> DataFrame:
     return texts.join(wanted, "id").select("id", "text", "places").mapInArrow(run, LISTED)
 
 
+def in_batches(rows: DataFrame, n: int) -> Iterator[DataFrame]:
+    """``rows`` (id, text) in ``n`` batches by hash of their id, written once so that each reads its own files only."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "batches")
+    batch = F.pmod(F.xxhash64("id"), F.lit(n))
+    # Each task holds a range of batches, so files are few.
+    rows.withColumn("batch", batch).repartitionByRange("batch", "id").write.partitionBy("batch").parquet(path)
+    # One file index for all: a batch is a filter on the folder's name.
+    stored = spark.read.schema("id bigint, text string, batch bigint").parquet(path)
+    for i in range(n):
+        yield stored.filter(F.col("batch") == i).select("id", "text")
+
+
 def repeated_spans(docs: DataFrame, batch_bytes: int = 16 << 30) -> DataFrame:
     """(id, first, last): starts of repeated windows, as runs of neighbouring starts.
 
@@ -207,8 +221,8 @@ def repeated_spans(docs: DataFrame, batch_bytes: int = 16 << 30) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // batch_bytes))
     index, found = SuffixIndex(), None
-    for i in range(n):
-        batch = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
+    batches = [rows] if n == 1 else in_batches(rows, n)
+    for batch in batches:
         part = index.add(batch)
         found = part if found is None else found.unionByName(part)
     found = settle(found)
@@ -251,11 +265,11 @@ def _cut(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with a struct column ``cut``: n_bytes, n_removed, n_spans and the kept bytes."""
-    spans = repeated_spans(docs, **options).groupBy("id").agg(
-        F.collect_list(F.struct("first", "last")).alias("_spans")
-    )
-    spans = spans.withColumnRenamed("id", "_id")
-    keyed = docs.withColumn("_key", text_key())
-    joined = keyed.join(spans, F.col("_key") == F.col("_id"), "left")
-    return joined.withColumn("cut", F.arrow_udf(_cut, CUT)("text", "_spans")).drop("_key", "_id", "_spans")
+    """``docs`` with a struct column ``cut``: n_bytes, n_removed, n_spans and the kept bytes.
+
+    All other columns stay, whatever their names; one that is called ``cut`` is replaced.
+    """
+    spans = repeated_spans(docs, **options).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    whole = docs.select(text_key().alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "cut"]).alias("row"))
+    joined = whole.join(spans, "id", "left")
+    return joined.select("row.*", F.arrow_udf(_cut, CUT)("row.text", "spans").alias("cut"))

@@ -71,6 +71,19 @@ def without_repeats(docs: list[tuple], span: int = 200) -> list[tuple]:
     return out
 
 
+def cut_texts(docs: list[tuple], span: int = 200) -> dict:
+    """doc_id -> text without its repeated bytes; half characters at the edges of a cut go too."""
+    raw = {i: (t or "").encode() for i, t in docs}
+    seen = Counter(b[k : k + span] for b in raw.values() for k in range(len(b) - span + 1))
+    out = {}
+    for i, text in docs:
+        b = raw[i]
+        gone = {x for k in range(len(b) - span + 1) if seen[b[k : k + span]] > 1 for x in range(k, k + span)}
+        kept = bytes(x for k, x in enumerate(b) if k not in gone)
+        out[i] = kept.decode("utf-8", "replace").replace("\ufffd", "") if gone else text
+    return out
+
+
 def contamination(docs: list[tuple], items: list[tuple], size: int = 10) -> dict:
     """doc_id -> (n_words, n_hit, n_items, items_sha256, contaminated)."""
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))

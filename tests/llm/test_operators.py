@@ -155,6 +155,23 @@ def test_contamination(spark, table, docs):
     assert got == brute.contamination(docs, items)
 
 
+def test_contamination_by_shuffle(spark, table, docs, odd, monkeypatch):
+    """A prefix table too large to send: words move without their documents, results are the same."""
+    items = [(r.item_id, r.text) for r in table("benchmark").collect()]
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    one_word = spark.createDataFrame([(1, "a"), (2, "one two three"), (3, "a a"), (None, "x")], "item_id bigint, text string")
+    sent = sorted(of(decontaminate.decontaminate(odd, one_word), *names), key=str)
+    monkeypatch.setattr(decontaminate, "MOST_SENT", 0)
+    monkeypatch.setattr(decontaminate, "PER_ROW", 2)
+    assert sorted(of(decontaminate.decontaminate(odd, one_word), *names), key=str) == sent
+    assert {r[0] for r in sent if r[5]} == {None, 5, 7}
+    met, fetch = [], decontaminate._with_documents
+    monkeypatch.setattr(decontaminate, "_with_documents", lambda rows, named: met.append(rows.columns) or fetch(rows, named))
+    got = {r[0]: r[1:] for r in of(decontaminate.decontaminate(table("documents"), table("benchmark")), *names)}
+    assert got == brute.contamination(docs, items)
+    assert met and "parts" not in met[0]
+
+
 def test_short_items_and_case(spark):
     docs = [(1, "x Big BANG y big bang"), (2, "ÉCOLE big"), (3, None), (4, "école"), (None, "big bang")]
     items = [(1, "big bang"), (2, "école"), (3, "..."), (None, "x"), (4, None)]
@@ -277,6 +294,54 @@ def test_empty_tables(spark, odd):
         assert result.count() == 0, name
 
 
+def test_clashing_columns(spark):
+    """Columns named like the operators' own come out as they went in."""
+    own = ("_id", "_key", "_spans", "_found", "spans", "row", "id", "found", "parts", "name")
+    same = "one two three four five six seven eight nine ten " * 6
+    frame = spark.createDataFrame([(1, same, "en", "s", 1), (2, same + "x", "en", "s", 2), (3, None, None, None, None)], ROW)
+    for name in (*own, "cut"):
+        frame = frame.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id")))
+    cut = suffix_dedup.remove_repeats(frame)
+    assert sorted(cut.columns) == sorted(frame.columns)
+    assert {(r.doc_id, r.cut.n_removed > 0) for r in cut.collect()} == {(1, True), (2, True), (3, False)}
+    stages = dict(corpus_pipeline.STAGES)
+    for result in (cut, stages["toxicity"](spark, frame, SF), stages["decontamination"](spark, frame, SF)):
+        rows = result.collect()
+        assert len(rows) == 3 and all(r[name] == f"{name}-{r.doc_id}" for r in rows for name in own)
+
+
+def test_pipeline_of_nothing(spark):
+    docs = spark.createDataFrame([], ROW)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.isEmpty()
+
+
+def test_pipeline_by_hand(spark, table, docs):
+    """Each stage against plain Python on what it was given; packing covers what is left."""
+    items = [(r.item_id, r.text) for r in table("benchmark").collect()]
+    rows, model = table("documents"), toxicity.fit(table("documents"), table("labels"))
+    toxic = {r.doc_id for r in rows.select("doc_id", toxicity.grade(model, F.col("text"))["toxic"].alias("t")).filter("t").collect()}
+    held = {"documents": dict(docs)}
+    frame = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = minhash_dedup.settle(stage(spark, frame, SF))
+        held[name] = {r.doc_id: r.text for r in frame.collect()}
+        assert frame.count() == len(held[name])
+    assert 0 < len(toxic) < len(docs)
+    assert held["toxicity"] == {i: t for i, t in docs if i not in toxic}
+    classes = brute.near_duplicates(list(held["toxicity"].items()))
+    assert held["near_duplicates"] == {i: t for i, t in held["toxicity"].items() if classes[i][1] == i}
+    texts = list(held["near_duplicates"].items())
+    assert held["suffix_dedup"] == brute.cut_texts(texts)
+    dirty = brute.contamination(list(held["suffix_dedup"].items()), items)
+    assert held["decontamination"] == {i: t for i, t in held["suffix_dedup"].items() if not dirty[i][4]}
+    left = list(held["decontamination"].items())
+    ids = dict(zip([i for i, _ in left], brute.token_ids([t for _, t in left], _tokenizer()), strict=True))
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    check_packing(of(corpus_pipeline.STAGES[-1][1](spark, frame, SF), *names), ids)
+
+
 def test_pipeline(spark, odd):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_dedup", "decontamination", "packing"]
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
