@@ -348,8 +348,11 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(confirmed(rows, pairs.filter("NOT sure").select("a", "b")).unionByName(pairs.filter("sure").select("a", "b")))
 
 
-def _undecided(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members with their class, of tree nodes that hold more than one class; with their number, its largest class and how many are not of it."""
+def _undecided(members: DataFrame, found: DataFrame | None, unique: DataFrame) -> DataFrame:
+    """Members with their class, of tree nodes that hold more than one class; with their number, its largest class and how many are not of it.
+
+    Most nodes hold one class only, so sketches meet the members (node, doc_id, class) that are left, from ``unique``.
+    """
     if found is not None:
         known = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("class"))
         members = members.drop("class").join(known, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
@@ -358,7 +361,8 @@ def _undecided(members: DataFrame, found: DataFrame | None) -> DataFrame:
     of_node = of_node.filter(F.col("n") > F.col("most.n")).select(
         "node", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("main"), F.col("n").alias("total")
     )
-    return settle(members.select("node", *MEMBER).join(of_node, "node"))
+    left = members.select("node", "doc_id", "class").join(of_node, "node")
+    return settle(left.join(unique.select(*[c for c in MEMBER if c != "class"]), "doc_id"))
 
 
 def branches(wide: DataFrame, looked_at: int = 32) -> DataFrame:
@@ -398,13 +402,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unique = named.join(least.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     unique = settle(unique.drop("set_a", "set_b").withColumn("class", F.col("doc_id")))
 
-    members = _undecided(unique.select(*MEMBER, F.explode("nodes").alias("node")), None)
+    members = _undecided(unique.select("doc_id", "class", F.explode("nodes").alias("node")), None, unique)
+    unique = settle(unique.join(members.select("doc_id").distinct(), "doc_id", "left_semi").drop("nodes"))
     orders = [F.lit(0), *(F.xxhash64("doc_id", F.lit(turn)) for turn in range(TURNS))]
     tested = settle(_star_pairs(members, orders))
     found = merged(None, _links(rows, tested))
     depth = 1
     while True:
-        members = _undecided(members, found)
+        members = _undecided(members, found, unique)
         small = (F.col("others") <= LEAF) if depth < DEEPEST else F.lit(True)
         wide = members.filter(~small)
         pairs = leaf = settle(_leaf_pairs(members.filter(small), spanning=True))
@@ -417,19 +422,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = merged(found, links)
         if not leaf.filter("NOT sure").join(links, ["a", "b"], "left_anti").isEmpty():
             # A pair that is no link may have stood for others: all that are left.
-            left = _undecided(members.filter(small).select("node", *MEMBER), found)
+            left = _undecided(members.filter(small), found, unique)
             pairs = settle(_leaf_pairs(left, spanning=False).join(tested, ["a", "b"], "left_anti"))
             tested = tested.unionByName(pairs)
             found = merged(found, _links(rows, pairs))
         if not deeper:
             break
-        wide = _undecided(wide, found)
+        wide = _undecided(wide, found, unique)
         if wide.isEmpty():
             break
-        wide = settle(wide.select("node", *MEMBER).join(unique.select("doc_id", "mins"), "doc_id"))
+        wide = settle(wide.select("node", "doc_id", "class").join(unique.select("doc_id", "mins"), "doc_id"))
         grown = wide.join(branches(wide), "node").withColumn("at", F.explode("positions"))
         grown = grown.withColumn("node", F.xxhash64("node", "at", F.get("mins", F.col("at"))))
-        members = grown.select("node", *MEMBER)
+        members = grown.select("node", "doc_id", "class")
         depth += 1
 
     if found is None:
