@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,12 @@ from markwise.operators.score import with_question_ids
 from markwise.sources import schemas
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
+#: Spark writes local files with one slash or with three.
+_LOCAL = r"^([A-Za-z][A-Za-z0-9+.-]*):///"
+
+
+def _one_slash(uri: str) -> str:
+    return re.sub(_LOCAL, r"\1:/", uri)
 
 
 def response_paths(path: str | None = None, paths: str | Iterable[str] | None = None) -> list[str]:
@@ -39,23 +46,25 @@ def numbered_lines(
 ) -> DataFrame:
     """Text lines with ``path, file_no, line_no``.
 
+    A file given twice comes twice.
     ``file_no`` is the place of the given path; files of one given folder or
     pattern share it and are told apart by ``path``, in natural order. A line's number comes from the start of its split and its place there, so large files
     are still read in parallel.
     """
     given = [paths] if isinstance(paths, str) else list(paths)
-    parts = [
-        spark.read.text(p).select(
-            "value",
-            F.regexp_replace(F.url_decode("_metadata.file_path"), _SCHEME, "").alias("path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-            F.lit(i).alias("file_no"),
-        )
-        for i, p in enumerate(given)
-    ]
-    lines = reduce(DataFrame.unionByName, parts)
-    return with_position(lines, ["path"], ["_block", "_row"], "line_no", slice_rows=slice_rows).drop("_block", "_row")
+    # Files are listed for each given path; all of them are one scan, and each line meets the places of its file.
+    places = [(uri, i) for i, p in enumerate(given) for uri in map(_one_slash, spark.read.text(p).inputFiles())]
+    names = [re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(uri)) for uri in dict.fromkeys(uri for uri, _ in places)]
+    lines = spark.read.text(names or given).select(
+        "value",
+        F.regexp_replace("_metadata.file_path", _LOCAL, "$1:/").alias("_uri"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    lines = lines.join(spark.createDataFrame(places, "_uri string, file_no int"), "_uri").select(
+        "value", F.regexp_replace(F.url_decode("_uri"), _SCHEME, "").alias("path"), "_block", "_row", "file_no"
+    )
+    return with_position(lines, ["file_no", "path"], ["_block", "_row"], "line_no", slice_rows=slice_rows).drop("_block", "_row")
 
 
 def read_responses(

@@ -204,3 +204,15 @@ def test_pairs_of_text_ids_sort_by_number(spark):
     pairs = spark.createDataFrame([("g", "10", "9"), ("g", "9", "10")], "g string, src string, dst string")
     parts = spark.createDataFrame([("g", "9"), ("g", "10")], "g string, part_id string")
     assert [(r.src, r.dst) for r in graph.clean_pairs(pairs, parts, ["g"]).collect()] == [("9", "10")]
+
+
+def test_one_scan_of_many_paths(spark, tmp_path):
+    """Files given twice, below a folder and with odd names are read in one scan, each copy numbered for itself."""
+    odd = tmp_path / "a+b [c] d%.jsonl"
+    odd.write_text("x\ny\n")
+    (tmp_path / "plain.jsonl").write_text("z\n")
+    literal = str(odd).replace("[", "\\[").replace("]", "\\]")
+    lines = readers.numbered_lines(spark, [literal, str(tmp_path), literal])
+    assert str(lines._jdf.queryExecution().optimizedPlan()).count("Relation [value") == 1
+    got = sorted((r.file_no, r.line_no, r.value) for r in lines.collect())
+    assert got == [(0, 0, "x"), (0, 1, "y"), (1, 0, "x"), (1, 0, "z"), (1, 1, "y"), (2, 0, "x"), (2, 1, "y")]
