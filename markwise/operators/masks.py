@@ -99,7 +99,7 @@ def grid_cells(
 
 def overlapping_masks(
     a: DataFrame, b: DataFrame, on: Sequence[str] = FRAME, key: str = "part_id",
-    iou_threshold: float = 0.5, cells: int = 8,
+    iou_threshold: float = 0.5, cells: int = 8, once: bool = False,
 ) -> DataFrame:
     """Pairs of masks of one frame with IoU of at least the threshold.
 
@@ -107,6 +107,9 @@ def overlapping_masks(
     fitting areas, and the first common column and row lie in both leading boxes. These boxes are
     listed by the cells of a grid over the frame; a pair meets exactly once, in the cell where both boxes have begun.
     Only pairs whose boxes pass fetch their runs. Masks of one frame but of different sizes never overlap.
+    Joins are sorted on both sides: the planner takes an array for a few bytes and would broadcast all masks. Runs are dealt
+    over all shuffle partitions, as they are many times larger than their compressed files. ``once`` is for a table against
+    itself: only pairs whose first key is the lesser.
     """
     if not 0 < iou_threshold <= 1:
         raise ValueError("iou_threshold must be in (0, 1]")
@@ -125,12 +128,18 @@ def overlapping_masks(
 
     first_common = meets("x0", "x1", "cell_x", "w") & meets("y0", "y1", "cell_y", "h")
     pairs = (
-        prepared(a, "a").join(prepared(b, "b"), [*on, "h", "w", "cell_x", "cell_y"]).filter(size_fits & first_common)
+        prepared(a, "a").join(prepared(b, "b").hint("merge"), [*on, "h", "w", "cell_x", "cell_y"]).filter(size_fits & first_common)
         .select(*on, f"{key}_a", f"{key}_b", F.col("area_a").alias("_area_a"), F.col("area_b").alias("_area_b"))
     )
+    if once:
+        pairs = pairs.filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs_a = a.select(*on, F.col(key).alias(f"{key}_a"), F.col("runs").alias("_runs_a"))
     runs_b = b.select(*on, F.col(key).alias(f"{key}_b"), F.col("runs").alias("_runs_b"))
-    both = pairs.join(runs_a, [*on, f"{key}_a"]).join(runs_b, [*on, f"{key}_b"])
+    dealt = lambda runs, own: runs.repartition(parts, *own).hint("merge")
+    both = pairs
+    for runs, own in ((runs_a, [*on, f"{key}_a"]), (runs_b, [*on, f"{key}_b"])):
+        both = both.join(dealt(runs, own), own)
     kept = [*on, f"{key}_a", f"{key}_b"]
     fields = ", ".join(f"{c} {dict(both.dtypes)[c]}" for c in kept)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from markwise.functions import rle
 from markwise.operators import colours, graph, masks
 from markwise.plans.catalog import Query, rounded, table
+from markwise.session import spread
 
 FRAME = ["frame_idx"]
 
@@ -38,8 +39,7 @@ def candidate_frames(spark, sf):
 
 def mask_iou(spark, sf):
     rows = mask_rows(spark, sf)
-    out = masks.overlapping_masks(rows, rows, FRAME, iou_threshold=0.4)
-    return rounded(out.filter("part_id_a < part_id_b"))
+    return rounded(masks.overlapping_masks(rows, rows, FRAME, iou_threshold=0.4, once=True))
 
 
 IOU_SQL = f"""
@@ -53,7 +53,7 @@ FROM p WHERE overlap / (x + y - overlap) >= 0.4"""
 
 def _boxes(spark, sf):
     """Each customer as a rectangle in a full HD frame of eight."""
-    rows = table(spark, sf, "customer").select(
+    rows = spread(table(spark, sf, "customer"), "c_custkey").select(
         F.expr("c_custkey div 8").alias("frame_idx"), F.col("c_custkey").alias("part_id"), F.lit(1080).alias("h"), F.lit(1920).alias("w"),
         F.expr("cast(c_custkey * 37 % 300 as int)").alias("x"), F.expr("cast(c_nationkey * 17 % 200 as int)").alias("y"),
         F.expr("cast(300 + floor(abs(c_acctbal)) % 900 as int)").alias("dx"), F.expr("cast(200 + floor(abs(c_acctbal)) % 500 as int)").alias("dy"),
@@ -65,8 +65,7 @@ def _boxes(spark, sf):
 def mask_iou_hd(spark, sf):
     """Rectangles of one full HD frame that share at least half of their union."""
     rows = _boxes(spark, sf).select("frame_idx", "part_id", "h", "w", "runs")
-    out = masks.overlapping_masks(rows, rows, FRAME, iou_threshold=0.5)
-    return rounded(out.filter("part_id_a < part_id_b"))
+    return rounded(masks.overlapping_masks(rows, rows, FRAME, iou_threshold=0.5, once=True))
 
 
 IOU_HD_SQL = """

@@ -44,6 +44,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over four tasks a core by hash of ``keys``: for a table of few bytes whose rows make much work."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
