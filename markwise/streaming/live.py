@@ -137,60 +137,75 @@ def transition_stream(
 
 
 class _InOrder(StatefulProcessor):
-    """Holds the events of a run until no earlier one can come, then releases them in order.
+    """Holds the events of a share of the runs until no earlier one can come, then releases them in order.
 
-    Events are (c0, c1, ..., stage, us), of which the first ``n_order`` order them. State of a run: the events above the
-    watermark, and the last one released. A timer fires when
+    Events are (k0, ..., c0, c1, ..., stage, us): the run, what orders its events, and the rest. State of a share: the events above the
+    watermark, and the last one released of each run. A timer fires when
     the watermark passes the earliest event held; a run that has been quiet for ``keep_us`` is forgotten.
     """
 
     def __init__(self, event: StructType, n_keys: int, n_order: int, keep_us: int):
-        self.event, self.n_keys, self.order, self.keep_us = event, n_keys, event.names[:n_order], keep_us
+        self.event, self.keep_us = event, keep_us
+        self.keys, self.order = event.names[:n_keys], event.names[n_keys : n_keys + n_order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", self.event)
-        self.last = handle.getValueState("last", self.event)
+        self.last = handle.getListState("last", self.event)
 
-    def _wake_at(self, micros: int) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _wake_at(self, micros: int, earlier: bool = False) -> None:
+        at, timers = int(micros) // 1000 + 1, list(self.handle.listTimers())
+        if earlier and timers and min(timers) <= at:
+            return
+        for timer in timers:
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(micros) // 1000 + 1)
+        self.handle.registerTimer(at)
+
+    def _frame(self, state) -> pd.DataFrame:
+        return pd.DataFrame(list(state.get()), columns=self.event.names, dtype=object).astype({"us": "int64"})
+
+    def _store(self, state, rows: pd.DataFrame) -> None:
+        if len(rows):
+            rows = rows[self.event.names].astype(object)
+            state.put([tuple(row) for row in rows.where(rows.notna(), None).itertuples(index=False)])
+        else:
+            state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = [row[-1] for row in self.held.get()]
+        earliest = []
         for part in rows:
             part = part[self.event.names].astype(object)
             earliest.append(part["us"].min())
             self.held.appendList([tuple(row) for row in part.where(part.notna(), None).itertuples(index=False)])
-        self._wake_at(min(earliest))
+        if earliest:
+            self._wake_at(min(earliest), earlier=True)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         final = timerValues.getCurrentWatermarkInMs() * 1000
-        held = pd.DataFrame(list(self.held.get()), columns=self.event.names, dtype=object)
-        ready = held["us"].astype("int64") <= final
-        out, later = held[ready].sort_values(self.order).drop_duplicates(self.order), held[~ready]
-        before = self.last.get()
+        held, last = self._frame(self.held), self._frame(self.last)
+        ready = held["us"] <= final
+        out, later = held[ready], held[~ready]
         if len(out):
-            self.held.clear()
-            if len(later):
-                self.held.put([tuple(row) for row in later.itertuples(index=False)])
-            stage = out["stage"].tolist()
-            came, since = [before[-2] if before else None, *stage[:-1]], [before[-1] if before else 0, *out["us"].iloc[:-1]]
-            near = [now - then <= self.keep_us for now, then in zip(out["us"], since, strict=True)]
-            before = tuple(out.iloc[-1])
-            self.last.update(before)
-            moved = [n and a is not None and b is not None and a not in ("", b) for n, a, b in zip(near, came, stage, strict=True)]
-            out = out.assign(from_stage=came, **{f"k{i}": key[i] for i in range(self.n_keys)})[moved]
-            if len(out):
-                yield out[[*(f"k{i}" for i in range(self.n_keys)), "from_stage", *self.event.names[:-1]]]
+            self._store(self.held, later)
+            rows = pd.concat([last.assign(old=True), out.assign(old=False)], ignore_index=True)
+            rows = rows.drop_duplicates([*self.keys, *self.order])
+            rows["run"] = rows.groupby(self.keys, dropna=False, sort=False).ngroup()
+            rows = rows.sort_values(["run", *self.order])
+            same = rows["run"] == rows["run"].shift()
+            came = rows["stage"].shift()
+            near = same & (rows["us"] - rows["us"].shift(fill_value=0) <= self.keep_us)
+            moved = ~rows["old"].astype(bool) & near & came.notna() & rows["stage"].notna() & (came != "") & (came != rows["stage"])
+            last = rows[rows["run"] != rows["run"].shift(-1)]
+            found = rows.assign(from_stage=came)[moved]
+            if len(found):
+                yield found[[*self.keys, "from_stage", *self.event.names[len(self.keys) : -1]]]
+        last = last[final - last["us"] < self.keep_us]
+        self._store(self.last, last)
         if len(later):
             self._wake_at(later["us"].min())
-        elif before and final < before[-1] + self.keep_us:
-            self._wake_at(before[-1] + self.keep_us)
-        else:
-            self.last.clear()
+        elif len(last):
+            self._wake_at(int(last["us"].min()) + self.keep_us)
 
     def close(self) -> None:
         pass
@@ -198,28 +213,30 @@ class _InOrder(StatefulProcessor):
 
 def ordered_transition_stream(
     events: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("run_id",), order: Sequence[str] = ("t_ms",),
-    ts: str = "ts", watermark: str = "10 minutes", keep_hours: float = 24 * 7, **trigger,
+    ts: str = "ts", watermark: str = "10 minutes", keep_hours: float = 24 * 7, shares: int = 1024, **trigger,
 ) -> StreamingQuery:
     """Stage transitions in order of time, however late or often the events come, once the watermark has passed them.
 
     ``order`` must agree with ``ts``. Events later than ``watermark`` are dropped, repeats (by ``order``) count once. State is what lies above
     the watermark and one event for each run that was active within ``keep_hours``; a run that goes on after a longer pause
-    starts anew. On the rows below the watermark the result equals the batch operator's, save for such pauses.
+    starts anew. Runs are dealt over ``shares`` by hash and a share's state is read and written as a whole, so that a run costs rows and
+    not calls. ``shares`` must not change between restarts. On the rows below the watermark the result equals the batch operator's, save for such pauses.
     """
     spark = events.sparkSession
     stored = {**{f"c{i}": c for i, c in enumerate(order)}, "action": "action", "message": "message", "stage": "stage"}
     keys = {f"k{i}": c for i, c in enumerate(by)}
     # Plain names: the processor gets its rows as named tuples.
     rows = events.withWatermark(ts, watermark).select(
-        *(F.col(c).alias(k) for k, c in {**keys, **stored}.items()), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")
+        *(F.col(c).alias(k) for k, c in {**keys, **stored}.items()), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"),
+        F.pmod(F.xxhash64(*by), F.lit(shares)).alias("share"),
     )
-    event = StructType([*(rows.schema[c] for c in stored), StructField("us", LongType())])
-    out = StructType([*(rows.schema[k] for k in keys), StructField("from_stage", StringType()), *event.fields[:-1]])
+    event = StructType([*(rows.schema[c] for c in (*keys, *stored)), StructField("us", LongType())])
+    out = StructType([*event.fields[: len(keys)], StructField("from_stage", StringType()), *event.fields[len(keys) : -1]])
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        released = rows.groupBy(*keys).transformWithStateInPandas(
+        released = rows.groupBy("share").transformWithStateInPandas(
             _InOrder(event, len(by), len(order), int(keep_hours * 3_600_000_000)), out, "Append", "EventTime"
         )
         moves = released.select(

@@ -2,7 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from markwise.operators import masks
+from markwise.operators import graph, masks, questions
+from markwise.plans import authoring, feeds
+from markwise.sources import readers
+from markwise.streaming import live
+from tests.test_streaming import EVENT, event, feed, moves
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -16,3 +22,22 @@ def test_masks_are_never_broadcast(spark):
     once = masks.overlapping_masks(rows, rows, ["frame"], iou_threshold=0.5, once=True)
     assert "Broadcast" not in plan(both) and "Broadcast" not in plan(once)
     assert sorted(once.collect()) == sorted(both.filter(F.col("part_id_a") < F.col("part_id_b")).collect()) != []
+
+def no_planned_broadcast(spark, build):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(build())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_runs_share_state(spark, tmp_path):
+    """All runs in one share: each still goes on from its own last event, late and repeated ones included."""
+    parts = [
+        [event("a", 0, "x"), event("b", 1, "p"), event("a", 20, "y")], [event("b", 15, "q"), event("b", 15, "q"), event("a", 40, "z")],
+        [event("b", 45, "p"), event("end", 100, "x")], [event("end", 101, "y")],
+    ]
+    feed(spark, tmp_path, EVENT, parts, lambda rows, path, state: live.ordered_transition_stream(rows, path, state, shares=1))
+    got = moves(spark.read.parquet(str(tmp_path / "out")))
+    assert [(r, t // 60_000, a, b) for r, t, a, b, _ in got] == [("a", 20, "x", "y"), ("a", 40, "y", "z"), ("b", 15, "p", "q"), ("b", 45, "q", "p")]
