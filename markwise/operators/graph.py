@@ -2,7 +2,8 @@
 
 ``frame_parts``: frame columns, furniture_id, part_id (and what the selection
 needs). ``edges``: furniture_id, src, dst in both directions. Part ids are
-ordered as numbers.
+ordered as numbers. What is joined by furniture and part is broadcast: it is the
+furniture's vocabulary, and a shuffle by so few keys would leave a few tasks all rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def visible_edges(frame_parts: DataFrame, edges: DataFrame, frame: Sequence[str]
     """Edges with both ends in the frame, once, lower part id first."""
     seen = frame_parts.select(*frame, "furniture_id", "part_id").distinct()
     out = edges.filter(number("src") < number("dst")).select("furniture_id", "src", "dst").distinct()
-    starts = seen.withColumnRenamed("part_id", "src").join(out, ["furniture_id", "src"])
+    starts = seen.withColumnRenamed("part_id", "src").join(F.broadcast(out), ["furniture_id", "src"])
     return starts.join(
         seen.withColumnRenamed("part_id", "dst"), [*frame, "furniture_id", "dst"], "left_semi"
     ).select(*frame, "furniture_id", "src", "dst")
@@ -44,7 +45,7 @@ def with_neighbours(frame_parts: DataFrame, edges: DataFrame, frame: Sequence[st
     near = edges.groupBy("furniture_id", F.col("src").alias("part_id")).agg(
         F.collect_set("dst").alias("_near")
     )
-    rows = seen.join(shown, [*frame, "furniture_id"]).join(near, ["furniture_id", "part_id"], "left")
+    rows = seen.join(shown, [*frame, "furniture_id"]).join(F.broadcast(near), ["furniture_id", "part_id"], "left")
     none = F.expr("array()").cast("array<" + dict(seen.dtypes)["part_id"] + ">")
     near_set = F.coalesce("_near", none)
     return rows.select(

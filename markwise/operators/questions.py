@@ -533,7 +533,7 @@ def make_2part(
     """Are two parts connected? The best ``k`` pairs per frame, named in random order."""
     pairs = graph.pick_pairs(frame_parts, frame, strategy, k, seed)
     known = edges.select("furniture_id", F.col("src").alias("part_a"), F.col("dst").alias("part_b")).distinct()
-    rows = pairs.join(known.withColumn("_edge", F.lit(True)), ["furniture_id", "part_a", "part_b"], "left")
+    rows = pairs.join(F.broadcast(known.withColumn("_edge", F.lit(True))), ["furniture_id", "part_a", "part_b"], "left")
     qid = F.concat_ws("/", F.lit("mating"), F.lit(template_type), *frame, "part_a", "part_b")
     rows = rows.withColumns({"qid": qid, "connected": F.coalesce("_edge", F.lit(False))}).drop("_edge")
     swap = F.substring(_roll(seed, "swap", F.col("qid")), 1, 1) < "8"
@@ -622,7 +622,7 @@ def make_role_questions(
     by = [*frame, "furniture_id"]
     seen = frame_parts.select(*by, "part_id", "subasm_size")
     shown = seen.groupBy(*by).agg(F.collect_set("part_id").alias("_shown")).filter(F.size("_shown") > 2)
-    members = roles.join(seen, ["furniture_id", "part_id"])
+    members = seen.join(F.broadcast(roles), ["furniture_id", "part_id"])
     stats = members.groupBy(*by, "role").agg(
         F.avg("subasm_size").alias("_mean"), F.min("subasm_size").alias("_least")
     )
@@ -630,7 +630,7 @@ def make_role_questions(
     # k + (roles shown) of the furniture, so a frame meets no more than these.
     every = roles.groupBy("furniture_id").agg(F.array_sort(F.collect_set("role")).alias("_roles"))
     present = stats.groupBy(*by).agg(F.collect_set("role").alias("_present"))
-    frames = shown.select(*by).join(present, by, "left").join(every, "furniture_id")
+    frames = shown.select(*by).join(present, by, "left").join(F.broadcast(every), "furniture_id")
     has = F.coalesce("_present", F.slice("_roles", 1, 0))
     absent = F.slice(F.array_except(F.slice("_roles", F.lit(1), F.size(has) + k), has), 1, k)
     least = stats.schema["_least"].dataType

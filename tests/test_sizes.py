@@ -32,6 +32,18 @@ def no_planned_broadcast(spark, build):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_vocabulary_is_broadcast(spark):
+    """A shuffle by furniture and part has as few tasks with rows as there are parts."""
+    shown = spark.createDataFrame([(0, "w", str(p), 1, p) for p in range(4)], "frame int, furniture_id string, part_id string, subasm_size int, area int")
+    edges = spark.createDataFrame([("w", "0", "1"), ("w", "1", "0")], "furniture_id string, src string, dst string")
+    roles = spark.createDataFrame([("w", "0", "leg"), ("w", "1", "top")], "furniture_id string, part_id string, role string")
+    builds = [
+        lambda: graph.visible_edges(shown, edges, ["frame"]), lambda: graph.with_neighbours(shown, edges, ["frame"]),
+        lambda: questions.make_2part(shown, edges, ["frame"]), lambda: questions.make_role_questions(roles, shown, ["frame"], k=1),
+    ]
+    assert all("BroadcastHashJoin" in no_planned_broadcast(spark, build) for build in builds)
+
+
 def test_runs_share_state(spark, tmp_path):
     """All runs in one share: each still goes on from its own last event, late and repeated ones included."""
     parts = [
