@@ -601,8 +601,13 @@ def role_index(parts: DataFrame, by: Sequence[str], semantics: str = "semantics"
 
 
 def role_sizes(roles: DataFrame, subassembly: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean size of the sub-assemblies that hold a role's parts, and its smallest."""
-    sized = roles.join(subassembly.select(*by, "part_id", "subasm_size"), [*by, "part_id"])
+    """Mean size of the sub-assemblies that hold a role's parts, and its smallest.
+
+    Roles without all columns of ``by`` hold for every group: they are the parts' vocabulary and broadcast.
+    """
+    on = [c for c in (*by, "part_id") if c in roles.columns]
+    names = roles if len(on) > len(by) else F.broadcast(roles)
+    sized = subassembly.select(*by, "part_id", "subasm_size").join(names, on)
     return sized.groupBy(*by, "role").agg(
         F.avg("subasm_size").alias("mean_size"), F.min("subasm_size").alias("min_size"),
         F.count(F.lit(1)).alias("n_parts"),

@@ -146,8 +146,7 @@ def role_sizes(spark, sf):
     """Mean line count of the suppliers' nations per order and role."""
     parts = frame_parts(spark, sf).select("frame_idx", "part_id", "subasm_size")
     roles = questions.role_index(_roles(spark, sf), ["furniture_id"]).select("part_id", "role")
-    per_frame = roles.join(parts.select("frame_idx", "part_id"), "part_id")
-    return questions.role_sizes(per_frame, parts, ["frame_idx"]).withColumn("mean_size", F.round("mean_size", 6))
+    return questions.role_sizes(roles, parts, ["frame_idx"]).withColumn("mean_size", F.round("mean_size", 6))
 
 
 ROLE_SIZES_SQL = f"""WITH {GRAPH_SQL}, {ROLES_SQL}

@@ -44,6 +44,13 @@ def test_vocabulary_is_broadcast(spark):
     assert all("BroadcastHashJoin" in no_planned_broadcast(spark, build) for build in builds)
 
 
+def test_roles_of_the_vocabulary_hold_for_every_frame(spark):
+    shown = spark.createDataFrame([(0, "a", 2), (0, "b", 4), (1, "a", 6)], "frame int, part_id string, subasm_size int")
+    roles = spark.createDataFrame([("a", "leg"), ("b", "leg")], "part_id string, role string")
+    got = questions.role_sizes(roles, shown, ["frame"]).collect()
+    assert sorted(map(tuple, got)) == [(0, "leg", 3.0, 2, 2), (1, "leg", 6.0, 6, 1)]
+
+
 def test_runs_share_state(spark, tmp_path):
     """All runs in one share: each still goes on from its own last event, late and repeated ones included."""
     parts = [
