@@ -11,6 +11,7 @@ from markwise.operators.score import with_question_ids
 from markwise.plans.catalog import Query, micros, table
 from markwise.plans.shapes import FRAME, GRAPH_SQL, edges, frame_parts
 from markwise.plans.timelines import FRAMES_SQL
+from markwise.session import spread
 
 # --- generators over the part graph of the nations -------------------------------------
 
@@ -186,7 +187,7 @@ def annotated(spark, sf):
     """A part is a question: which of four neighbours of its size comes last?"""
     four = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.array(F.array(
         (F.col("p_size") * 4 + i).cast("string"))))
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part"), "p_partkey").select(
         F.format_string("%06d", "p_partkey").alias("question_no"), F.col("p_brand").alias("category"),
         F.col("p_type").alias("name"), F.col("p_brand").alias("video_id"),
         F.array(F.col("p_size").cast("int")).alias("frame_idx"), F.lit("temporal_loc").alias("question_category"),

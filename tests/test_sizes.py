@@ -51,6 +51,10 @@ def test_roles_of_the_vocabulary_hold_for_every_frame(spark):
     assert sorted(map(tuple, got)) == [(0, "leg", 3.0, 2, 2), (1, "leg", 6.0, 6, 1)]
 
 
+def test_questions_of_a_small_file_are_spread(spark):
+    assert "hashpartitioning(p_partkey" in plan(authoring.annotated(spark, SF))
+
+
 def test_runs_share_state(spark, tmp_path):
     """All runs in one share: each still goes on from its own last event, late and repeated ones included."""
     parts = [
