@@ -268,11 +268,11 @@ def source_annotations(spark, sf):
     parts = rows.groupBy("l_suppkey", "part").agg(F.first("role").alias("role"), F.collect_set("near").alias("near"))
     pairs = lambda c: F.map_from_entries(F.collect_list(F.struct("part", c)))
     documents = parts.groupBy("l_suppkey").agg(F.to_json(F.struct(
-        pairs("role").alias("annotated_semantics"), pairs("near").alias("annotated_part_graph"), pairs("near").alias("annotated_similar_parts"),
+        F.col("l_suppkey").cast("string").alias("furniture_id"), pairs("role").alias("annotated_semantics"), pairs("near").alias("annotated_part_graph"), pairs("near").alias("annotated_similar_parts"),
     )).alias("value"))
     path = scratch_path(spark, "furniture")
-    documents.repartition("l_suppkey").write.partitionBy("l_suppkey").text(path)
-    found = readers.read_annotations(spark, path)
+    documents.select("value").write.text(path)
+    found = readers.read_annotations(spark, path, lines=True)
     return found["part_edge"].select("src", "dst").join(found["part"].select(F.col("part_id").alias("src"), "semantics"), "src", "left")
 
 

@@ -260,14 +260,17 @@ def read_masks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Furniture annotations as three tables: part, part_edge (both ways), part_similar."""
-    schema = """annotated_semantics map<string, string>, annotated_part_graph map<string, array<string>>,
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Furniture annotations as three tables: part, part_edge (both ways), part_similar.
+
+    A file is one document, or with ``lines`` every line is one, so that many furnitures need few files. A document may
+    name its furniture (``furniture_id``); else the file's name does.
+    """
+    schema = """furniture_id string, annotated_semantics map<string, string>, annotated_part_graph map<string, array<string>>,
       annotated_similar_parts map<string, array<string>>"""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]+$", 1).alias("furniture_id"),
-        F.from_json("value", schema).alias("d"),
-    )
+    named = F.regexp_extract("_metadata.file_path", r"([^/]+)\.[^./]+$", 1)
+    docs = spark.read.text(path, wholetext=not lines).select(named.alias("_file"), F.from_json("value", schema).alias("d"))
+    docs = docs.select(F.coalesce("d.furniture_id", "_file").alias("furniture_id"), "d")
     part = docs.select("furniture_id", F.explode("d.annotated_semantics").alias("part_id", "semantics"))
 
     def links(column: str) -> DataFrame:

@@ -55,6 +55,14 @@ def test_questions_of_a_small_file_are_spread(spark):
     assert "hashpartitioning(p_partkey" in plan(authoring.annotated(spark, SF))
 
 
+def test_annotations_by_line(spark, tmp_path):
+    line = '{"furniture_id": "%s", "annotated_semantics": {"1": "leg"}, "annotated_part_graph": {"1": ["2"]}, "annotated_similar_parts": {}}\n'
+    (tmp_path / "all.json").write_text(line % "a" + line % "b")
+    found = readers.read_annotations(spark, str(tmp_path), lines=True)
+    assert sorted(map(tuple, found["part"].collect())) == [("a", "1", "leg"), ("b", "1", "leg")]
+    assert sorted(map(tuple, found["part_edge"].collect())) == [(f, *e) for f in "ab" for e in (("1", "2"), ("2", "1"))]
+
+
 def test_runs_share_state(spark, tmp_path):
     """All runs in one share: each still goes on from its own last event, late and repeated ones included."""
     parts = [
