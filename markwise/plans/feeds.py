@@ -10,7 +10,7 @@ from markwise.plans.catalog import Query, micros, rounded, table
 from markwise.plans.runs import LOG_LINE, LOG_SQL_TEXT, TRANSITIONS_SQL
 from markwise.plans.scoring import ATTEMPTS_SQL, LETTER, RESPONSES_SQL, RESPONSE, _letter_sql
 from markwise.plans.timelines import FRAMES_SQL
-from markwise.session import scratch_path
+from markwise.session import scratch_path, shared_dir
 from markwise.sources import readers, sinks
 from markwise.streaming import live
 
@@ -110,7 +110,8 @@ def source_keyframes(spark, sf):
     """Event times as a key-frame file: the line number is the key-frame."""
     path = scratch_path(spark, "keyframes")
     times = table(spark, sf, "events").select("event_id", (micros(F.col("ts")) / 1e6).alias("frame_time"))
-    times.sort("event_id").coalesce(1).select(F.to_json(F.struct("frame_time")).alias("value")).write.text(path)
+    shared_dir(spark)  # where the checkpoint goes: the one task that writes the file finds its rows sorted
+    times.sort("event_id").checkpoint().coalesce(1).select(F.to_json(F.struct("frame_time")).alias("value")).write.text(path)
     return rounded(readers.read_keyframes(spark, path).select("keyframe_idx", "frame_time"))
 
 
