@@ -92,9 +92,10 @@ def source_masks(spark, sf):
     ).dropDuplicates(["video", "frame", "part"])
     mask = F.struct(F.array(size, size).alias("size"), "counts")
     frames = rows.groupBy("video", "frame").agg(F.map_from_entries(F.collect_list(F.struct("part", mask))).alias("parts"))
-    documents = frames.groupBy("video").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("frame", "parts")))).alias("value"))
+    # A video's frames are documents that follow each other: one for a whole video would be a row that grows with the table.
+    documents = frames.select(F.to_json(F.create_map("frame", "parts")).alias("value"))
     path = scratch_path(spark, "masks")
-    documents.select("value").write.text(path)
+    documents.write.text(path)
     back = readers.read_masks(spark, path)
     return back.groupBy("frame_idx").agg(
         F.count(F.lit(1)).alias("n_masks"), F.sum(F.element_at("runs", 1)).alias("start"), F.sum(F.size("runs")).alias("n_runs")

@@ -63,6 +63,14 @@ def test_annotations_by_line(spark, tmp_path):
     assert sorted(map(tuple, found["part_edge"].collect())) == [(f, *e) for f in "ab" for e in (("1", "2"), ("2", "1"))]
 
 
+def test_mask_documents_do_not_grow_with_the_table(spark, monkeypatch):
+    seen, read = [], readers.read_masks
+    monkeypatch.setattr(readers, "read_masks", lambda s, path: (seen.append(path), read(s, path))[1])
+    feeds.source_masks(spark, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert spark.read.text(seen[0]).count() == lines.select(F.col("l_suppkey") % 20, "l_orderkey").distinct().count()
+
+
 def test_runs_share_state(spark, tmp_path):
     """All runs in one share: each still goes on from its own last event, late and repeated ones included."""
     parts = [
