@@ -23,17 +23,19 @@ component_id) and are kept. One doc_id must not name two texts.
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from markwise.llm.arrays import FOLD, SOLID, Chunk, chunks, mix, row_starts, words
-from markwise.llm.columns import settle
+from markwise.llm.columns import ARROW, settle
 
 SHINGLE = 5
 HASHES = 128
@@ -59,6 +61,10 @@ MEMBER = ["doc_id", "class", "n_shingles", "small", *DIGESTS]
 SMALL = LEAST_DIGESTED * 100 // 75
 #: Members of a leaf's main class that one task compares with the other members.
 BLOCK = 4096
+#: Shingles of full sets that one block of a leaf holds, unless the members outside its main class have over a quarter of them.
+BLOCK_SHINGLES = 1 << 21
+#: Words of 64 bits in the map of ids whose texts are read: its size doesn't depend on their number.
+MAP_WORDS = 1 << 18
 #: Centres drawn by hash, beside the least doc_id, that a first-level node's members are compared with at once.
 TURNS = 2
 SKETCH = ", ".join([
@@ -157,12 +163,24 @@ def _alike(a: str, b: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * 75) & test
 
 
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, text) of the distinct ids ``needed``, once each.
+
+    A bit map of their hashes, which is broadcast, keeps nearly all other texts from being shuffled; the join is exact.
+    """
+    word, bit = F.expr(f"pmod(shiftright(xxhash64(doc_id), 6), {MAP_WORDS})"), F.expr("cast(pmod(xxhash64(doc_id), 64) AS int)")
+    held = needed.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bits"))
+    held = held.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    rows = docs.select("doc_id", "text", word.alias("_word")).join(F.broadcast(held), "_word").filter(F.getbit("_bits", bit) == 1)
+    # No semi join: it would be pushed below the map and shuffle every text.
+    return rows.select("doc_id", "text").join(needed, "doc_id").dropDuplicates(["doc_id"])
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= 75 * union, on full sets."""
     if pairs.isEmpty():
         return pairs
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = settle(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = settle(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -248,64 +266,114 @@ def _arrays(members: pa.Table) -> _Members:
     )
 
 
+class _Block:
+    """The members of one leaf block, and what joins their classes."""
+
+    def __init__(self, members: _Members, first: int, last: int):
+        at = slice(first, last)
+        self.doc, self.size, self.digests = members.doc[at], members.size[at], members.digests[at]
+        named, self.kind = np.unique(members.kind[at], return_inverse=True)
+        self.main = members.kind[at] == members.main[at]
+        self.is_first = members.key[first, 1] == 0
+        begin = members.begin[first : last + 1]
+        _, self.shingle = np.unique(members.flat[begin[0] : begin[-1]], return_inverse=True)
+        self.begin = begin - begin[0]
+        self.owner = np.repeat(np.arange(len(self.doc)), np.diff(begin))
+        self.own = np.zeros(len(self.shingle), dtype=bool)
+        self.joined = np.arange(len(named))  # classes that links so far make one
+
+    def similar(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Those of the rows ``near`` that are links of row ``i``, by the sets that they carry."""
+        set_of = self.shingle[self.begin[i] : self.begin[i + 1]]
+        self.own[set_of] = True
+        both = np.bincount(self.owner[self.own[self.shingle]], minlength=len(self.doc))[near]
+        self.own[set_of] = False
+        return near[both * 100 >= (self.size[near] + self.size[i] - both) * 75]
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(i, rows, sure): the rows of other classes that row ``i``, which is not of the main class, is alike.
+
+        Small sets are compared as sets, and their pairs are sure; else digests are compared.
+        """
+        doc, size, kind, half = self.doc, self.size, self.kind, N_DIGESTS // 2
+        for sure in (True, False):
+            if not (size < LEAST_DIGESTED).any() if sure else (size < LEAST_DIGESTED).all():
+                continue
+            for i in np.flatnonzero(~self.main):
+                near = kind != kind[i]
+                near &= (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * 75) & ((np.minimum(size, size[i]) < LEAST_DIGESTED) == sure)
+                # Members outside the main class are in every block, and meet in the first one.
+                near &= self.main | (self.is_first & (np.arange(len(doc)) > i))
+                near = np.flatnonzero(near)
+                if len(near) and sure:
+                    near = self.similar(i, near)
+                elif len(near):
+                    unlike = self.digests[near] ^ self.digests[i]
+                    near = near[np.bitwise_count(unlike[:, :half] | unlike[:, half:]).sum(axis=1) <= MOST_DIFFERENT]
+                if len(near):
+                    yield i, near, sure
+
+    def apart(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Those of the rows ``near`` that nothing has joined with row ``i`` yet."""
+        return near[self.joined[self.kind[near]] != self.joined[self.kind[i]]]
+
+    def join(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Joins the classes of row ``i`` and of the rows ``near``; one row of each class that was apart."""
+        near = self.apart(i, near)
+        _, one = np.unique(self.joined[self.kind[near]], return_index=True)
+        near = near[one]
+        self.joined[np.isin(self.joined, self.joined[self.kind[near]])] = self.joined[self.kind[i]]
+        return near
+
+    def pairs(self, i: int, near: np.ndarray, sure: bool) -> Iterator[tuple[int, int, bool]]:
+        return ((min(self.doc[i], self.doc[j]), max(self.doc[i], self.doc[j]), sure) for j in near)
+
+
 def _compare(members: _Members, first: int, last: int, spanning: bool) -> list[tuple[int, int, bool]]:
     """(a, b, sure) of the alike pairs of different classes in the block of rows ``first`` to ``last`` - 1; one side is never of the main class.
 
     Small sets are compared as sets; of their links enough are returned to join what they join. With ``spanning`` the same
     holds for the pairs whose digests are alike.
     """
-    at = slice(first, last)
-    doc, size, digests, half = members.doc[at], members.size[at], members.digests[at], N_DIGESTS // 2
-    named, kind = np.unique(members.kind[at], return_inverse=True)
-    main = members.kind[at] == members.main[at]
-    begin = members.begin[first : last + 1]
-    flat, begin = members.flat[begin[0] : begin[-1]], begin - begin[0]
-    owner = np.repeat(np.arange(len(doc)), np.diff(begin))
-    first_block = members.key[first, 1] == 0
-    joined = np.arange(len(named))  # classes that links so far make one
-    out = []
-
-    def emit(i: int, near: np.ndarray, sure: bool, every: bool) -> None:
-        if not every:
-            _, one = np.unique(joined[kind[near]], return_index=True)
-            near = near[one]
-            near = near[joined[kind[near]] != joined[kind[i]]]
-            joined[np.isin(joined, joined[kind[near]])] = joined[kind[i]]
-        out.extend((min(doc[i], doc[j]), max(doc[i], doc[j]), sure) for j in near)
-
-    for sure in (True, False):
-        if not (size < LEAST_DIGESTED).any() if sure else (size < LEAST_DIGESTED).all():
-            continue
-        for i in np.flatnonzero(~main):
-            near = kind != kind[i]
-            near &= (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * 75) & ((np.minimum(size, size[i]) < LEAST_DIGESTED) == sure)
-            # Members outside the main class are in every block, and meet in the first one.
-            near &= main | (first_block & (np.arange(len(doc)) > i))
-            near = np.flatnonzero(near)
-            if not len(near):
-                continue
-            if sure:
-                own = flat[begin[i] : begin[i + 1]]
-                both = np.bincount(owner[np.isin(flat, own)], minlength=len(doc))[near]
-                near = near[both * 100 >= (size[near] + size[i] - both) * 75]
-            else:
-                unlike = digests[near] ^ digests[i]
-                near = near[np.bitwise_count(unlike[:, :half] | unlike[:, half:]).sum(axis=1) <= MOST_DIFFERENT]
-            if len(near):
-                emit(i, near, sure, every=not (sure or spanning))
+    block, out = _Block(members, first, last), []
+    for i, near, sure in block.partners():
+        out.extend(block.pairs(i, block.join(i, near) if sure or spanning else near, sure))
     return out
 
 
-def _leaf_pairs(leaves: DataFrame, spanning: bool) -> DataFrame:
-    """Pairs of different classes in leaves: one side is never of the main class.
+def _alike_members(members: _Members, first: int, last: int) -> list[tuple[int, ...]]:
+    """(node, main, doc_id, class, n_shingles, digests) of the members of a block whose digests are alike those of a member of another class."""
+    block = _Block(members, first, last)
+    found = np.zeros(last - first, dtype=bool)
+    for i, near, sure in block.partners():
+        if not sure:
+            found[i] = found[near] = True
+    at = first + np.flatnonzero(found)
+    numbers = [members.key[at, 0], members.main[at], members.doc[at], members.kind[at], members.size[at]]
+    return list(zip(*(x.tolist() for x in (*numbers, *members.digests[at].view(np.int64).T)), strict=True))
+
+
+def _compare_sets(members: _Members, first: int, last: int) -> list[tuple[int, int]]:
+    """Links of the block's members, which carry their full sets: enough to join what all links of alike pairs join."""
+    block, out = _Block(members, first, last), []
+    for i, near, sure in block.partners():
+        near = block.apart(i, near)
+        if not sure and len(near):
+            near = block.similar(i, near)
+        out.extend((a, b) for a, b, _ in block.pairs(i, block.join(i, near), True))
+    return out
 
-    The main class of a leaf is dealt over blocks; the few other members are in each of them.
+
+def _in_blocks(leaves: DataFrame, blocks: Column, work: Callable[[_Members, int, int], list[tuple]], ddl: str) -> DataFrame:
+    """What ``work`` returns for every block of the leaves.
+
+    The main class of a leaf is dealt over ``blocks``; the few other members are in each of them.
     """
-    blocks = F.floor(F.col("total") / BLOCK) + 1
     here = F.when(F.col("class") == F.col("main"), F.array(F.pmod(F.xxhash64("doc_id"), blocks))).otherwise(
         F.sequence(F.lit(0).cast("bigint"), blocks - 1)
     )
     dealt = leaves.select("node", F.explode(here).alias("block"), "main", *MEMBER)
+    fields = [(f.name, ARROW[f.dataType.simpleString()]) for f in StructType.fromDDL(ddl).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -320,13 +388,45 @@ def _leaf_pairs(leaves: DataFrame, spanning: bool) -> DataFrame:
             members = _arrays(table)
             ends = np.flatnonzero((members.key[1:] != members.key[:-1]).any(axis=1)) + 1
             ends = np.concatenate([[0], ends, [len(members.key)] if batch is None else []]).astype(np.int64)
-            out = [pair for a, b in zip(ends[:-1], ends[1:], strict=True) for pair in _compare(members, a, b, spanning)]
+            out = [row for a, b in zip(ends[:-1], ends[1:], strict=True) for row in work(members, a, b)]
             held = table.slice(ends[-1]) if batch is not None else None
-            a, b, sure = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+            columns = zip(*out, strict=True) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, kind) for x, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields]
+            )
 
     blocked = dealt.repartition("node", "block").sortWithinPartitions("node", "block")
-    return blocked.mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+    return blocked.mapInArrow(run, ddl).distinct()
+
+
+def _leaf_pairs(leaves: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs of different classes in leaves: one side is never of the main class."""
+    blocks = F.floor(F.col("total") / BLOCK) + 1
+    return _in_blocks(leaves, blocks, functools.partial(_compare, spanning=spanning), "a bigint, b bigint, sure boolean")
+
+
+def _leaf_links(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Links (a, b) of different classes in leaves: enough to join what all links of large sets join.
+
+    A group of near copies just below the limit has as many alike pairs as its size squared, so pairs never leave
+    their block: the full set of each member that has an alike one goes to the blocks of its leaf, where pairs are tested.
+    """
+    names = ", ".join(f"{c} bigint" for c in ("node", "main", *MEMBER) if c != "small")
+    alike = settle(_in_blocks(leaves, F.floor(F.col("total") / BLOCK) + 1, _alike_members, names))
+    if alike.isEmpty():
+        return alike.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                sets = pa.array([s.view(np.int64) for s in shingle_sets(c)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.first : c.last], sets], ["doc_id", "small"])
+
+    sets = settle(_texts(docs, alike.select("doc_id").distinct()).mapInArrow(run, "doc_id bigint, small array<bigint>"))
+    other = F.sum(F.when(F.col("class") != F.col("main"), F.col("n_shingles")).otherwise(0))
+    of_node = alike.groupBy("node").agg(F.sum("n_shingles").alias("total"), other.alias("of_others"))
+    blocks = F.floor(F.col("total") / F.greatest(F.lit(BLOCK_SHINGLES), F.col("of_others") * 4)) + 1
+    return settle(_in_blocks(alike.join(of_node, "node").join(sets, "doc_id"), blocks, _compare_sets, "a bigint, b bigint"))
 
 
 def _star_pairs(members: DataFrame, orders: list[Column]) -> DataFrame:
@@ -348,21 +448,25 @@ def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(confirmed(rows, pairs.filter("NOT sure").select("a", "b")).unionByName(pairs.filter("sure").select("a", "b")))
 
 
+def _in_mixed_nodes(members: DataFrame) -> DataFrame:
+    """Members (node, doc_id, class) of tree nodes that hold more than one class; with their number, its largest class and how many are not of it."""
+    of_class = members.groupBy("node", "class").agg(F.count(F.lit(1)).alias("n"))
+    of_node = of_class.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
+    of_node = of_node.filter(F.col("n") > F.col("most.n")).select(
+        "node", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("main"), F.col("n").alias("total")
+    )
+    return members.select("node", "doc_id", "class").join(of_node, "node")
+
+
 def _undecided(members: DataFrame, found: DataFrame | None, unique: DataFrame) -> DataFrame:
-    """Members with their class, of tree nodes that hold more than one class; with their number, its largest class and how many are not of it.
+    """Members with their class, of tree nodes that hold more than one class.
 
     Most nodes hold one class only, so sketches meet the members (node, doc_id, class) that are left, from ``unique``.
     """
     if found is not None:
         known = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("class"))
         members = members.drop("class").join(known, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    of_class = members.groupBy("node", "class").agg(F.count(F.lit(1)).alias("n"))
-    of_node = of_class.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
-    of_node = of_node.filter(F.col("n") > F.col("most.n")).select(
-        "node", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.class").alias("main"), F.col("n").alias("total")
-    )
-    left = members.select("node", "doc_id", "class").join(of_node, "node")
-    return settle(left.join(unique.select(*[c for c in MEMBER if c != "class"]), "doc_id"))
+    return settle(_in_mixed_nodes(members).join(unique.select(*[c for c in MEMBER if c != "class"]), "doc_id"))
 
 
 def branches(wide: DataFrame, looked_at: int = 32) -> DataFrame:
@@ -399,11 +503,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # One node of the graph per distinct set: its least doc_id.
     least = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("n_copies"))
     least = settle(least)
-    unique = named.join(least.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unique = settle(unique.drop("set_a", "set_b").withColumn("class", F.col("doc_id")))
-
-    members = _undecided(unique.select("doc_id", "class", F.explode("nodes").alias("node")), None, unique)
-    unique = settle(unique.join(members.select("doc_id").distinct(), "doc_id", "left_semi").drop("nodes"))
+    unique = named.join(least.select("doc_id"), "doc_id", "left_semi").select("doc_id", "nodes").dropDuplicates(["doc_id"])
+    members = unique.select("doc_id", F.col("doc_id").alias("class"), F.explode("nodes").alias("node"))
+    members = settle(_in_mixed_nodes(members).select("node", "doc_id", "class"))
+    unique = named.drop("set_a", "set_b", "nodes").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    unique = settle(unique.dropDuplicates(["doc_id"]))
+    members = _undecided(members, None, unique)
     orders = [F.lit(0), *(F.xxhash64("doc_id", F.lit(turn)) for turn in range(TURNS))]
     tested = settle(_star_pairs(members, orders))
     found = merged(None, _links(rows, tested))
@@ -421,11 +526,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = _links(rows, pairs)
         found = merged(found, links)
         if not leaf.filter("NOT sure").join(links, ["a", "b"], "left_anti").isEmpty():
-            # A pair that is no link may have stood for others: all that are left.
-            left = _undecided(members.filter(small), found, unique)
-            pairs = settle(_leaf_pairs(left, spanning=False).join(tested, ["a", "b"], "left_anti"))
-            tested = tested.unionByName(pairs)
-            found = merged(found, _links(rows, pairs))
+            # A pair that is no link may have stood for others.
+            found = merged(found, _leaf_links(rows, _undecided(members.filter(small), found, unique)))
         if not deeper:
             break
         wide = _undecided(wide, found, unique)

@@ -1,6 +1,7 @@
 """The corpus operators against plain Python, on labelled rows held out, and on awkward tables."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -379,3 +380,76 @@ def test_leaf_comparison(spark, docs, monkeypatch):
     want = brute.near_duplicates(docs)
     sure = [(a, b) for a, b, s in found if s]
     assert all(want[a][1] == want[b][1] for a, b in sure)
+
+
+def test_near_copies_below_the_limit(spark, monkeypatch):
+    """A group whose pairs are nearly all alike and no links: what is tested on texts grows with its size, not with its pairs."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(400), 8):
+            words[at] = f"v{i}-{at}"
+        texts.append((i, " ".join(words)))
+        if i % 10 == 0:
+            texts.append((1000 + i, " ".join([*words, "end"])))
+    tested, confirmed = [], minhash_dedup.confirmed
+
+    def counted(docs, pairs):
+        tested.append(pairs.count())
+        return confirmed(docs, pairs)
+
+    monkeypatch.setattr(minhash_dedup, "confirmed", counted)
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {i: (n, c) for i, n, c in of(minhash_dedup.near_duplicates(frame), "doc_id", "n_shingles", "component_id")}
+    assert got == brute.near_duplicates(texts)
+    assert len({c for _, c in got.values()}) > 100
+    assert sum(tested) <= 20 * len(texts)
+
+
+def test_leaf_blocks_with_full_sets(spark, docs):
+    """One leaf of all documents, compared on full sets: blocks join what one block joins, and links only."""
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    unique = minhash_dedup.sketches(frame).filter("n_shingles > 0").dropDuplicates(["set_a", "set_b"])
+    classed = unique.withColumn("class", F.when(F.col("doc_id") % 5 > 0, F.lit(-1)).otherwise(F.col("doc_id")))
+    classed = classed.select(*minhash_dedup.MEMBER, F.lit(1).alias("node"), F.lit(-1).alias("main"), F.lit(1000).alias("total"))
+    small = {r.doc_id: {r["class"]} for r in classed.select("doc_id", "class").collect()}
+    every = minhash_dedup._leaf_pairs(classed, spanning=False).collect()
+    true = brute.near_duplicates(docs)
+    sets = spark.createDataFrame(
+        [(i, [int(x) for x in s.view("int64")]) for c in minhash_dedup.chunks(minhash_dedup.pa.array([t for _, t in docs])) for i, s in
+         zip([i for i, _ in docs[c.first : c.last]], minhash_dedup.shingle_sets(c), strict=True)],
+        "doc_id bigint, small array<bigint>",
+    )
+    members = classed.drop("small").join(sets, "doc_id")
+
+    def joined(links):
+        top = {}
+        root = lambda x: x if top.setdefault(x, x) == x else root(top[x])
+        name = {i: next(iter(k)) for i, k in small.items()}
+        for a, b in links:
+            top[root(f"c{name[a]}")] = root(f"c{name[b]}")
+        return {frozenset(x for x in top if root(x) == r) for r in map(root, list(top))}
+
+    links = {(r.a, r.b) for r in every if true[r.a][1] == true[r.b][1]}
+    assert links
+    for blocks in (1, 7):
+        found = minhash_dedup._in_blocks(members, F.lit(blocks).cast("bigint"), minhash_dedup._compare_sets, "a bigint, b bigint").collect()
+        assert {(r.a, r.b) for r in found} <= links
+        assert joined((r.a, r.b) for r in found) == joined(links)
+
+
+@pytest.mark.parametrize("size", [1 << 18, 1])
+def test_texts_by_id_map(spark, odd, monkeypatch, size):
+    """The map of ids lets more texts pass or fewer; the rows are the same, and the map comes before the join."""
+    monkeypatch.setattr(minhash_dedup, "MAP_WORDS", size)
+    rows = odd.select("doc_id", "text")
+    got = minhash_dedup._texts(rows, spark.createDataFrame([(1,), (5,), (6,), (99,)], "doc_id bigint"))
+    assert sorted(i for i, _ in of(got, "doc_id", "text")) == [1, 5, 6]
+    assert dict(of(got, "doc_id", "text"))[6] == "one"
+    many = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    needed = spark.range(0, 100_000, 1000).select(F.col("id").alias("doc_id"))
+    plan = minhash_dedup._texts(many, needed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, (doc_id") < plan.index("getbit")
+    assert minhash_dedup._texts(many, needed).count() == 100
