@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -81,6 +82,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: broadcasts and shuffles of ended queries, on the executors too, stay until it does.
+
+    A loop of many small queries fills the driver's heap with them, and a heap that has grown is not given back otherwise.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_sample(labels: DataFrame, max_rows: int, seed: int) -> DataFrame:
     """At most ``max_rows`` rows of ``labels`` with the smallest hashes of their document: a fixed random sample."""
     return labels.orderBy(F.xxhash64("doc_id", F.lit(seed)), *labels.columns).limit(max_rows)

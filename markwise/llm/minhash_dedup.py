@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from markwise.llm.arrays import FOLD, SOLID, Chunk, chunks, mix, row_starts, words
-from markwise.llm.columns import ARROW, settle
+from markwise.llm.columns import ARROW, let_go, settle
 
 SHINGLE = 5
 HASHES = 128
@@ -43,7 +43,8 @@ HASHES = 128
 DIGESTED = 512
 TREES = 6
 BRANCHES = 2
-LEAF = 512
+#: Members outside the main class up to which a node is compared exhaustively: a branch sends near copies that are no links to several children each, level after level.
+LEAF = 4096
 #: Levels after which a node is compared exhaustively whatever its size.
 DEEPEST = 40
 #: Of the two-bit digests, those that may differ: similarity 0.75 has 96 on average, with deviation 8.8.
@@ -63,6 +64,8 @@ SMALL = LEAST_DIGESTED * 100 // 75
 BLOCK = 4096
 #: Shingles of full sets that one block of a leaf holds, unless the members outside its main class have over a quarter of them.
 BLOCK_SHINGLES = 1 << 21
+#: Alike rows that a row is first compared with on full sets; four times as many follow each time.
+FIRST_TESTED = 32
 #: Words of 64 bits in the map of ids whose texts are read: its size doesn't depend on their number.
 MAP_WORDS = 1 << 18
 #: Centres drawn by hash, beside the least doc_id, that a first-level node's members are compared with at once.
@@ -243,6 +246,12 @@ def merged(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return settle(moved.unionByName(joined.join(found, "id", "left_anti")))
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers ``start`` to ``start + length - 1`` of each range, one range after the other."""
+    end = np.cumsum(length)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - length), length)
+
+
 class _Members(NamedTuple):
     """Members of leaf blocks as arrays, and the small sets of all, one after the other."""
 
@@ -271,7 +280,7 @@ class _Block:
 
     def __init__(self, members: _Members, first: int, last: int):
         at = slice(first, last)
-        self.doc, self.size, self.digests = members.doc[at], members.size[at], members.digests[at]
+        self.doc, self.size, self.digests = members.doc[at], members.size[at], np.ascontiguousarray(members.digests[at].T)
         named, self.kind = np.unique(members.kind[at], return_inverse=True)
         self.main = members.kind[at] == members.main[at]
         self.is_first = members.key[first, 1] == 0
@@ -282,34 +291,62 @@ class _Block:
         self.own = np.zeros(len(self.shingle), dtype=bool)
         self.joined = np.arange(len(named))  # classes that links so far make one
 
+    @functools.cached_property
+    def holders(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows that hold each shingle, one shingle after the other; where those of a shingle start, and how many they are."""
+        n = np.bincount(self.shingle, minlength=len(self.own))
+        return self.owner[np.argsort(self.shingle, kind="stable")], np.cumsum(n) - n, n
+
     def similar(self, i: int, near: np.ndarray) -> np.ndarray:
-        """Those of the rows ``near`` that are links of row ``i``, by the sets that they carry."""
+        """Those of the rows ``near`` that are links of row ``i``, by the sets that they carry.
+
+        Either the sets of these rows are read, or the holders of the row's own shingles, whichever are fewer.
+        """
         set_of = self.shingle[self.begin[i] : self.begin[i + 1]]
-        self.own[set_of] = True
-        both = np.bincount(self.owner[self.own[self.shingle]], minlength=len(self.doc))[near]
-        self.own[set_of] = False
+        holder, start, n = self.holders
+        length = self.begin[near + 1] - self.begin[near]
+        if length.sum() < n[set_of].sum():
+            self.own[set_of] = True
+            held = self.own[self.shingle[_ranges(self.begin[near], length)]]
+            self.own[set_of] = False
+            both = np.bincount(np.repeat(np.arange(len(near)), length)[held], minlength=len(near))
+        else:
+            both = np.bincount(holder[_ranges(start[set_of], n[set_of])], minlength=len(self.doc))[near]
         return near[both * 100 >= (self.size[near] + self.size[i] - both) * 75]
 
-    def partners(self) -> Iterator[tuple[int, np.ndarray, bool]]:
-        """(i, rows, sure): the rows of other classes that row ``i``, which is not of the main class, is alike.
-
-        Small sets are compared as sets, and their pairs are sure; else digests are compared.
+    def alike(self, i: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the rows ``near`` whose digests are alike that of row ``i``, and in how many places they differ."""
+        half, different = N_DIGESTS // 2, np.zeros(len(near), dtype=np.uint16)
+        for k in range(half):
+            if k == half // 2:  # most rows differ enough in half of the places
+                left = different <= MOST_DIFFERENT
+                near, different = near[left], different[left]
+            unlike = (self.digests[k][near] ^ self.digests[k, i]) | (self.digests[k + half][near] ^ self.digests[k + half, i])
+            different += np.bitwise_count(unlike)
+        left = different <= MOST_DIFFERENT
+        return near[left], different[left]
+
+    def partners(self, apart: bool = False) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(i, rows, sure): the rows of other classes that row ``i``, which is not of the main class, is alike; with ``apart`` those not joined with it yet.
+
+        Small sets are compared as sets, and their pairs are sure; else digests are compared, and the nearest rows come first.
         """
-        doc, size, kind, half = self.doc, self.size, self.kind, N_DIGESTS // 2
+        size, kind = self.size, self.kind
+        is_small, place = size < LEAST_DIGESTED, np.arange(len(size))
         for sure in (True, False):
-            if not (size < LEAST_DIGESTED).any() if sure else (size < LEAST_DIGESTED).all():
+            if not is_small.any() if sure else is_small.all():
                 continue
             for i in np.flatnonzero(~self.main):
-                near = kind != kind[i]
-                near &= (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * 75) & ((np.minimum(size, size[i]) < LEAST_DIGESTED) == sure)
+                near = self.joined[kind] != self.joined[kind[i]] if apart else kind != kind[i]
+                near &= (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * 75) & ((is_small | is_small[i]) == sure)
                 # Members outside the main class are in every block, and meet in the first one.
-                near &= self.main | (self.is_first & (np.arange(len(doc)) > i))
+                near &= self.main | (self.is_first & (place > i))
                 near = np.flatnonzero(near)
                 if len(near) and sure:
                     near = self.similar(i, near)
                 elif len(near):
-                    unlike = self.digests[near] ^ self.digests[i]
-                    near = near[np.bitwise_count(unlike[:, :half] | unlike[:, half:]).sum(axis=1) <= MOST_DIFFERENT]
+                    near, different = self.alike(i, near)
+                    near = near[np.argsort(different, kind="stable")]
                 if len(near):
                     yield i, near, sure
 
@@ -320,6 +357,8 @@ class _Block:
     def join(self, i: int, near: np.ndarray) -> np.ndarray:
         """Joins the classes of row ``i`` and of the rows ``near``; one row of each class that was apart."""
         near = self.apart(i, near)
+        if not len(near):
+            return near
         _, one = np.unique(self.joined[self.kind[near]], return_index=True)
         near = near[one]
         self.joined[np.isin(self.joined, self.joined[self.kind[near]])] = self.joined[self.kind[i]]
@@ -336,7 +375,7 @@ def _compare(members: _Members, first: int, last: int, spanning: bool) -> list[t
     holds for the pairs whose digests are alike.
     """
     block, out = _Block(members, first, last), []
-    for i, near, sure in block.partners():
+    for i, near, sure in block.partners(apart=spanning):
         out.extend(block.pairs(i, block.join(i, near) if sure or spanning else near, sure))
     return out
 
@@ -356,11 +395,13 @@ def _alike_members(members: _Members, first: int, last: int) -> list[tuple[int,
 def _compare_sets(members: _Members, first: int, last: int) -> list[tuple[int, int]]:
     """Links of the block's members, which carry their full sets: enough to join what all links of alike pairs join."""
     block, out = _Block(members, first, last), []
-    for i, near, sure in block.partners():
-        near = block.apart(i, near)
-        if not sure and len(near):
-            near = block.similar(i, near)
-        out.extend((a, b) for a, b, _ in block.pairs(i, block.join(i, near), True))
+    for i, near, sure in block.partners(apart=True):
+        at, n = 0, len(near) if sure else FIRST_TESTED
+        while at < len(near):  # a link to one of the nearest rows spares those of its class
+            some = block.apart(i, near[at : at + n])
+            links = some if sure or not len(some) else block.similar(i, some)
+            out.extend((a, b) for a, b, _ in block.pairs(i, block.join(i, links), True))
+            at, n = at + n, 4 * n
     return out
 
 
@@ -514,6 +555,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = merged(None, _links(rows, tested))
     depth = 1
     while True:
+        let_go(docs.sparkSession)
         members = _undecided(members, found, unique)
         small = (F.col("others") <= LEAF) if depth < DEEPEST else F.lit(True)
         wide = members.filter(~small)
@@ -527,6 +569,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = merged(found, links)
         if not leaf.filter("NOT sure").join(links, ["a", "b"], "left_anti").isEmpty():
             # A pair that is no link may have stood for others.
+            let_go(docs.sparkSession)
             found = merged(found, _leaf_links(rows, _undecided(members.filter(small), found, unique)))
         if not deeper:
             break

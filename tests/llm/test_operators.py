@@ -408,6 +408,45 @@ def test_near_copies_below_the_limit(spark, monkeypatch):
     assert sum(tested) <= 20 * len(texts)
 
 
+def test_wide_groups_are_one_level(spark, monkeypatch):
+    """Hundreds of copies that are no links make one level of few queries; levels let go of what the ones before left in the driver."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(700):
+        words = list(base)
+        for at in rng.sample(range(100), 4):
+            words[at] = f"v{i}-{at}"
+        texts.append((i, " ".join(words)))
+        if i % 50 == 0:
+            texts.append((1000 + i, " ".join([*words, "end"])))
+    frame, wide, freed = spark.createDataFrame(texts, "doc_id bigint, text string"), [], []
+    branches, let_go = minhash_dedup.branches, minhash_dedup.let_go
+    monkeypatch.setattr(minhash_dedup, "branches", lambda rows: wide.append(rows) or branches(rows))
+    monkeypatch.setattr(minhash_dedup, "let_go", lambda session: freed.append(session) or let_go(session))
+    got = {i: (n, c) for i, n, c in of(minhash_dedup.near_duplicates(frame), "doc_id", "n_shingles", "component_id")}
+    assert got == brute.near_duplicates(texts)
+    assert len({c for _, c in got.values()}) > 600
+    assert not wide and freed
+
+
+def test_links_of_one_row(spark, docs):
+    """The links of a row by the sets of the others and by the holders of its shingles are those of plain sets."""
+    unique = minhash_dedup.sketches(spark.createDataFrame(docs, "doc_id bigint, text string")).filter("n_shingles > 0").drop("small")
+    sets = {i: s for c in minhash_dedup.chunks(minhash_dedup.pa.array([t for _, t in docs])) for i, s in zip(
+        [i for i, _ in docs[c.first : c.last]], minhash_dedup.shingle_sets(c), strict=True)}
+    small = spark.createDataFrame([(i, [int(x) for x in s.view("int64")]) for i, s in sets.items()], "doc_id bigint, small array<bigint>")
+    rows = unique.join(small, "doc_id").withColumn("class", F.col("doc_id"))
+    rows = rows.select(*minhash_dedup.MEMBER, F.lit(1).alias("node"), F.lit(-1).alias("main"), F.lit(0).alias("block")).toArrow()
+    members = minhash_dedup._arrays(rows)
+    block, plain = minhash_dedup._Block(members, 0, len(members.doc)), [set(sets[i].tolist()) for i in members.doc.tolist()]
+    for i in range(len(plain)):
+        n = [len(plain[i] & x) * 100 >= len(plain[i] | x) * 75 for x in plain]
+        for step in (1, 40):
+            near = minhash_dedup.np.arange(i % step, len(plain), step)
+            assert block.similar(i, near).tolist() == [j for j in near.tolist() if n[j]]
+
+
 def test_leaf_blocks_with_full_sets(spark, docs):
     """One leaf of all documents, compared on full sets: blocks join what one block joins, and links only."""
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
