@@ -430,6 +430,17 @@ def test_wide_groups_are_one_level(spark, monkeypatch):
     assert not wide and freed
 
 
+def test_driver_lets_go(spark, odd, monkeypatch):
+    """What Python no longer holds is gone from the driver, and the pipeline's stage asks for that first, before the stars and on each level."""
+    jvm, freed, let_go = spark.sparkContext._jvm, [], minhash_dedup.let_go
+    monkeypatch.setattr(minhash_dedup, "let_go", lambda session: freed.append(session) or let_go(session))
+    left = jvm.java.lang.ref.WeakReference(jvm.java.util.ArrayList())
+    assert left.get() is not None
+    rows = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.near_duplicate_stage(spark, rows, SF).count() == 10
+    assert len(freed) >= 3 and left.get() is None
+
+
 def test_links_of_one_row(spark, docs):
     """The links of a row by the sets of the others and by the holders of its shingles are those of plain sets."""
     unique = minhash_dedup.sketches(spark.createDataFrame(docs, "doc_id bigint, text string")).filter("n_shingles > 0").drop("small")
